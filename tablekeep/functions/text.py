@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from tablekeep.functions.columns import as_column
 
 
+def _code_point(ch: Column) -> Column:
+    return F.concat(F.lit("("), F.lower(F.hex(F.ascii(ch))), F.lit(")"))
+
+
 def safe_name(name: Column | str) -> Column:
     """Visible ASCII is kept, any other character becomes its hex code point in parentheses."""
     col = as_column(name)
-    encoded = F.transform(
-        F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)),
-        lambda ch: F.when(ch.rlike(r"\A[!-~]\z"), ch).otherwise(
-            F.concat(F.lit("("), F.lower(F.hex(F.ascii(ch))), F.lit(")"))
-        ),
-    )
-    return F.when(col.rlike(r"\A[!-~]*\z"), col).otherwise(F.array_join(encoded, ""))
+    # what a character turns into is visible itself, so one replacement per distinct
+    # character is enough and their order does not matter
+    unsafe = F.array_distinct(F.regexp_extract_all(col, F.lit("[^!-~]"), F.lit(0)))
+    return F.aggregate(unsafe, col, lambda done, ch: F.replace(done, ch, _code_point(ch)))
 
 
 def path_name(name: str) -> str:
@@ -39,10 +40,11 @@ def path_name(name: str) -> str:
 def path_name_column(name: Column | str) -> Column:
     """``path_name`` for a column."""
     col = as_column(name)
+    pieces = F.regexp_extract_all(col, F.lit(r"(?s)[A-Za-z0-9-]+|."), F.lit(0))
     encoded = F.transform(
-        F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)),
-        lambda ch, at: F.when(ch.rlike(r"\A[A-Za-z0-9-]\z") | ((ch == "_") & (at > 0)), ch).otherwise(
-            F.concat(F.lit("("), F.lower(F.hex(F.ascii(ch))), F.lit(")"))
+        pieces,
+        lambda piece, at: F.when(piece.rlike(r"\A[A-Za-z0-9-]") | ((piece == "_") & (at > 0)), piece).otherwise(
+            _code_point(piece)
         ),
     )
     return F.when(col.rlike(r"\A[A-Za-z0-9-][A-Za-z0-9_-]*\z"), col).otherwise(F.array_join(encoded, ""))

@@ -14,7 +14,7 @@ def chunk_plan(
     df: DataFrame, key: str, size_col: str, chunk_bytes: int = CHUNK_BYTES, slices: int | None = None
 ) -> DataFrame:
     """Add ``chunk_id``: rows in the order of a unique numeric ``key``, a new chunk starting
-    at every ``chunk_bytes`` of ``size_col``.
+    at every ``chunk_bytes`` of the whole number ``size_col``.
 
     A chunk holds less than ``chunk_bytes`` plus one row. The rows are shuffled once and never
     gathered in one task.
@@ -22,4 +22,4 @@ def chunk_plan(
     sliced = slice_by_quantiles(df, key, slices)
     summed = running_sum(sliced, [], [key], "_slice", F.col(size_col), "_end")
     start = F.col("_end") - F.col(size_col)
-    return summed.withColumn("chunk_id", F.floor(start / chunk_bytes)).drop("_end", "_slice")
+    return summed.withColumn("chunk_id", F.call_function("div", start, F.lit(chunk_bytes))).drop("_end", "_slice")

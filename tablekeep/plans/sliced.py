@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from tablekeep.session import shuffle_partitions
 
 SLICES_PER_PARTITION = 4
 
+# Quantiles are exact to a fraction of their distance, so asking for very many is dear.
+# Slices beyond this number divide the space between two quantiles evenly.
+MAX_QUANTILES = 1000
+
 
 def slice_by_quantiles(df: DataFrame, key: str, slices: int | None = None, out: str = "_slice") -> DataFrame:
     """Number the rows by approximate quantiles of a numeric column, so slices are of like size.
@@ -29,14 +34,14 @@ def slice_by_quantiles(df: DataFrame, key: str, slices: int | None = None, out:
     every later reading of it, also after lost executors, sees the same slices.
     """
     slices = slices or SLICES_PER_PARTITION * shuffle_partitions(df.sparkSession)
-    numeric = df.withColumn("_key", F.col(key).cast("double"))
-    bounds = numeric.approxQuantile("_key", [i / slices for i in range(1, slices)], 0.25 / slices)
-    bounds = sorted(set(bounds))
-    if not bounds:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="_key", outputCol=out)
-    return bucketizer.transform(numeric).drop("_key")
+    ranks = np.linspace(0, 1, min(slices, MAX_QUANTILES) + 1)
+    keyed = df.withColumn("_key", F.col(key).cast("double"))
+    quantiles = keyed.approxQuantile("_key", ranks.tolist(), 0.25 / (len(ranks) - 1))
+    if not quantiles:
+        return df.withColumn(out, F.lit(0))
+    bounds = np.unique(np.interp(np.linspace(0, 1, slices + 1), ranks, quantiles))
+    bucketizer = Bucketizer(splits=[-np.inf, *bounds.tolist(), np.inf], inputCol="_key", outputCol=out)
+    return bucketizer.transform(keyed).drop("_key").withColumn(out, F.col(out).cast("int"))
 
 
 def _ordering(columns: Sequence[str], descending: bool) -> list[Column]:

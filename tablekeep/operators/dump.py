@@ -136,7 +136,7 @@ def dump(
     root: str,
     per_database: bool = True,
     fmt: str = "parquet",
-    codec: str | None = "zstd",
+    codec: str | None = None,
     level: int | None = None,
     max_records_per_file: int = 0,
     order_by: Mapping[str | TableName, Sequence[str]] | None = None,
@@ -194,7 +194,7 @@ def dump(
 
 
 def dump_partitioned(
-    df: DataFrame, root: str, database: str = "database", fmt: str = "parquet", codec: str | None = "zstd"
+    df: DataFrame, root: str, database: str = "database", fmt: str = "parquet", codec: str | None = None
 ) -> None:
     """Write one table that holds many databases, one folder each, in one job.
 

@@ -10,21 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeep.functions.globs import include_glob
+from tablekeep.sources.files import empty_files
 
 PACK_COLUMNS = ["archive", "member", "length", "content"]
 _SCHEMA = "member string, length bigint, content binary, archive string"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files below ``path`` with their contents, ready to be packed."""
+    """The files below ``path`` with their contents, empty ones too, ready to be packed."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    empty = empty_files(found).select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")
+    )
     base = path.rstrip("/") + "/"
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(
-            F.substring_index("path", base, -1).alias("member"), "length", "content"
-        )
+        found.select("path", "length", "content")
+        .unionByName(empty)
+        .select(F.substring_index("path", base, -1).alias("member"), "length", "content")
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameReader, DataFrameWriter
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEXT_FORMATS = ("csv", "json", "text")
 COLUMNAR_FORMATS = ("parquet", "orc")
@@ -54,26 +56,61 @@ _TIME_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+# In CSV an absent value is told from an empty text by this mark.
+CSV_NULL = "\\N"
 FORMAT_OPTIONS = {
-    "csv": {**_TIME_OPTIONS, "header": "true", "escape": '"', "multiLine": "true"},
+    "csv": {
+        **_TIME_OPTIONS,
+        "header": "true",
+        "escape": '"',
+        "multiLine": "true",
+        "lineSep": "\n",
+        "nullValue": CSV_NULL,
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    },
     "json": _TIME_OPTIONS,
 }
 
 
+DEFAULT_CODECS = {"parquet": "zstd", "orc": "zstd"}
+DEFAULT_TEXT_CODEC = "gzip"
+
+
 def codec_for(method: str | None, fmt: str, level: int | None = None) -> str:
-    """The codec name Spark takes for ``method`` in this format."""
+    """The codec name Spark takes for ``method`` in this format.
+
+    Without a method it is zstd, or gzip for text formats. Level 0 means no compression.
+    """
     if fmt not in TEXT_FORMATS + COLUMNAR_FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
     codecs = {"parquet": PARQUET_CODECS, "orc": ORC_CODECS}.get(fmt, TEXT_CODECS)
-    if method is None or level == 0:
+    if level == 0:
         return codecs["none"]
+    if method is None:
+        method = DEFAULT_CODECS.get(fmt, DEFAULT_TEXT_CODEC)
     if method not in codecs:
         raise ValueError(f"{fmt} cannot be written with {method!r}; choose from {', '.join(codecs)}")
     return codecs[method]
 
 
+def _checked_texts(df: DataFrame) -> DataFrame:
+    """Refuse a text that would be read back as an absent value."""
+    refused = F.raise_error(F.lit(f"CSV cannot hold the text {CSV_NULL}")).cast("string")
+    return df.select(
+        *(
+            F.when(F.col(f"`{f.name}`") == CSV_NULL, refused).otherwise(F.col(f"`{f.name}`")).alias(f.name)
+            if isinstance(f.dataType, T.StringType)
+            else F.col(f"`{f.name}`")
+            for f in df.schema.fields
+        )
+    )
+
+
 def writer_for(df: DataFrame, fmt: str, method: str | None, level: int | None) -> DataFrameWriter:
     codec = codec_for(method, fmt, level)
+    if fmt == "csv":
+        df = _checked_texts(df)
     writer = df.write.format(fmt).options(**FORMAT_OPTIONS.get(fmt, {})).option("compression", codec)
     if level and codec == "gzip":
         if level not in GZIP_LEVELS:

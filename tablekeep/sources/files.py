@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablekeep.functions.columns import as_column
 from tablekeep.functions.globs import exclude_glob
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+def decoded_path(path: Column | str) -> Column:
+    """A path as Spark shows it in ``_metadata``, without percent signs."""
+    return F.url_decode(F.replace(as_column(path), F.lit("+"), F.lit("%2B")))
+
+
+def empty_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """``DF(path)`` of the files a scan skips for being empty.
+
+    Spark's file sources list empty files but make no rows of them. The list of all file
+    names, which the driver holds for planning anyway, is compared with the rows.
+    """
+    listed = files.sparkSession.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    names = listed.select(decoded_path("path").alias("path"))
+    bare = lambda column: F.regexp_replace(column, r"\A\w+:/+", "/")
+    seen = files.select(bare(F.col(path)).alias("_bare")).distinct()
+    return names.withColumn("_bare", bare(F.col("path"))).join(seen, "_bare", "left_anti").select("path")
+
+
+def file_inventory(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     """``DF(path, length)`` of all files below ``path``; file contents are not read.
 
     Unreadable files are skipped. Spark leaves out names that start with ``_`` or ``.``.
+    Empty files, which add nothing to a size, are listed with ``keep_empty=True``.
     """
-    return (
+    found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
@@ -21,6 +41,9 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select("path", "length")
     )
+    if not keep_empty:
+        return found
+    return found.unionByName(empty_files(found).withColumn("length", F.lit(0).cast("bigint")))
 
 
 def tree_size(inventory: DataFrame) -> DataFrame:

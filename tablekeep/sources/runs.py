@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekeep.functions.times import parse_run_name
 from tablekeep.functions.values import to_boolean, to_float, to_integer
+from tablekeep.sources.files import decoded_path, empty_files
 
 # The keys of a run record with their type and default.
 RUN_RECORD_SPEC = [
@@ -56,16 +57,19 @@ def _section_entries(conf: Column, section: str) -> Column:
 
 
 def scan_runs(
-    spark: SparkSession, root: str, section: str = "run", file_name: str = "backup.conf"
+    spark: SparkSession, root: str, section: str = "run", file_name: str = "backup.conf", keep_empty: bool = True
 ) -> DataFrame:
     """Read every run record under ``root``; folders that are no run names are skipped.
 
-    One narrow pass: the known keys are picked out of each record, so nothing is shuffled.
-    Times are seconds since the epoch in the record and become timestamps here.
+    The known keys are picked out of each record, so records are not shuffled. An empty
+    record is a broken run with default values; ``keep_empty=False`` spares the search for
+    them. Times are seconds since the epoch in the record and become timestamps here.
     """
-    files = spark.read.text(f"{root}/*/*/{file_name}", wholetext=True).select(
-        "value", F.split(F.col("_metadata.file_path"), "/").alias("path")
-    )
+    read = spark.read.text(f"{root}/*/*/{file_name}", wholetext=True)
+    files = read.select("value", decoded_path("_metadata.file_path").alias("path"))
+    if keep_empty:
+        files = files.unionByName(empty_files(files).withColumn("value", F.lit("")))
+    files = files.withColumn("path", F.split("path", "/"))
     entries = F.transform(
         _section_entries(F.col("value"), section),
         lambda pair: F.struct(

@@ -13,7 +13,7 @@ def stream_dump(
     root: str,
     checkpoint: str,
     fmt: str = "parquet",
-    codec: str | None = "zstd",
+    codec: str | None = None,
     interval: str | None = None,
 ) -> StreamingQuery:
     """Append the rows of a stream to the dump at ``root``.

@@ -9,9 +9,9 @@ from tablekeep.functions.columns import as_column
 
 RUN_NAME_FORMAT = "yyyyMMdd_HHmmss"
 
-# Run names have second resolution and are unique in a set, so one hour of one set
-# never holds more than 3600 runs.
-_HOUR_PREFIX = len("yyyyMMdd_HH")
+# Run names have second resolution and are unique in a set, so one day of one set never
+# holds more than 86,400 runs.
+_DAY_PREFIX = len("yyyyMMdd")
 
 
 def run_name(ts: Column | str) -> Column:
@@ -23,8 +23,8 @@ def parse_run_name(name: Column | str) -> Column:
     return F.try_to_timestamp(as_column(name), F.lit(RUN_NAME_FORMAT)).cast("timestamp_ntz")
 
 
-def run_hour(name: Column | str) -> Column:
-    return F.substring(as_column(name), 1, _HOUR_PREFIX)
+def run_day(name: Column | str) -> Column:
+    return F.substring(as_column(name), 1, _DAY_PREFIX)
 
 
 def format_datetime(ts: Column | str) -> Column:

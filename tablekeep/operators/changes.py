@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablekeep.plans.settled import settle
 from tablekeep.plans.sliced import next_after, slice_by_quantiles
 
 
@@ -35,10 +36,13 @@ def apply_latest(
 ) -> DataFrame:
     """Apply at most one change per key to ``base``, which has one row per key.
 
-    ``incremental=True`` is for a log that touches few keys: Spark can then broadcast the
-    changes when they turn out small and never shuffle the base. Both ways give the same rows.
+    ``incremental=True`` is for a log that touches few keys: the changes are settled first, so
+    Spark broadcasts them when they turn out small and never shuffles the base. Both ways
+    give the same rows.
     """
     keys = _names(key)
+    if incremental:
+        latest = settle(latest, "changes")
     renamed = latest.select(*keys, "deleted", *(F.col(v).alias(f"_new_{v}") for v in values))
     new_or_old = [
         F.when(F.col("deleted").isNotNull(), F.col(f"_new_{v}")).otherwise(F.col(v)).alias(v) for v in values

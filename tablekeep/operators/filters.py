@@ -15,6 +15,7 @@ from tablekeep.functions.globs import (
     include_glob_qualified,
     qualify,
 )
+from tablekeep.plans.settled import settle
 
 # Databases the pattern finder always leaves out.
 ALWAYS_EXCLUDED = ["information_schema", "lost+found"]
@@ -63,9 +64,10 @@ def apply_filters(dbs: DataFrame, tbls: DataFrame, spec: FilterSpec) -> tuple[Da
     """Flag databases and tables with ``excluded``.
 
     Tables of an excluded or unknown database are not listed at all. The database patterns
-    are put on the tables too, so they reach the table scan before the semi join.
+    are put on the tables too, so they reach the table scan before the semi join. The list
+    of databases is read once and settled.
     """
-    flagged = dbs.withColumn("excluded", ~spec.keeps_database("name"))
+    flagged = settle(dbs.withColumn("excluded", ~spec.keeps_database("name")), "databases")
     kept = flagged.where(~F.col("excluded")).select(F.col("name").alias("database"))
     tables = (
         tbls.where(spec.keeps_database("database"))

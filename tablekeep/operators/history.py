@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.functions.times import run_hour
+from tablekeep.functions.times import run_day
 from tablekeep.operators.retention import RUN_ORDER
 from tablekeep.plans.sliced import last_before
 
@@ -63,7 +63,7 @@ def historic_estimate(
         return runs.withColumn("required_bytes", plain).withColumn("basis", F.lit("estimate"))
     success = F.when(~F.col("failed"), F.struct("estimated_size", "on_disk_size", "estimated_size_factor"))
     with_prior = last_before(
-        runs.withColumn(_SLICE, run_hour("name")), ["backupset"], order, _SLICE, success, "_prior"
+        runs.withColumn(_SLICE, run_day("name")), ["backupset"], order, _SLICE, success, "_prior"
     )
     prior = F.col("_prior")
     usable = F.coalesce(

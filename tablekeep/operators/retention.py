@@ -1,6 +1,12 @@
 """Which runs to keep and which to purge.
 
 Deleting is not done here: every function returns a plan.
+
+Runs are kept or purged by age, so each plan comes down to one border run per set. The border
+is found without sorting or shuffling the runs: they are counted by set and day with map-side
+combine, the day the border falls into follows from those counts, and only the runs of that
+day are put in order. The runs are then compared with the border of their set. Both the
+days and the borders, at most one row per set, are settled before they are joined.
 """
 
 from __future__ import annotations
@@ -10,71 +16,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekeep.functions.times import run_hour
-from tablekeep.plans.sliced import running_rank, running_sum
+from tablekeep.functions.times import run_day
+from tablekeep.plans.settled import settle
 
 RUN_ORDER = ("name", "run_id")
 
-# Spark cuts a "row_number <= n" window to n rows per group before the shuffle, for n up to
-# spark.sql.optimizer.windowGroupLimitThreshold, whose default this is.
-GROUP_LIMIT = 1000
-
 _SLICE = "_slice"
 
 
 def newest_n(runs: DataFrame, n: int, order: Sequence[str] = RUN_ORDER) -> DataFrame:
     """The newest ``n`` runs of every set."""
-    if n < 0:
-        raise ValueError("the number of runs to keep cannot be negative")
-    if n > GROUP_LIMIT:
-        return _ranked(runs, order).where(F.col("_rank") <= n).drop("_rank")
-    newest_first = Window.partitionBy("backupset").orderBy(*(F.desc(c) for c in order))
-    return (
-        runs.withColumn("_rank", F.row_number().over(newest_first))
-        .where(F.col("_rank") <= n)
-        .drop("_rank")
-    )
+    return retention_plan(runs, n, order).where(F.col("action") == "keep").drop("action")
+
 
+def _action(purge: Column) -> Column:
+    return F.when(F.coalesce(purge, F.lit(False)), "purge").otherwise("keep").alias("action")
 
-def _ranked(runs: DataFrame, order: Sequence[str]) -> DataFrame:
-    sliced = runs.withColumn(_SLICE, run_hour("name"))
-    return running_rank(sliced, ["backupset"], order, _SLICE, "_rank", descending=True).drop(_SLICE)
 
+def _with_border(runs: DataFrame, border_days: DataFrame, chosen: Column, order: Sequence[str]) -> DataFrame:
+    """Add ``_border``, the order columns of the border run of each set.
 
-def _action(purge: Column) -> Column:
-    return F.when(purge, "purge").otherwise("keep").alias("action")
+    ``border_days`` has one row per set that has a border. ``chosen`` picks the border run
+    inside its day; where it picks several, the last one counts.
+    """
+    days = settle(border_days, "border-days")
+    in_day = runs.withColumn(_SLICE, run_day("name")).join(days, ["backupset", _SLICE])
+    borders = (
+        in_day.select("backupset", F.struct(*order).alias("_order"), chosen.alias("_chosen"))
+        .where("_chosen")
+        .groupBy("backupset")
+        .agg(F.max("_order").alias("_border"))
+    )
+    return runs.join(settle(borders, "borders"), "backupset", "left")
 
 
 def retention_plan(runs: DataFrame, keep: int | str, order: Sequence[str] = RUN_ORDER) -> DataFrame:
     """Add ``action``: the newest ``keep`` runs of a set stay, the rest is purged.
 
-    ``keep`` is a number, or the name of a column with a number per set; NULL there purges
-    nothing. With a number only the oldest kept run of each set is worked out and compared
-    with, so the runs themselves are not shuffled when the sets fit a broadcast.
+    ``keep`` is a number, or the name of a column that has one number per set; NULL there
+    purges nothing.
     """
+    negative = "the number of runs to keep cannot be negative"
     if isinstance(keep, str):
-        count = F.when(
-            F.col(keep) < 0, F.raise_error(F.lit("the number of runs to keep cannot be negative")).cast("int")
-        ).otherwise(F.col(keep))
-        ranked = _ranked(runs, order)
-        plan = ranked.withColumn("action", _action(F.coalesce(F.col("_rank") > count, F.lit(False))))
-        return plan.drop("_rank")
-    if keep < 0:
-        raise ValueError("the number of runs to keep cannot be negative")
-    if keep > GROUP_LIMIT:
-        ranked = _ranked(runs, order)
-        return ranked.withColumn("action", _action(F.col("_rank") > keep)).drop("_rank")
-    if keep == 0:
-        return runs.withColumn("action", F.lit("purge"))
-    oldest_kept = (
-        newest_n(runs.select("backupset", *order), keep, order)
-        .groupBy("backupset")
-        .agg(F.min(F.struct(*order)).alias("_oldest_kept"))
+        count = F.when(F.col(keep) < 0, F.raise_error(F.lit(negative)).cast("int")).otherwise(F.col(keep))
+    elif keep < 0:
+        raise ValueError(negative)
+    else:
+        count = F.lit(keep)
+    newer = Window.partitionBy("backupset").orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    border_days = (
+        runs.groupBy("backupset", run_day("name").alias(_SLICE))
+        .agg(F.count(F.lit(1)).alias("_runs"), F.max(count).alias("_keep"))
+        .withColumn("_newer", F.coalesce(F.sum("_runs").over(newer), F.lit(0)))
+        .where((F.col("_newer") < F.col("_keep")) & (F.col("_keep") <= F.col("_newer") + F.col("_runs")))
+        .select("backupset", _SLICE, (F.col("_keep") - F.col("_newer")).alias("_left"))
     )
+    newest_first = Window.partitionBy("backupset").orderBy(*(F.desc(c) for c in order))
+    oldest_kept = F.row_number().over(newest_first) == F.col("_left")
     return (
-        runs.join(oldest_kept, "backupset", "left")
-        .withColumn("action", _action(F.struct(*order) < F.col("_oldest_kept")))
-        .drop("_oldest_kept")
+        _with_border(runs, border_days, oldest_kept, order)
+        .withColumn("action", _action((count == 0) | (F.struct(*order) < F.col("_border"))))
+        .drop("_border")
     )
 
 
@@ -101,25 +103,31 @@ def purge_on_demand(runs: DataFrame, capacity: DataFrame, order: Sequence[str] =
     runs together would not free enough keeps them all. The run in progress must not be among
     ``runs``.
     """
-    totals = runs.groupBy("backupset").agg(F.sum("on_disk_size").alias("_total"))
-    limits = totals.join(
-        capacity.select("backupset", F.col("free_bytes").alias("_free"), F.col("required_bytes").alias("_required")),
-        "backupset",
-        "left",
-    )
-    summed = running_sum(
-        runs.withColumn(_SLICE, run_hour("name")),
-        ["backupset"],
-        order,
-        _SLICE,
-        F.col("on_disk_size"),
-        "_freed",
-        per_group=limits,
+    older = Window.partitionBy("backupset").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_set = Window.partitionBy("backupset")
+    space = capacity.select("backupset", "free_bytes", "required_bytes")
+    short = F.col("free_bytes") + F.col("_older") <= F.col("required_bytes")
+    can_succeed = F.col("free_bytes") + F.col("_total") > F.col("required_bytes")
+    border_days = (
+        runs.groupBy("backupset", run_day("name").alias(_SLICE))
+        .agg(F.sum("on_disk_size").alias("_bytes"))
+        .withColumn("_older", F.coalesce(F.sum("_bytes").over(older), F.lit(0)))
+        .withColumn("_total", F.sum("_bytes").over(per_set))
+        .join(space, "backupset")
+        .where(short & can_succeed)
+        .groupBy("backupset")
+        .agg(
+            F.max(_SLICE).alias(_SLICE),
+            F.max("_older").alias("_older"),
+            F.first(F.col("required_bytes") - F.col("free_bytes")).alias("_needed"),
+        )
     )
-    still_short = F.col("_free") + F.col("_freed") - F.col("on_disk_size") <= F.col("_required")
-    can_succeed = F.col("_free") + F.col("_total") > F.col("_required")
-    return summed.withColumn("action", _action(F.coalesce(still_short & can_succeed, F.lit(False)))).drop(
-        _SLICE, "_freed", "_free", "_required", "_total"
+    oldest_first = Window.partitionBy("backupset").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    freed_before = F.col("_older") + F.coalesce(F.sum("on_disk_size").over(oldest_first), F.lit(0))
+    return (
+        _with_border(runs, border_days, freed_before <= F.col("_needed"), order)
+        .withColumn("action", _action(F.struct(*order) <= F.col("_border")))
+        .drop("_border")
     )
 
 

@@ -56,13 +56,8 @@ def running_sum(
     value: Column,
     out: str,
     descending: bool = False,
-    per_group: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the running sum of ``value``, the row itself included.
-
-    The columns of ``per_group``, one row per group, are added as well. They travel with the
-    slice offsets, so a large group is not joined on its own key.
-    """
+    """Add the running sum of ``value``, the row itself included."""
     groups, keys = list(groups), [*groups, slice_col]
     earlier = (
         Window.partitionBy(*groups)
@@ -79,8 +74,6 @@ def running_sum(
         .agg(F.sum(value).alias("_sum"))
         .select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
     )
-    if per_group is not None:
-        offsets = offsets.join(per_group, groups, "left")
     return (
         df.join(offsets, keys, "left")
         .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0)))

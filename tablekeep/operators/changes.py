@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.plans.settled import settle
-from tablekeep.plans.sliced import next_after, slice_by_quantiles
+from tablekeep.plans.sliced import next_after, slice_by_quantiles, slice_large_groups
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
@@ -87,8 +87,9 @@ def dump_view(
         current = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_current"))
         return current.select(*keys, "_current.*").select(*versions.columns)
     timed = versions.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
-    sliced = slice_by_quantiles(timed, "_micros")
-    return next_after(sliced, keys, order, "_slice", F.col(ts), "valid_to").drop("_micros", "_slice")
+    numbered = slice_by_quantiles(timed, "_micros", out="_number")
+    sliced = slice_large_groups(numbered, keys, F.col("_number"))
+    return next_after(sliced, keys, order, "_slice", F.col(ts), "valid_to").drop("_micros", "_number", "_slice")
 
 
 def record_positions(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablekeep.functions.times import run_day
 from tablekeep.operators.retention import RUN_ORDER
-from tablekeep.plans.sliced import last_before
+from tablekeep.plans.sliced import last_before, slice_large_groups
 
 LOW_SPACE_SHARE = 0.10
 
@@ -62,9 +62,8 @@ def historic_estimate(
     if not historic_size:
         return runs.withColumn("required_bytes", plain).withColumn("basis", F.lit("estimate"))
     success = F.when(~F.col("failed"), F.struct("estimated_size", "on_disk_size", "estimated_size_factor"))
-    with_prior = last_before(
-        runs.withColumn(_SLICE, run_day("name")), ["backupset"], order, _SLICE, success, "_prior"
-    )
+    sliced = slice_large_groups(runs, ["backupset"], run_day("name"), _SLICE)
+    with_prior = last_before(sliced, ["backupset"], order, _SLICE, success, "_prior")
     prior = F.col("_prior")
     usable = F.coalesce(
         (prior.estimated_size_factor != 0)

@@ -1,12 +1,12 @@
 """Ordered computations over groups of any size.
 
-A window over a whole group runs in one task, however large the group. Here a group is cut
-into slices by a column that never decreases in the window's order. The window runs inside
-(group, slice); what the other slices contribute is one aggregated row per slice, computed
-with map-side combine and joined back on (group, slice). The rows are shuffled once, by
-(group, slice), and no task holds more than one slice of a group.
+A window over a whole group runs in one task, however large the group. Here large groups are
+cut into slices by a column that never decreases in the window's order. The window runs inside
+(group, slice); what the other slices contribute is one aggregated row per slice, settled and
+joined back. The rows are shuffled once, by (group, slice), and no task holds more than one
+slice of a large group. A group whose slice is NULL is not cut.
 
-Group, slice and order columns must not be NULL.
+Group and order columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablekeep.plans.settled import settle
 from tablekeep.session import shuffle_partitions
 
 SLICES_PER_PARTITION = 4
@@ -44,6 +45,35 @@ def slice_by_quantiles(df: DataFrame, key: str, slices: int | None = None, out:
     return bucketizer.transform(keyed).drop("_key").withColumn(out, F.col(out).cast("int"))
 
 
+# Rows of one group a single task sorts with ease.
+LARGE_GROUP_ROWS = 1_000_000
+
+
+def slice_large_groups(df: DataFrame, groups: Sequence[str], by: Column, out: str = "_slice") -> DataFrame:
+    """Number the rows of groups with more than ``LARGE_GROUP_ROWS`` rows by ``by``.
+
+    The large groups, few as each stands for very many rows, are counted out first. The others
+    keep a NULL slice and cost nothing more than a plain window.
+    """
+    groups = list(groups)
+    large = (
+        df.groupBy(*groups)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > LARGE_GROUP_ROWS)
+        .select(*groups, F.lit(True).alias("_large"))
+    )
+    flagged = df.join(settle(large, "large-groups"), groups, "left")
+    return flagged.withColumn(out, F.when(F.col("_large"), by)).drop("_large")
+
+
+def _slice_totals(df: DataFrame, keys: Sequence[str], slice_col: str, total: Column) -> DataFrame:
+    return df.where(F.col(slice_col).isNotNull()).groupBy(*keys).agg(total.alias("_total"))
+
+
+def _join_carried(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.join(settle(carried, "slices"), list(keys), "left")
+
+
 def _ordering(columns: Sequence[str], descending: bool) -> list[Column]:
     return [F.desc(c) if descending else F.asc(c) for c in columns]
 
@@ -69,25 +99,17 @@ def running_sum(
         .orderBy(*_ordering(order, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    offsets = (
-        df.groupBy(*keys)
-        .agg(F.sum(value).alias("_sum"))
-        .select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    carried = _slice_totals(df, keys, slice_col, F.sum(value)).select(
+        *keys, F.sum("_total").over(earlier).alias("_carried")
     )
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
     return (
-        df.join(offsets, keys, "left")
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_offset")
+        _join_carried(df, carried, keys)
+        .withColumn(out, F.coalesce("_carried", F.lit(0)) + own)
+        .drop("_carried")
     )
 
 
-def running_rank(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], slice_col: str, out: str, descending: bool = False
-) -> DataFrame:
-    """Add the row number."""
-    return running_sum(df, groups, order, slice_col, F.lit(1), out, descending)
-
-
 def last_before(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], slice_col: str, value: Column, out: str
 ) -> DataFrame:
@@ -95,13 +117,12 @@ def last_before(
     groups, keys = list(groups), [*groups, slice_col]
     earlier = Window.partitionBy(*groups).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        df.groupBy(*keys)
-        .agg(F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias("_newest"))
-        .select(*keys, F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
+    newest = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+    carried = _slice_totals(df, keys, slice_col, newest).select(
+        *keys, F.last("_total", ignorenulls=True).over(earlier).alias("_carried")
     )
     return (
-        df.join(carried, keys, "left")
+        _join_carried(df, carried, keys)
         .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")))
         .drop("_carried")
     )
@@ -112,18 +133,14 @@ def next_after(
 ) -> DataFrame:
     """Add the value of the next row; NULL on the last row of a group."""
     groups, keys = list(groups), [*groups, slice_col]
-    carried = (
-        df.groupBy(*keys)
-        .agg(F.min_by(value, F.struct(*order)).alias("_first"))
-        .select(
-            *keys,
-            F.lead("_first").over(Window.partitionBy(*groups).orderBy(slice_col)).alias("_carried"),
-        )
+    by_slice = Window.partitionBy(*groups).orderBy(slice_col)
+    carried = _slice_totals(df, keys, slice_col, F.min_by(value, F.struct(*order))).select(
+        *keys, F.lead("_total").over(by_slice).alias("_carried")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     is_last = F.lead(F.lit(1)).over(inside).isNull()
     return (
-        df.join(carried, keys, "left")
+        _join_carried(df, carried, keys)
         .withColumn(out, F.when(is_last, F.col("_carried")).otherwise(F.lead(value).over(inside)))
         .drop("_carried")
     )

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekeep.operators import changes
+from tablekeep.plans import sliced
 
 LOG = "seq long, k long, op string, a string, b double"
 BASE = "k long, a string, b double"
@@ -60,7 +61,9 @@ def test_small_logs_leave_the_base_in_place(spark):
     assert "BroadcastHashJoin" in plan
 
 
-def test_versions(spark):
+@pytest.mark.parametrize("large", [50, 1_000_000])
+def test_versions(spark, large, monkeypatch):
+    monkeypatch.setattr(sliced, "LARGE_GROUP_ROWS", large)
     start = datetime(2024, 1, 1)
     rng = random.Random(2)
     data = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(9)}", start + timedelta(seconds=rng.randrange(300)), i) for i in range(800)]

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tablekeep.operators import history, retention
+from tablekeep.plans import sliced
 
 SCHEMA = (
     "backupset string, name string, run_id long, failed boolean, estimated_size long, on_disk_size long, "
@@ -116,7 +117,9 @@ def test_purge_on_demand_borders(spark, free, required, purges):
     assert len(purged(retention.purge_on_demand(runs, capacity))) == purges
 
 
-def test_historic_estimate(runs, data):
+@pytest.mark.parametrize("large", [10, 1_000_000])
+def test_historic_estimate(runs, data, large, monkeypatch):
+    monkeypatch.setattr(sliced, "LARGE_GROUP_ROWS", large)
     expected = {}
     for rows in grouped(data).values():
         prior = None

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablekeep.plans import sliced
 from tablekeep.plans.chunks import chunk_plan
-from tablekeep.plans.sliced import last_before, next_after, running_rank, running_sum, slice_by_quantiles
+from tablekeep.plans.sliced import last_before, next_after, running_sum, slice_by_quantiles, slice_large_groups
 
 
 @pytest.fixture(scope="module")
@@ -23,10 +24,15 @@ def data():
     return rows
 
 
-@pytest.fixture(scope="module")
-def frame(spark, data):
-    df = spark.createDataFrame(data, "g string, at long, id long, v long").repartition(7)
-    return slice_by_quantiles(df, "at", slices=50)
+@pytest.fixture(scope="module", params=["all", "large"])
+def frame(request, spark, data):
+    """Rows with every group in slices, and with only the large ones in slices."""
+    df = slice_by_quantiles(spark.createDataFrame(data, "g string, at long, id long, v long").repartition(7), "at", slices=50)
+    if request.param == "all":
+        return df
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sliced, "LARGE_GROUP_ROWS", 500)
+        return slice_large_groups(df.withColumnRenamed("_slice", "n"), ["g"], F.col("n")).drop("n")
 
 
 def by_group(data):
@@ -40,23 +46,28 @@ def collected(df, out):
     return {r["id"]: r[out] for r in df.collect()}
 
 
+def test_only_large_groups_are_sliced(frame):
+    cut = {r["g"] for r in frame.where("_slice is not null").select("g").distinct().collect()}
+    assert "hot" in cut and (len(cut) == 1 or len(cut) == frame.select("g").distinct().count())
+
+
 def test_slices_follow_the_key(frame):
-    pairs = frame.groupBy("_slice").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("_slice").collect()
+    pairs = frame.where("_slice is not null").groupBy("_slice").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("_slice").collect()
     assert len(pairs) > 20
     assert all(a["hi"] < b["lo"] for a, b in zip(pairs, pairs[1:]))
 
 
 def test_running_sum_and_rank(frame, data):
-    total, rank, newest_first = {}, {}, {}
+    total, newest_first = {}, {}
     for rows in by_group(data).values():
         running = 0
         for i, row in enumerate(rows):
             running += row[3] or 0
-            total[row[2]], rank[row[2]], newest_first[row[2]] = running, i + 1, len(rows) - i
+            total[row[2]], newest_first[row[2]] = running, len(rows) - i
     order = ["at", "id"]
     assert collected(running_sum(frame, ["g"], order, "_slice", F.col("v"), "out"), "out") == total
-    assert collected(running_rank(frame, ["g"], order, "_slice", "out"), "out") == rank
-    assert collected(running_rank(frame, ["g"], order, "_slice", "out", descending=True), "out") == newest_first
+    rank = running_sum(frame, ["g"], order, "_slice", F.lit(1), "out", descending=True)
+    assert collected(rank, "out") == newest_first
 
 
 def test_last_before_and_next_after(frame, data):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +96,46 @@ def scan_runs(
     return run_name_filter(parsed).select(
         "backupset", "name", *(column.alias(name) for name, column in columns.items())
     )
+
+
+def _run_path(spark: SparkSession, root: str, backupset: str, name: str):
+    if "/" in backupset or backupset in ("", ".", "..") or not re.fullmatch(r"\d{8}_\d{6}", name):
+        raise ValueError(f"{backupset!r}/{name!r} is not the name of a run")
+    return spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{backupset}/{name}")
+
+
+def write_run_record(
+    spark: SparkSession,
+    root: str,
+    backupset: str,
+    name: str,
+    values: Mapping[str, object],
+    section: str = "run",
+    file_name: str = "backup.conf",
+) -> None:
+    """Write the record of one run, replacing an earlier state of it."""
+    known = {key for key, _, _ in RUN_RECORD_SPEC}
+    if unknown := set(values) - known:
+        raise ValueError(f"unknown settings in a run record: {', '.join(sorted(unknown))}")
+    folder = _run_path(spark, root, backupset, name)
+    lines = [f"[{section}]", *(f"{key} = {value}" for key, value in values.items())]
+    stream = folder.getFileSystem(spark._jsc.hadoopConfiguration()).create(
+        spark._jvm.org.apache.hadoop.fs.Path(folder, file_name), True
+    )
+    try:
+        stream.write(bytearray("\n".join(lines) + "\n", "utf-8"))
+    finally:
+        stream.close()
+
+
+def delete_runs(spark: SparkSession, root: str, plan: DataFrame) -> int:
+    """Delete the folders of the runs a plan purges and return how many there were.
+
+    The only function that deletes; the plan itself is the dry run.
+    """
+    deleted = 0
+    purged = plan.where(F.col("action") == "purge").select("backupset", "name")
+    for backupset, name in purged.toLocalIterator():
+        folder = _run_path(spark, root, backupset, name)
+        deleted += folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return deleted

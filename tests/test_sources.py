@@ -2,6 +2,9 @@ import os
 from datetime import datetime
 from pathlib import Path
 
+import pytest
+
+from tablekeep.operators.retention import retention_plan
 from tablekeep.sources import documents, files, jdbc, runs
 
 RECORD = """# written by a run
@@ -54,6 +57,30 @@ def test_run_records_are_read_in_one_narrow_pass(spark, folder):
     assert "Exchange" not in runs.scan_runs(spark, folder, keep_empty=False)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_runs_are_recorded_planned_and_deleted(spark, folder):
+    for day in (1, 2, 3):
+        values = {"plugin": "sql", "on-disk-size": 100.0 * day, "failed": "no"}
+        runs.write_run_record(spark, folder, "a", f"2024010{day}_000000", values)
+    runs.write_run_record(spark, folder, "a", "20240103_000000", {"plugin": "sql", "on-disk-size": 7})
+    plan = retention_plan(runs.scan_runs(spark, folder), 1, order=["name"])
+    assert {r["name"]: (r["on_disk_size"], r["action"]) for r in plan.collect()} == {
+        "20240101_000000": (100, "purge"), "20240102_000000": (200, "purge"), "20240103_000000": (7, "keep")}
+    assert len(os.listdir(f"{folder}/a")) == 3
+    assert runs.delete_runs(spark, folder, plan) == 2
+    assert os.listdir(f"{folder}/a") == ["20240103_000000"]
+
+
+def test_only_runs_are_written_and_deleted(spark, folder):
+    for backupset, name in (("..", "20240101_000000"), ("a/b", "20240101_000000"), ("a", ".."), ("a", "newest")):
+        with pytest.raises(ValueError):
+            runs.write_run_record(spark, folder, backupset, name, {})
+        plan = spark.createDataFrame([(backupset, name, "purge")], "backupset string, name string, action string")
+        with pytest.raises(ValueError):
+            runs.delete_runs(spark, folder, plan)
+    with pytest.raises(ValueError):
+        runs.write_run_record(spark, folder, "a", "20240101_000000", {"colour": "red"})
+
+
 def test_inventory(spark, folder):
     for name, size in (("x", 3), ("d/y.log", 5), ("d/e/z.conf", 7), (".hidden", 11), ("d/em pty+%41", 0)):
         put(folder, name, "q" * size)

@@ -150,7 +150,8 @@ def dump(
     Tables are written in the given order, up to ``threads`` jobs at a time, each by its own
     tasks. The manifest comes last: a dump without one failed. ``what`` is ddl, data or both;
     the schemas are in the manifest. ``local_zone`` turns local times into UTC. ``order_by``
-    names the columns a table is sorted by, across its files too. ``dry_run`` writes nothing.
+    names the columns a table is sorted by, across its files too; make them a unique key, as rows
+    with equal keys stay in one task. ``dry_run`` writes nothing.
     """
     if what not in ("ddl", "data", "both"):
         raise ValueError("what must be ddl, data or both")

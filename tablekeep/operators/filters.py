@@ -142,3 +142,12 @@ def partition_sources(sources: DataFrame, is_valid: Column) -> tuple[DataFrame,
     """Good and bad sources. A check that gives NULL counts as bad."""
     ok = F.coalesce(is_valid, F.lit(False))
     return sources.where(ok), sources.where(~ok)
+
+
+def refuse_sources(invalid: DataFrame, name: str = "name", shown: int = 20) -> None:
+    """Fail when there are bad sources, naming the first of them. To be called once the good
+    ones are dumped."""
+    names = [str(row[0]) for row in invalid.select(name).limit(shown + 1).collect()]
+    if names:
+        more = " and more" if len(names) > shown else ""
+        raise ValueError(f"invalid sources: {', '.join(names[:shown])}{more}")

@@ -45,9 +45,9 @@ def run_sets(runs: DataFrame) -> DataFrame:
 
 def historic_estimate(
     runs: DataFrame,
-    historic_size: bool = True,
-    growth_limit: float = 1.5,
-    historic_factor: float = 1.1,
+    historic_size: bool | Column = True,
+    growth_limit: float | Column = 1.5,
+    historic_factor: float | Column = 1.1,
     size_factor: float | Column = 1.0,
     order: Sequence[str] = RUN_ORDER,
 ) -> DataFrame:
@@ -55,18 +55,21 @@ def historic_estimate(
 
     The last earlier run that did not fail is the guide: its size on disk times
     ``historic_factor``. The plain estimate times ``size_factor`` is used when there is no
-    such run, its record is incomplete, or the estimate grew past ``growth_limit``.
+    such run, its record is incomplete, or the estimate grew past ``growth_limit``. Each
+    setting may be a Column, to differ between sets.
     """
     factor = size_factor if isinstance(size_factor, Column) else F.lit(size_factor)
     plain = F.col("estimated_size").cast("double") * factor
-    if not historic_size:
+    if historic_size is False:
         return runs.withColumn("required_bytes", plain).withColumn("basis", F.lit("estimate"))
     success = F.when(~F.col("failed"), F.struct("estimated_size", "on_disk_size", "estimated_size_factor"))
     sliced = slice_large_groups(runs, ["backupset"], run_day("name"), _SLICE)
     with_prior = last_before(sliced, ["backupset"], order, _SLICE, success, "_prior")
     prior = F.col("_prior")
+    enabled = historic_size if isinstance(historic_size, Column) else F.lit(True)
     usable = F.coalesce(
-        (prior.estimated_size_factor != 0)
+        enabled
+        & (prior.estimated_size_factor != 0)
         & (prior.on_disk_size != 0)
         & (F.col("estimated_size") <= prior.estimated_size.cast("double") * growth_limit),
         F.lit(False),

@@ -107,6 +107,11 @@ def test_sources_that_cannot_be_checked_are_bad(spark):
     good, bad = filters.partition_sources(sources, F.col("n") > 0)
     assert [r["name"] for r in good.collect()] == ["a"]
     assert {r["name"] for r in bad.collect()} == {"b", "c"}
+    filters.refuse_sources(good.where("false"))
+    with pytest.raises(ValueError, match="b, c|c, b"):
+        filters.refuse_sources(bad)
+    with pytest.raises(ValueError, match="and more"):
+        filters.refuse_sources(bad, shown=1)
 
 
 def test_object_kinds_without_rules_are_kept(spark):

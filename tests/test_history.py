@@ -133,6 +133,10 @@ def test_historic_estimate(runs, data, large, monkeypatch):
                 prior = row
     got = history.historic_estimate(runs, size_factor=1.3).collect()
     assert {r["run_id"]: (r["required_bytes"], r["basis"]) for r in got} == expected
+    per_set = history.historic_estimate(runs, historic_size=F.col("backupset") != "hot", size_factor=F.lit(1.3))
+    for r in per_set.collect():
+        plain = (r["estimated_size"] * 1.3, "estimate")
+        assert (r["required_bytes"], r["basis"]) == (plain if r["backupset"] == "hot" else expected[r["run_id"]])
     switched_off = history.historic_estimate(runs, historic_size=False)
     assert switched_off.where("basis <> 'estimate'").count() == 0
 

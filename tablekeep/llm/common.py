@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tablekeep.session import scratch_dir
@@ -72,3 +74,22 @@ def mix64(values: np.ndarray) -> np.ndarray:
         values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return values ^ (values >> np.uint64(31))
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have ``most_bytes`` together, or one text that is longer."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    before = np.cumsum(sizes) - sizes
+    begin = 0
+    for row in range(1, batch.num_rows + 1):
+        if row == batch.num_rows or before[row] + sizes[row] - before[begin] > most_bytes:
+            yield batch.slice(begin, row - begin)
+            begin = row
+
+
+def ascii_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words between ASCII white space: bounds per text, the code of each word, the distinct words."""
+    pieces = [(text.as_py() or b"").split() for text in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(words) for words in pieces])]).astype(np.int64)
+    coded = pa.array([word for words in pieces for word in words], pa.binary()).dictionary_encode()
+    return bounds, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.common import group_bounds, mix64, settle, whole_groups
+from tablekeep.llm.common import group_bounds, mix64, settle, text_slices, whole_groups
 
 #: Tokens of a template window, and how many of them must be words and no placeholders.
 WIDTH = 5
@@ -110,7 +110,7 @@ def _window_rows(rows: DataFrame, width: int, min_words: int, shown: np.ndarray
     seen = rows.sparkSession.sparkContext.broadcast(shown) if shown is not None else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 2)):
             owner, pos, window, slots, reach = [], [], [], [], []
             for row, (template, value, slot) in enumerate(templates(batch.column(2))):
                 at, hashes = _windows(template, slot, width, min_words)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.common import segment_sums
+from tablekeep.llm.common import segment_sums, text_slices
 
 #: Bytes of an n-gram and the number of hashed n-grams a model tells apart. The model on the
 #: driver and in the broadcast has ``BUCKETS`` numbers for each language, whatever the corpus.
@@ -75,7 +75,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bucke
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             langs = np.array(batch.column(0).to_pylist(), object)
             bounds, codes, words = _words(batch.column(1))
             if not len(codes):
@@ -168,7 +168,7 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.languages
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             found: list[tuple] = []
             for scores, weights in _by_text(shared.value, batch.column(1)):
                 if not len(weights) or not names:
@@ -207,7 +207,8 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @F.arrow_udf("string")
     def first(texts: pa.Array) -> pa.Array:
-        return pa.array(_labels(shared.value, texts), pa.string())
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([label for part in text_slices(batch, 0) for label in _labels(shared.value, part.column(0))], pa.string())
 
     letters = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
     return docs.where(first(letters) != UNDETERMINED)

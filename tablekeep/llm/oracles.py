@@ -40,4 +40,22 @@ WITH usable AS (
 SELECT * FROM ranked WHERE rank <= 5
 """
 
-SQL = {"op6_substrings": SUBSTRINGS, "op9_nearest": NEAREST}
+#: A digest is 40 hexadecimal digits, 8 times 20 bits, each 4 letters of base32.
+WARC = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS p FROM pages
+), digests AS (
+    SELECT page_id, octet_length(p) AS payload_bytes, sha256(p) AS same, sha1(p) AS hex FROM payloads
+), named AS (
+    SELECT *, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY same, payload_bytes) AS first
+    FROM digests
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM named
+"""
+
+SQL = {"op4_warc": WARC, "op6_substrings": SUBSTRINGS, "op9_nearest": NEAREST}

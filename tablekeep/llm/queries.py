@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tablekeep.llm import decontamination, language, nearest, packing, pii, simhash, substrings
+from tablekeep.llm import decontamination, language, lm, nearest, packing, pii, quality, simhash, substrings, warc
 from tablekeep.llm.oracles import SQL
 from tablekeep.llm.settings import SURROGATE_KEY, VOCABULARY
 
@@ -24,6 +24,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +61,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_decontaminate": op2_decontaminate,
+    "op3_lm_scores": op3_lm_scores,
+    "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
     "op6_substrings": op6_substrings,
     "op7_surrogates": op7_surrogates,
     "op8_simhash": op8_simhash,

@@ -104,7 +104,7 @@ def word_scores(model: Model, words: pa.Array) -> np.ndarray:
     """Log-likelihood of each word in each language, the sum over its n-grams."""
     grams, bounds = _grams(words, model.logs.shape[1])
     scores = segment_sums(model.logs[:, grams].T.astype(np.float64), bounds)
-    return np.maximum(scores, scores.max(axis=1, keepdims=True) - WORD_FLOOR) if len(scores) else scores
+    return np.maximum(scores, scores.max(axis=1, keepdims=True) - WORD_FLOOR) if scores.size else scores
 
 
 def proportions(scores: np.ndarray, weights: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, float]:

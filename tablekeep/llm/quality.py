@@ -51,9 +51,10 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     """Counts of hashed terms, a row per text: words, their shapes and endings, repeats, and variety.
 
     A shape writes A, a and 9 for runs of capitals, other letters and digits. A word that equals
-    the one before it counts as a repeat. Null texts have no terms.
+    the one before it counts as a repeat. Null and blank texts have no terms.
     """
-    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts.cast(pa.large_string())))
+    trimmed = pc.utf8_trim_whitespace(texts.cast(pa.large_string()))
+    lists = pc.utf8_split_whitespace(pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, pa.large_string()), trimmed))
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
     words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)

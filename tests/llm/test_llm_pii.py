@@ -1,0 +1,97 @@
+import re
+
+import pytest
+
+from tablekeep.llm import pii
+
+KEY = b"a test key"
+TEXT = (
+    "Mr. John Smith met Frau Müller. Smith called +1 (437) 555-0689, and 4111 1111 1111 1111 or 4111-1111-1111-1111; SMITH? "
+    'Анна Иванова пришла. mail A.B@x.com or a.b@x.com; version 3.0.1, 10.2.3.4 key DE89370400440532013000 token = "abcDEF123456" '
+    "078-05-1120 and 04dbebab91ab85687d33eeaaf9ac699e1188f962."
+)
+
+
+def test_types_and_normal_forms():
+    kinds = [e[2] for e in pii.entities(TEXT)]
+    assert kinds == [
+        "first:m:latin", "last:latin", "last:latin", "last:latin", "phone", "card", "card", "last:latin", "first:f:cyrillic", "last:cyrillic",
+        "email", "email", "ip", "iban", "secret", "ssn", "secret",
+    ]
+    spans = [e[:2] for e in pii.entities(TEXT)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_surrogates_keep_format_script_gender_and_coreference():
+    new, n = pii.rewritten(TEXT, KEY, {})
+    assert n == 17
+    again = pii.entities(new)
+    by = [e[3] for e in again]
+    old = pii.entities(TEXT)
+    assert not {e[3] for e in old} & set(by)
+    first, smith, mueller, smith2 = re.match(r"Mr\. (\w+) (\w+) met Frau (\w+)\. (\w+) called", new).groups()
+    assert smith == smith2 and f"{smith.upper()}?" in new and len({first, smith, mueller}) == 3
+    phone, card, dashed = re.search(r"(\+1 \(\d{3}\) \d{3}-\d{4}), and (\d{4} \d{4} \d{4} \d{4}) or (\d{4}-\d{4}-\d{4}-\d{4});", new).groups()
+    assert card.replace(" ", "") == dashed.replace("-", "") and pii._luhn(dashed.replace("-", "")) and phone[:2] == "+1"
+    mail, lower = re.search(r"mail (\S+) or (\S+);", new).groups()
+    assert mail.lower() == lower and mail != lower and "version 3.0.1, 10." in new
+    iban = re.search(r"key (DE\d{20})", new)[1]
+    assert pii._iban_rest(iban) == 1
+    assert re.search(r"[а-я]+ия|[а-я]+а", new)
+
+
+@pytest.mark.parametrize("text", ["", "The Cat sat. Version 2.0. room 12345", "1234567812345678 is no card", "999.1.1.1", "Paris London", "he said x@y", "a-b 1-2-3"])
+def test_clean_texts_stay(text):
+    assert pii.rewritten(text, KEY, {}) == (text, 0)
+
+
+def test_the_key_decides():
+    assert pii.surrogate(b"1", "email", "a@b.com") != pii.surrogate(b"2", "email", "a@b.com") == pii.surrogate(b"2", "email", "a@b.com")
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    entities = [("ip", f"9.9.9.{k}") for k in range(60)] + [("ip", "1.1.1.1")]
+    real = pii.surrogate
+
+    def crowded(key, kind, normal, attempt=0):
+        return f"1.1.1.{int(normal.rpartition('.')[2]) % 7 + 1}" if attempt < 2 else real(key, kind, normal, attempt)
+
+    monkeypatch.setattr(pii, "surrogate", crowded)
+    table = pii.assigned(spark.createDataFrame([*entities, *entities], "kind string, normal string").coalesce(1), KEY).collect()
+    assert len(table) == 61
+    assert len({r["surrogate"] for r in table}) == 61
+    assert not {r["surrogate"] for r in table} & {r["normal"] for r in table}
+
+
+ROWS = [(1, "call +1 (437) 555-0689"), (2, "again +1 (437) 555-0689 or +1 (437) 555-0690"), (3, None), (4, ""), (None, "x a.b@x.com"), (1, "call +1 (437) 555-0689"), (5, "clean")]
+
+
+def test_documents_with_nulls_and_repeats(docs_of):
+    docs = docs_of(ROWS).repartition(3)
+    new = pii.pseudonymised(docs, KEY, count_col="mentions")
+    assert new.columns == [*docs.columns, "mentions"]
+    rows = new.collect()
+    assert sorted(((r["doc_id"], r["mentions"]) for r in rows), key=repr) == sorted([(1, 1), (2, 2), (3, 0), (4, 0), (None, 1), (1, 1), (5, 0)], key=repr)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert texts[3] is None and texts[4] == "" and texts[5] == "clean"
+    assert texts[1].removeprefix("call ") == texts[2].removeprefix("again ").split(" or ")[0] != "+1 (437) 555-0689"
+    assert len(set(texts[2].removeprefix("again ").split(" or "))) == 2
+    assert pii.pseudonymised(docs.limit(0), KEY).collect() == []
+
+
+def test_moved_surrogates_reach_the_texts(docs_of, monkeypatch):
+    monkeypatch.setattr(pii, "assigned", lambda found, key: found.selectExpr("kind", "normal", "1 AS attempt").distinct())
+    rows = pii.pseudonymised(docs_of(ROWS[:1]), KEY).collect()
+    assert pii.dressed("+1 (437) 555-0689", "phone", pii.surrogate(KEY, "phone", "14375550689", 1)) in rows[0]["text"]
+
+
+def test_no_personal_data_is_left_in_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    old = {r["doc_id"]: r["text"] for r in docs.collect()}
+    new = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, KEY).collect()}
+    patterns = [r"[\w.]+@[\w.]+\w", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"[0-9A-Fa-f]{40}", r"\b\d+\.\d+\.\d+\.\d+\b"]
+    everything = "\n".join(new.values())
+    for pattern in patterns:
+        found = {m for text in old.values() for m in re.findall(pattern, text)}
+        assert found and not [m for m in found if m in everything]
+    assert all(new[k] == text for k, text in old.items() if not re.search(r"[\d@]", text))

@@ -79,7 +79,12 @@ def _anchored(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _extended(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Rows ``(mark, start, anchor, window)``: seeds extended both ways to every window they anchor."""
+    """Seeds extended both ways as far as the windows reach that they anchor, a row for each seed.
+
+    ``start`` is the first of these windows, ``windows`` the hashes of all of them in order, and
+    ``span`` that of the whole stretch.
+    """
+    powers = np.cumprod(np.full(length, _BASE), dtype=np.uint64)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,13 +96,35 @@ def _extended(texts: DataFrame, length: int, anchor: int) -> DataFrame:
                 places = np.repeat(bounds[:-1], counts) + seeds.flatten().to_numpy(zero_copy_only=False)
                 kept = np.isin(at, places)
                 starts, at = starts[kept], at[kept]
+                if not len(starts):
+                    continue
                 windows = _rolling(hashes, length, np.uint64(0x9E3779B97F4A7C15))[starts]
-                owner = np.searchsorted(bounds, starts, side="right") - 1
-                columns = [batch.column(0).take(pa.array(owner)), pa.array((starts - bounds[owner]).astype(np.int32))]
-                columns += [pa.array(grams[at].view(np.int64)), pa.array(windows.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["mark", "start", "anchor", "window"])
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # windows of one anchor are neighbours
+                sizes = np.diff(np.append(first, len(at)))
+                spans = mix64(np.add.reduceat(windows * powers[starts - np.repeat(starts[first], sizes)], first) + sizes.astype(np.uint64))
+                owner = np.searchsorted(bounds, starts[first], side="right") - 1
+                columns = [batch.column(0).take(pa.array(owner)), pa.array((starts[first] - bounds[owner]).astype(np.int32))]
+                columns += [pa.array(grams[at[first]].view(np.int64)), pa.array(spans.view(np.int64))]
+                columns.append(pa.ListArray.from_arrays(np.append(first, len(at)).astype(np.int32), pa.array(windows.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=["mark", "start", "anchor", "span", "windows"])
+
+    return texts.select("mark", "text", "seeds").mapInArrow(task, "mark long, start int, anchor long, span long, windows array<long>")
 
-    return texts.select("mark", "text", "seeds").mapInArrow(task, "mark long, start int, anchor long, window long")
+
+def _repeated(seeds: DataFrame) -> DataFrame:
+    """Rows ``(anchor, span, offsets)``: which windows of each different stretch are repeated.
+
+    If all stretches around an anchor are equal, all their windows are repeated. Else the windows
+    of the different stretches are counted, each as often as its stretch occurs.
+    """
+    spans = settle(seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "spans")
+    several = spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor")
+    alone = spans.join(several, "anchor", "left_anti").where("n > 1")
+    whole = alone.select("anchor", "span", F.sequence(F.lit(0), F.size("windows") - 1).alias("offsets"))
+    each = settle(spans.join(several, "anchor"), "different-spans").select("anchor", "span", "n", F.posexplode("windows").alias("offset", "window"))
+    repeats = each.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window")
+    parts = each.join(repeats, ["anchor", "window"]).groupBy("anchor", "span").agg(F.collect_list("offset").alias("offsets"))
+    return whole.unionAll(parts)
 
 
 def _without(texts: DataFrame, length: int) -> DataFrame:
@@ -130,9 +157,10 @@ def _found(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str
     repeated = anchors.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors")
     seeds = anchors.join(repeated, "anchors").groupBy("mark").agg(F.collect_set("places").alias("seeds"))
     seeded = settle(texts.select("mark", "text").join(seeds, "mark"), "seeded")
-    windows = settle(_extended(seeded, length, anchor), "windows")
-    repeats = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    starts = windows.join(repeats, ["anchor", "window"]).groupBy("mark").agg(F.collect_set("start").alias("starts"))
+    extended = settle(_extended(seeded, length, anchor), "extended")
+    places = extended.select("mark", "start", "anchor", "span").join(_repeated(extended), ["anchor", "span"])
+    starts = places.select("mark", F.transform("offsets", lambda offset: offset + F.col("start")).alias("s"))
+    starts = starts.groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
     cut = seeded.dropDuplicates(["mark"]).select("mark", "text").join(starts, "mark").select("mark", "text", "starts")
     return base, _without(cut, length)
 

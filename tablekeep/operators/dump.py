@@ -21,6 +21,9 @@ DATA_DIR = "backup_data"
 MANIFEST_DIR = "manifest"
 ALL_DATABASES = "all_databases"
 DUMP_THREADS = 4
+# No encoded name looks like this: letters in parentheses are hexadecimal digits.
+EMPTY_NAME = "(empty)"
+COMBINED_SCHEMA = "database string, name string, row string"
 
 MANIFEST_SCHEMA = (
     "database string, name string, path string, format string, codec string, per_database boolean, "
@@ -112,6 +115,11 @@ def combine_tables(tables: Mapping[TableName, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (rows(table, df) for table, df in tables.items()))
 
 
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of the rows as text."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0] or 0
+
+
 def records_per_file(df: DataFrame, split_bytes: int) -> int:
     """Rows that make about ``split_bytes`` of text. Reads the table once to get the mean."""
     size = F.octet_length(F.to_json(F.struct("*")))
@@ -127,6 +135,11 @@ def table_name(name: str | TableName) -> TableName:
     return database, table
 
 
+def partition_name(name: str) -> str:
+    """A name as the value of a partition column: never empty, never taken for a number's other spelling."""
+    return path_name(name) or EMPTY_NAME
+
+
 def table_path(database: str, table: str) -> str:
     return "/".join(path_name(part) for part in (database, table) if part)
 
@@ -139,6 +152,8 @@ def dump(
     codec: str | None = None,
     level: int | None = None,
     max_records_per_file: int = 0,
+    split_bytes: int = 0,
+    order_by_size: bool = False,
     order_by: Mapping[str | TableName, Sequence[str]] | None = None,
     what: str = "both",
     local_zone: str | None = None,
@@ -147,11 +162,12 @@ def dump(
 ) -> DataFrame:
     """Write tables below ``root`` and return the manifest.
 
-    Tables are written in the given order, up to ``threads`` jobs at a time, each by its own
+    Tables are written in the given order, or small ones first with ``order_by_size``, up to ``threads`` jobs at a time, each by its own
     tasks. The manifest comes last: a dump without one failed. ``what`` is ddl, data or both;
     the schemas are in the manifest. ``local_zone`` turns local times into UTC. ``order_by``
     names the columns a table is sorted by, across its files too; make them a unique key, as rows
-    with equal keys stay in one task. ``dry_run`` writes nothing.
+    with equal keys stay in one task. ``split_bytes`` cuts files at about so many bytes of text,
+    measured per table. ``dry_run`` writes nothing.
     """
     if what not in ("ddl", "data", "both"):
         raise ValueError("what must be ddl, data or both")
@@ -159,6 +175,8 @@ def dump(
         raise ValueError("no tables to dump")
     named = {table_name(name): to_utc(df, local_zone) if local_zone else df for name, df in tables.items()}
     sort_keys = {table_name(name): list(keys) for name, keys in (order_by or {}).items()}
+    if order_by_size:
+        named = dict(sorted(named.items(), key=lambda item: text_bytes(item[1])))
     spark = next(iter(named.values())).sparkSession
     chosen = codec_for(codec, fmt, level)
 
@@ -175,12 +193,16 @@ def dump(
     if dry_run:
         return plan
 
+    def most_rows(df: DataFrame) -> int:
+        limits = [n for n in (max_records_per_file, records_per_file(df, split_bytes) if split_bytes else 0) if n]
+        return min(limits, default=0)
+
     def write(table: TableName) -> None:
         df = named[table]
         if table in sort_keys:
             df = df.repartitionByRange(*sort_keys[table]).sortWithinPartitions(*sort_keys[table])
         writer = writer_for(df, fmt, codec, level)
-        writer.option("maxRecordsPerFile", max_records_per_file).save(f"{root}/{relative(table)}")
+        writer.option("maxRecordsPerFile", most_rows(named[table])).save(f"{root}/{relative(table)}")
 
     if what != "ddl" and per_database:
         with ThreadPoolExecutor(max_workers=threads) as pool:
@@ -188,8 +210,9 @@ def dump(
                 done.result()
     elif what != "ddl":
         # one folder per table keeps a selective restore from reading the rest
-        writer = writer_for(combine_tables(named), fmt, codec, level).partitionBy("database", "name")
-        writer.option("maxRecordsPerFile", max_records_per_file).save(f"{root}/{DATA_DIR}/{ALL_DATABASES}")
+        together = combine_tables({tuple(map(partition_name, table)): df for table, df in named.items()})
+        writer = writer_for(together, fmt, codec, level).partitionBy("database", "name")
+        writer.option("maxRecordsPerFile", most_rows(together)).save(f"{root}/{DATA_DIR}/{ALL_DATABASES}")
     plan.coalesce(1).write.json(f"{root}/{MANIFEST_DIR}")
     return plan
 
@@ -208,10 +231,14 @@ def dump_partitioned(
 _ESCAPES = [("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0")]
 
 
-def _literal(field: T.StructField, hex_blob: bool) -> Column:
+def _literal(field: T.StructField, hex_blob: bool, strict: bool) -> Column:
     col, kind = F.col(f"`{field.name}`"), field.dataType
     if isinstance(kind, T.BooleanType):
         text = col.cast("int").cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        refused = F.raise_error(F.lit(f"{field.name} holds a value that is no number")).cast("string")
+        odd = F.isnan(col) | (F.abs(col) == float("inf"))
+        text = F.when(odd, refused if strict else F.lit(None).cast("string")).otherwise(col.cast("string"))
     elif isinstance(kind, T.NumericType):
         text = col.cast("string")
     elif isinstance(kind, T.BinaryType) and hex_blob:
@@ -236,24 +263,28 @@ def to_insert_sql(
     hex_blob: bool = False,
     ignore: bool = False,
     quote_names: bool = True,
-    key: str | None = None,
+    key: str | Sequence[str] | None = None,
     chunk_bytes: int = 1024**2,
+    strict: bool = False,
 ) -> DataFrame:
     """The rows as ``INSERT`` statements, ``DF(statement)``.
 
-    The extended form puts many rows, in the order of the unique numeric column ``key``, into
+    NaN and infinite numbers, which SQL cannot write, become NULL, or an error if ``strict``.
+
+    The extended form puts many rows, in the order of the unique ``key``, one or more columns, into
     statements of about ``chunk_bytes`` and adds ``chunk_id``. No statement is larger than that
     plus one row, so no task gathers more.
     """
     values = F.concat(
-        F.lit("("), F.concat_ws(",", *(_literal(f, hex_blob) for f in df.schema.fields)), F.lit(")")
+        F.lit("("), F.concat_ws(",", *(_literal(f, hex_blob, strict) for f in df.schema.fields)), F.lit(")")
     )
     head = F.lit(f"INSERT {'IGNORE ' if ignore else ''}INTO {_identifier(table, quote_names)} VALUES ")
     if not extended:
         return df.select(F.concat(head, values, F.lit(";")).alias("statement"))
     if key is None:
         raise ValueError("extended statements need the key that orders the rows")
-    rows = df.select(F.col(key).alias("_order"), values.alias("_values"))
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.select(F.struct(*keys).alias("_order"), values.alias("_values"))
     sized = rows.withColumn("_bytes", F.octet_length("_values"))
     in_order = F.sort_array(F.collect_list(F.struct("_order", "_values")))
     return (

@@ -112,13 +112,15 @@ def writer_for(df: DataFrame, fmt: str, method: str | None, level: int | None) -
     if fmt == "csv":
         df = _checked_texts(df)
     writer = df.write.format(fmt).options(**FORMAT_OPTIONS.get(fmt, {})).option("compression", codec)
-    if level and codec == "gzip":
+    if not level:
+        return writer
+    if codec in ("gzip", "deflate"):
         if level not in GZIP_LEVELS:
-            raise ValueError("a gzip level lies between 0 and 9")
-        writer = writer.option("zlib.compress.level", GZIP_LEVELS[level])
-    if level and codec == "zstd" and fmt == "parquet":
-        writer = writer.option("parquet.compression.codec.zstd.level", str(level))
-    return writer
+            raise ValueError(f"a {codec} level lies between 0 and 9")
+        return writer.option("zlib.compress.level", GZIP_LEVELS[level])
+    if codec == "zstd" and fmt == "parquet":
+        return writer.option("parquet.compression.codec.zstd.level", str(level))
+    raise ValueError(f"Spark takes no level for {codec} in {fmt}")
 
 
 def with_format(reader: DataFrameReader, fmt: str) -> DataFrameReader:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablekeep.functions.globs import include_glob, qualify
-from tablekeep.operators.dump import MANIFEST_DIR, MANIFEST_SCHEMA
+from tablekeep.operators.dump import COMBINED_SCHEMA, MANIFEST_DIR, MANIFEST_SCHEMA, partition_name
 from tablekeep.plans.formats import FORMAT_OPTIONS, with_format
 
 
@@ -31,8 +31,8 @@ def _read_table(spark: SparkSession, root: str, entry: Row, schema: StructType |
         return (reader.schema(schema) if schema else reader).load(f"{root}/{entry.path}")
     if schema is None:
         raise ValueError("a dump of data only needs the table's schema to be restored")
-    together = with_format(spark.read, entry.format).load(f"{root}/{entry.path}")
-    mine = together.where((F.col("database") == entry.database) & (F.col("name") == entry.name))
+    together = with_format(spark.read, entry.format).schema(COMBINED_SCHEMA).load(f"{root}/{entry.path}")
+    mine = together.where((F.col("database") == partition_name(entry.database)) & (F.col("name") == partition_name(entry.name)))
     return mine.select(F.from_json("row", schema, FORMAT_OPTIONS["json"]).alias("row")).select("row.*")
 
 

@@ -196,3 +196,41 @@ def test_many_databases_in_one_job(spark, folder):
     df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "hot / x").otherwise(F.concat(F.lit("d"), F.col("id") % 5)).alias("database"), "id")
     dump.dump_partitioned(df, f"{folder}/d")
     assert same(spark.read.parquet(f"{folder}/d/backup_data").select("database", "id"), df)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_one_dataset_keeps_odd_names_apart(spark, folder, fmt):
+    tables = {("", "orders"): 5, ("1", "t"): 2, ("01", "t"): 3, ("é/b", "x=%y"): 4, ("(empty)", "orders"): 1}
+    frames = {name: spark.range(n).withColumn("t", F.lit("x")) for name, n in tables.items()}
+    dump.dump(frames, f"{folder}/d", per_database=False, fmt=fmt)
+    for (database, name), n in tables.items():
+        assert dumps.restore(spark, f"{folder}/d", name, database=database).count() == n
+
+
+def test_levels_are_passed_on_or_refused(spark, folder):
+    for fmt, codec in (("orc", "gzip"), ("orc", "zstd"), ("csv", "bzip2"), ("parquet", "snappy")):
+        with pytest.raises(ValueError, match="no level"):
+            dump.dump({"t": spark.range(3)}, f"{folder}/{fmt}-{codec}", fmt=fmt, codec=codec, level=3)
+    dump.dump({"t": spark.range(3)}, f"{folder}/deflate", fmt="csv", codec="deflate", level=9)
+    assert dumps.restore(spark, f"{folder}/deflate", "t").count() == 3
+
+
+def test_files_are_split_by_bytes(spark, folder):
+    rows = spark.range(20_000).coalesce(1)
+    dump.dump({"t": rows}, f"{folder}/s", fmt="json", codec="none", split_bytes=50_000)
+    sizes = [r[0] for r in dumps.restore(spark, f"{folder}/s", "t").select("_metadata.file_size").distinct().collect()]
+    files = dumps.restore(spark, f"{folder}/s", "t").select("_metadata.file_path").distinct().count()
+    assert files > 4 and max(sizes) < 60_000
+    with_both = dump.dump({"big": rows, "small": spark.range(2)}, f"{folder}/o", order_by_size=True, dry_run=True)
+    assert [r["name"] for r in with_both.collect()] == ["small", "big"]
+
+
+def test_numbers_that_sql_cannot_write(spark):
+    rows = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 1.5)], "k long, v double")
+    texts = [r["statement"] for r in dump.to_insert_sql(rows.coalesce(1), "t", extended=False).collect()]
+    assert texts == ["INSERT INTO `t` VALUES (1,NULL);", "INSERT INTO `t` VALUES (2,NULL);", "INSERT INTO `t` VALUES (3,1.5);"]
+    with pytest.raises(PySparkException, match="no number"):
+        dump.to_insert_sql(rows, "t", extended=False, strict=True).collect()
+    by_text = rows.select(F.concat(F.lit("x"), "k").alias("name"), "k")
+    chunks = dump.to_insert_sql(by_text, "t", key=["name", "k"], chunk_bytes=20).orderBy("chunk_id").collect()
+    assert "".join(r["statement"] for r in chunks).count("(") == 3

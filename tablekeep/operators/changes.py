@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.plans.settled import settle
-from tablekeep.plans.sliced import next_after, slice_by_quantiles, slice_large_groups
+from tablekeep.plans.sliced import next_after, slice_rows
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
@@ -21,14 +21,26 @@ def latest_changes(
 ) -> DataFrame:
     """The last change of each key: ``key, seq, deleted, values``.
 
-    Combined on the map side, so a key with very many changes sends one row per task. The
-    result does not depend on the order or the repetition of log rows.
+    Combined on the map side, so a key with very many changes sends one row per task. Of several
+    changes with the last ``seq`` a deletion wins, then the largest values in their order, so the
+    result does not depend on the order or the repetition of log rows. A row without an
+    operation is an error.
     """
-    return log.groupBy(*_names(key)).agg(
-        F.max(seq).alias(seq),
-        F.max_by(F.col(op) == "D", seq).alias("deleted"),
-        *(F.max_by(v, seq).alias(v) for v in values),
-    )
+    missing = F.raise_error(F.lit("a change has no operation")).cast("boolean")
+    deleted = F.when(F.col(op).isNull(), missing).otherwise(F.col(op) == "D")
+    last = F.max(F.struct(F.col(seq).alias("_seq"), deleted.alias("_deleted"), *values)).alias("_last")
+    return _last_changes(log.groupBy(*_names(key)).agg(last), key, seq, values)
+
+
+def _last_changes(latest: DataFrame, key: str | Sequence[str], seq: str, values: Sequence[str]) -> DataFrame:
+    fields = [F.col("_last._seq").alias(seq), F.col("_last._deleted").alias("deleted")]
+    return latest.select(*_names(key), *fields, *(F.col("_last").getField(v).alias(v) for v in values))
+
+
+def newest_changes(changes: DataFrame, key: str | Sequence[str], seq: str, values: Sequence[str]) -> DataFrame:
+    """As ``latest_changes`` for rows that are last changes themselves, of parts of a log."""
+    last = F.max(F.struct(F.col(seq).alias("_seq"), F.col("deleted").alias("_deleted"), *values)).alias("_last")
+    return _last_changes(changes.groupBy(*_names(key)).agg(last), key, seq, values)
 
 
 def apply_latest(
@@ -43,15 +55,13 @@ def apply_latest(
     keys = _names(key)
     if incremental:
         latest = settle(latest, "changes")
-    renamed = latest.select(*keys, "deleted", *(F.col(v).alias(f"_new_{v}") for v in values))
-    new_or_old = [
-        F.when(F.col("deleted").isNotNull(), F.col(f"_new_{v}")).otherwise(F.col(v)).alias(v) for v in values
-    ]
-    alive = F.coalesce(~F.col("deleted"), F.lit(True))
+    renamed = latest.select(*keys, F.col("deleted").alias("_deleted"), F.lit(True).alias("_changed"), *(F.col(v).alias(f"_new_{v}") for v in values))
+    new_or_old = [F.when(F.col("_changed"), F.col(f"_new_{v}")).otherwise(F.col(v)).alias(v) for v in values]
+    alive = F.coalesce(~F.col("_deleted"), F.lit(True))
     if not incremental:
         return base.join(renamed, keys, "full_outer").where(alive).select(*keys, *new_or_old)
     updated = base.join(renamed, keys, "left").where(alive).select(*keys, *new_or_old)
-    touched = base.select(*keys).join(renamed.select(*keys), keys, "left_semi")
+    touched = settle(base.select(*keys).join(renamed.select(*keys), keys, "left_semi"), "touched")
     inserted = (
         renamed.where(alive)
         .join(touched, keys, "left_anti")
@@ -74,11 +84,16 @@ def apply_changes(
 
 
 def dump_view(
-    versions: DataFrame, key: str | Sequence[str], ts: str, history: bool = False, tie: str | None = None
+    versions: DataFrame,
+    key: str | Sequence[str],
+    ts: str,
+    history: bool = False,
+    tie: str | None = None,
+    slice_bytes: int | None = None,
 ) -> DataFrame:
     """Current rows only, or every version with its validity end ``valid_to``.
 
-    ``tie`` orders versions of a key with the same time.
+    ``tie`` orders versions of a key with the same time; versions without a time come first.
     """
     keys = _names(key)
     order = [ts, tie] if tie else [ts]
@@ -86,10 +101,8 @@ def dump_view(
         rest = [c for c in versions.columns if c not in keys]
         current = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_current"))
         return current.select(*keys, "_current.*").select(*versions.columns)
-    timed = versions.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
-    numbered = slice_by_quantiles(timed, "_micros", out="_number")
-    sliced = slice_large_groups(numbered, keys, F.col("_number"))
-    return next_after(sliced, keys, order, "_slice", F.col(ts), "valid_to").drop("_micros", "_number", "_slice")
+    sliced = slice_rows(versions, [*keys, *order], slice_bytes=slice_bytes)
+    return next_after(sliced, keys, order, "_slice", F.col(ts), "valid_to").drop("_slice")
 
 
 def record_positions(
@@ -126,5 +139,5 @@ def invalid_views(views: DataFrame, deps: DataFrame, objects: DataFrame) -> tupl
 
     ``deps`` has ``view, object``, ``objects`` has ``object``.
     """
-    broken = deps.join(objects, "object", "left_anti").select("view").distinct()
+    broken = settle(deps.join(objects, "object", "left_anti").select("view").distinct(), "broken-views")
     return views.join(broken, "view", "left_anti"), views.join(broken, "view", "left_semi")

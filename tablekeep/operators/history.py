@@ -7,14 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.functions.times import run_day
 from tablekeep.operators.retention import RUN_ORDER
-from tablekeep.plans.sliced import last_before, slice_large_groups
+from tablekeep.plans.sliced import last_before, slice_rows
 
 LOW_SPACE_SHARE = 0.10
 
-_SLICE = "_slice"
-
 
 def valid_runs(runs: DataFrame) -> DataFrame:
     """Runs whose record names a plugin; the others are broken."""
@@ -50,6 +47,7 @@ def historic_estimate(
     historic_factor: float | Column = 1.1,
     size_factor: float | Column = 1.0,
     order: Sequence[str] = RUN_ORDER,
+    slice_bytes: int | None = None,
 ) -> DataFrame:
     """Add the space each run will need, as ``required_bytes``, and its ``basis``.
 
@@ -63,8 +61,8 @@ def historic_estimate(
     if historic_size is False:
         return runs.withColumn("required_bytes", plain).withColumn("basis", F.lit("estimate"))
     success = F.when(~F.col("failed"), F.struct("estimated_size", "on_disk_size", "estimated_size_factor"))
-    sliced = slice_large_groups(runs, ["backupset"], run_day("name"), _SLICE)
-    with_prior = last_before(sliced, ["backupset"], order, _SLICE, success, "_prior")
+    sliced = slice_rows(runs, ["backupset", *order], slice_bytes=slice_bytes)
+    with_prior = last_before(sliced, ["backupset"], order, "_slice", success, "_prior")
     prior = F.col("_prior")
     enabled = historic_size if isinstance(historic_size, Column) else F.lit(True)
     usable = F.coalesce(
@@ -80,7 +78,7 @@ def historic_estimate(
             F.when(usable, prior.on_disk_size.cast("double") * historic_factor).otherwise(plain),
         )
         .withColumn("basis", F.when(usable, "history").otherwise("estimate"))
-        .drop("_prior", _SLICE)
+        .drop("_prior", "_slice")
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablekeep.functions.times import run_day
 from tablekeep.plans.settled import settle
 
-RUN_ORDER = ("name", "run_id")
+RUN_ORDER = ("name",)
 
 _SLICE = "_slice"
 
@@ -39,6 +39,8 @@ def _with_border(runs: DataFrame, border_days: DataFrame, chosen: Column, order:
     ``border_days`` has one row per set that has a border. ``chosen`` picks the border run
     inside its day; where it picks several, the last one counts.
     """
+    if order[0] != "name":
+        raise ValueError("runs are kept and purged by age: the order must start with name")
     days = settle(border_days, "border-days")
     in_day = runs.withColumn(_SLICE, run_day("name")).join(days, ["backupset", _SLICE])
     borders = (

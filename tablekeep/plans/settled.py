@@ -1,4 +1,4 @@
-"""Small intermediate results, computed once."""
+"""Intermediate results, computed once."""
 
 from __future__ import annotations
 
@@ -7,24 +7,15 @@ from pyspark.sql import DataFrame
 from tablekeep.session import scratch_dir
 
 
-def _sure_to_be_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own estimate, which only errs upwards here, is below its threshold."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(str(estimate)) <= threshold
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Compute ``df`` now into a table in the scratch folder and read it from there.
 
     Spark guesses the size of an aggregated result from its input, and then shuffles a large
     table to join it with a handful of rows. Of a written table it knows the size: it is
     broadcast below ``spark.sql.autoBroadcastJoinThreshold`` and shuffled beyond. The table
-    also outlives lost executors. Where the guess is below the threshold already, nothing is
-    computed ahead.
+    also outlives lost executors. It is written whatever its size, and stays until the scratch
+    folder is emptied, as later readings of lazy results need it.
     """
-    if _sure_to_be_broadcast(df):
-        return df
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,77 +1,50 @@
 """Ordered computations over groups of any size.
 
-A window over a whole group runs in one task, however large the group. Here large groups are
-cut into slices by a column that never decreases in the window's order. The window runs inside
-(group, slice); what the other slices contribute is one aggregated row per slice, settled and
-joined back. The rows are shuffled once, by (group, slice), and no task holds more than one
-slice of a large group. A group whose slice is NULL is not cut.
-
-Group and order columns must not be NULL.
+A window over a whole group runs in one task, however large the group. Here all rows are cut
+into slices of about equal bytes, range-partitioned by group and order, so a large group spans
+many slices and small ones share one. The window runs inside (group, slice); what the other
+slices contribute is one aggregated row per group and slice, settled and joined back. There is
+one algorithm for every size. NULL is a group like any other, and sorts first in an order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekeep.plans.settled import settle
-from tablekeep.session import shuffle_partitions
-
-SLICES_PER_PARTITION = 4
-
-# Quantiles are exact to a fraction of their distance, so asking for very many is dear.
-# Slices beyond this number divide the space between two quantiles evenly.
-MAX_QUANTILES = 1000
-
-
-def slice_by_quantiles(df: DataFrame, key: str, slices: int | None = None, out: str = "_slice") -> DataFrame:
-    """Number the rows by approximate quantiles of a numeric column, so slices are of like size.
 
-    Runs one aggregate job over that single column. The bounds become constants of the plan:
-    every later reading of it, also after lost executors, sees the same slices.
-    """
-    slices = slices or SLICES_PER_PARTITION * shuffle_partitions(df.sparkSession)
-    ranks = np.linspace(0, 1, min(slices, MAX_QUANTILES) + 1)
-    keyed = df.withColumn("_key", F.col(key).cast("double"))
-    quantiles = keyed.approxQuantile("_key", ranks.tolist(), 0.25 / (len(ranks) - 1))
-    if not quantiles:
-        return df.withColumn(out, F.lit(0))
-    bounds = np.unique(np.interp(np.linspace(0, 1, slices + 1), ranks, quantiles))
-    bucketizer = Bucketizer(splits=[-np.inf, *bounds.tolist(), np.inf], inputCol="_key", outputCol=out)
-    return bucketizer.transform(keyed).drop("_key").withColumn(out, F.col(out).cast("int"))
-
-
-# Rows of one group a single task sorts with ease.
-LARGE_GROUP_ROWS = 1_000_000
+# Bytes, as text, of the rows that one task puts in order.
+SLICE_BYTES = 256 * 1024**2
 
 
-def slice_large_groups(df: DataFrame, groups: Sequence[str], by: Column, out: str = "_slice") -> DataFrame:
-    """Number the rows of groups with more than ``LARGE_GROUP_ROWS`` rows by ``by``.
+def slice_rows(
+    df: DataFrame, order: Sequence[str], size: Column | None = None, slice_bytes: int | None = None, out: str = "_slice"
+) -> DataFrame:
+    """Number the rows by slices that never decrease along ``order``, each of about ``slice_bytes``.
 
-    The large groups, few as each stands for very many rows, are counted out first. The others
-    keep a NULL slice and cost nothing more than a plain window.
+    ``order`` takes columns of any orderable type; add one that tells ties apart, as equal rows
+    stay together. ``size`` is the bytes of a row, without it those of its JSON text. The numbered
+    rows are settled: every later reading, also after lost executors, sees the same slices.
     """
-    groups = list(groups)
-    large = (
-        df.groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > LARGE_GROUP_ROWS)
-        .select(*groups, F.lit(True).alias("_large"))
-    )
-    flagged = df.join(settle(large, "large-groups"), groups, "left")
-    return flagged.withColumn(out, F.when(F.col("_large"), by)).drop("_large")
+    bytes_of = size if size is not None else F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    total = df.agg(F.sum(bytes_of.cast("double"))).first()[0] or 0
+    slices = max(1, -(-int(total) // (slice_bytes or SLICE_BYTES)))
+    ranged = df.repartitionByRange(slices, *order).withColumn(out, F.spark_partition_id())
+    return settle(ranged, "slices-of-rows")
 
 
-def _slice_totals(df: DataFrame, keys: Sequence[str], slice_col: str, total: Column) -> DataFrame:
-    return df.where(F.col(slice_col).isNotNull()).groupBy(*keys).agg(total.alias("_total"))
+def _slice_totals(df: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(total.alias("_total"))
 
 
 def _join_carried(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(settle(carried, "slices"), list(keys), "left")
+    other = settle(carried, "slices").select(*(F.col(k).alias(f"_other_{k}") for k in keys), "_carried")
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys))
+    return df.join(other, same, "left").drop(*(f"_other_{k}" for k in keys))
 
 
 def _ordering(columns: Sequence[str], descending: bool) -> list[Column]:
@@ -99,7 +72,7 @@ def running_sum(
         .orderBy(*_ordering(order, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    carried = _slice_totals(df, keys, slice_col, F.sum(value)).select(
+    carried = _slice_totals(df, keys, F.sum(value)).select(
         *keys, F.sum("_total").over(earlier).alias("_carried")
     )
     own = F.coalesce(F.sum(value).over(inside), F.lit(0))
@@ -118,7 +91,7 @@ def last_before(
     earlier = Window.partitionBy(*groups).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
-    carried = _slice_totals(df, keys, slice_col, newest).select(
+    carried = _slice_totals(df, keys, newest).select(
         *keys, F.last("_total", ignorenulls=True).over(earlier).alias("_carried")
     )
     return (
@@ -134,7 +107,7 @@ def next_after(
     """Add the value of the next row; NULL on the last row of a group."""
     groups, keys = list(groups), [*groups, slice_col]
     by_slice = Window.partitionBy(*groups).orderBy(slice_col)
-    carried = _slice_totals(df, keys, slice_col, F.min_by(value, F.struct(*order))).select(
+    carried = _slice_totals(df, keys, F.min_by(value, F.struct(*order))).select(
         *keys, F.lead("_total").over(by_slice).alias("_carried")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)

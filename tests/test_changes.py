@@ -2,10 +2,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tablekeep.operators import changes
-from tablekeep.plans import sliced
+from tablekeep.plans.sliced import slice_rows
 
 LOG = "seq long, k long, op string, a string, b double"
 BASE = "k long, a string, b double"
@@ -61,9 +62,8 @@ def test_small_logs_leave_the_base_in_place(spark):
     assert "BroadcastHashJoin" in plan
 
 
-@pytest.mark.parametrize("large", [50, 1_000_000])
-def test_versions(spark, large, monkeypatch):
-    monkeypatch.setattr(sliced, "LARGE_GROUP_ROWS", large)
+@pytest.mark.parametrize("slice_bytes", [500, 1 << 28])
+def test_versions(spark, slice_bytes):
     start = datetime(2024, 1, 1)
     rng = random.Random(2)
     data = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(9)}", start + timedelta(seconds=rng.randrange(300)), i) for i in range(800)]
@@ -74,7 +74,7 @@ def test_versions(spark, large, monkeypatch):
             following[previous[key]] = ts
         following[i] = None
         previous[key] = newest[key] = i
-    got = changes.dump_view(versions, "k", "ts", history=True, tie="id").collect()
+    got = changes.dump_view(versions, "k", "ts", history=True, tie="id", slice_bytes=slice_bytes).collect()
     assert {r["id"]: r["valid_to"] for r in got} == following
     assert {r["k"]: r["id"] for r in changes.dump_view(versions, "k", "ts", tie="id").collect()} == newest
 
@@ -93,3 +93,32 @@ def test_views_without_dependencies_are_valid(spark):
     valid, quarantined = changes.invalid_views(views, deps, objects)
     assert {r[0] for r in valid.collect()} == {"b", "c"}
     assert {r[0] for r in quarantined.collect()} == {"a"}
+
+
+@pytest.mark.parametrize("slice_bytes", [60, 1 << 28])
+def test_versions_without_time_or_key(spark, slice_bytes):
+    day = datetime(2024, 1, 1)
+    rows = [("a", None, 1), ("a", None, 2), ("a", day, 3), (None, day, 4), (None, day, 5), (None, None, 6)]
+    versions = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long").repartition(3)
+    got = changes.dump_view(versions, "k", "ts", history=True, tie="id", slice_bytes=slice_bytes).collect()
+    assert {r["id"]: r["valid_to"] for r in got} == {1: None, 2: day, 3: None, 6: day, 4: day, 5: None}
+
+
+def test_a_hot_key_with_equal_times_is_cut(spark):
+    rows = [("hot", datetime(2024, 1, 1), i) for i in range(2000)]
+    versions = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long").repartition(4)
+    sizes = [r["count"] for r in slice_rows(versions, ["k", "ts", "id"], slice_bytes=5_000).groupBy("_slice").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 400
+
+
+def test_ties_repeats_and_changes_without_operation(spark):
+    base = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 0.0)], "k long, value double")
+    log = [(1, 5, "U", 1.0), (1, 5, "U", 2.0), (2, 7, "U", 9.0), (2, 7, "D", None), (3, 1, "U", None), (3, 1, "U", None)]
+    for rows in (log, log[::-1]):
+        frame = spark.createDataFrame(rows, "k long, seq long, op string, value double").coalesce(1)
+        for incremental in (False, True):
+            got = changes.apply_changes(base, frame, "k", "seq", incremental=incremental).collect()
+            assert {r["k"]: r["value"] for r in got} == {1: 2.0, 3: None}
+    broken = spark.createDataFrame([(1, 5, None, 1.0)], "k long, seq long, op string, value double")
+    with pytest.raises(PySparkException, match="no operation"):
+        changes.apply_changes(base, broken, "k", "seq").collect()

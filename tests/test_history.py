@@ -6,13 +6,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tablekeep.operators import history, retention
-from tablekeep.plans import sliced
 
 SCHEMA = (
     "backupset string, name string, run_id long, failed boolean, estimated_size long, on_disk_size long, "
     "estimated_size_factor double, plugin string, start_time timestamp_ntz, stop_time timestamp_ntz"
 )
 START = datetime(2024, 1, 1)
+ORDER = ("name", "run_id")
 
 
 @pytest.fixture(scope="module")
@@ -49,10 +49,10 @@ def purged(plan):
 @pytest.mark.parametrize("keep", [0, 1, 3, 40, 10_000])
 def test_retention_keeps_the_newest(runs, data, keep):
     expected = {row[2] for rows in grouped(data).values() for row in rows[: max(0, len(rows) - keep)]}
-    assert purged(retention.retention_plan(runs, keep)) == expected
-    assert purged(retention.retention_plan(runs.withColumn("k", F.lit(keep)), "k")) == expected
-    assert retention.retention_plan(runs, keep).count() == len(data)
-    newest = {r["run_id"] for r in retention.newest_n(runs, keep).collect()}
+    assert purged(retention.retention_plan(runs, keep, ORDER)) == expected
+    assert purged(retention.retention_plan(runs.withColumn("k", F.lit(keep)), "k", ORDER)) == expected
+    assert retention.retention_plan(runs, keep, ORDER).count() == len(data)
+    newest = {r["run_id"] for r in retention.newest_n(runs, keep, ORDER).collect()}
     assert newest == {row[2] for row in data} - expected
 
 
@@ -105,7 +105,7 @@ def test_purge_on_demand(spark, runs, data):
                 expected |= chosen
                 break
     frame = spark.createDataFrame(capacity, "backupset string, free_bytes long, required_bytes long")
-    plan = retention.purge_on_demand(runs, frame)
+    plan = retention.purge_on_demand(runs, frame, ORDER)
     assert purged(plan) == expected
     assert plan.count() == len(data)
 
@@ -117,9 +117,8 @@ def test_purge_on_demand_borders(spark, free, required, purges):
     assert len(purged(retention.purge_on_demand(runs, capacity))) == purges
 
 
-@pytest.mark.parametrize("large", [10, 1_000_000])
-def test_historic_estimate(runs, data, large, monkeypatch):
-    monkeypatch.setattr(sliced, "LARGE_GROUP_ROWS", large)
+@pytest.mark.parametrize("slice_bytes", [4_000, 1 << 28])
+def test_historic_estimate(runs, data, slice_bytes):
     expected = {}
     for rows in grouped(data).values():
         prior = None
@@ -131,9 +130,9 @@ def test_historic_estimate(runs, data, large, monkeypatch):
                 expected[row[2]] = (estimate * 1.3, "estimate")
             if not row[3]:
                 prior = row
-    got = history.historic_estimate(runs, size_factor=1.3).collect()
+    got = history.historic_estimate(runs, size_factor=1.3, order=ORDER, slice_bytes=slice_bytes).collect()
     assert {r["run_id"]: (r["required_bytes"], r["basis"]) for r in got} == expected
-    per_set = history.historic_estimate(runs, historic_size=F.col("backupset") != "hot", size_factor=F.lit(1.3))
+    per_set = history.historic_estimate(runs, historic_size=F.col("backupset") != "hot", size_factor=F.lit(1.3), order=ORDER)
     for r in per_set.collect():
         plain = (r["estimated_size"] * 1.3, "estimate")
         assert (r["required_bytes"], r["basis"]) == (plain if r["backupset"] == "hot" else expected[r["run_id"]])
@@ -142,11 +141,11 @@ def test_historic_estimate(runs, data, large, monkeypatch):
 
 
 def test_survivors(runs, data):
-    plan = retention.retention_plan(runs, 2)
+    plan = retention.retention_plan(runs, 2, ORDER)
     kept = {row[2] for rows in grouped(data).values() for row in rows[-2:]}
     failed = {row[2] for row in data if row[3]}
-    assert {r["run_id"] for r in retention.survivors(runs, plan, False).collect()} == kept
-    assert {r["run_id"] for r in retention.survivors(runs, plan).collect()} == kept - failed
+    assert {r["run_id"] for r in retention.survivors(runs, plan, False, ORDER).collect()} == kept
+    assert {r["run_id"] for r in retention.survivors(runs, plan, order=ORDER).collect()} == kept - failed
 
 
 def test_space_check_refuses_equality(spark):
@@ -162,9 +161,9 @@ def test_low_space_border(spark):
 
 
 def test_listing_is_sorted(runs, data):
-    order = [(r["backupset"], r["name"], r["run_id"]) for r in history.list_runs(runs).collect()]
+    order = [(r["backupset"], r["name"], r["run_id"]) for r in history.list_runs(runs, order=ORDER).collect()]
     assert order == sorted((r[0], r[1], r[2]) for r in data)
-    backwards = [(r["backupset"], r["name"], r["run_id"]) for r in history.list_runs(runs, reverse=True).collect()]
+    backwards = [(r["backupset"], r["name"], r["run_id"]) for r in history.list_runs(runs, reverse=True, order=ORDER).collect()]
     assert backwards == order[::-1]
 
 
@@ -189,3 +188,11 @@ def test_report(runs, data):
     got = {r["backupset"]: r for r in history.run_report(runs).collect()}
     for name, rows in grouped(data).items():
         assert (got[name]["runs"], got[name]["failures"], got[name]["seconds"]) == (len(rows), sum(r[3] for r in rows), 61 * len(rows))
+
+
+def test_runs_go_by_age(runs):
+    for call in (lambda o: retention.retention_plan(runs, 1, o), lambda o: retention.newest_n(runs, 1, o)):
+        with pytest.raises(ValueError, match="name"):
+            call(["run_id"])
+    single = runs.dropDuplicates(["backupset", "name"])
+    assert retention.newest_n(single.drop("run_id"), 1).count() == single.select("backupset").distinct().count()

@@ -5,9 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablekeep.plans import sliced
 from tablekeep.plans.chunks import chunk_plan
-from tablekeep.plans.sliced import last_before, next_after, running_sum, slice_by_quantiles, slice_large_groups
+from tablekeep.plans.sliced import last_before, next_after, running_sum, slice_rows
 
 
 @pytest.fixture(scope="module")
@@ -24,15 +23,11 @@ def data():
     return rows
 
 
-@pytest.fixture(scope="module", params=["all", "large"])
+@pytest.fixture(scope="module", params=[600, 1 << 28])
 def frame(request, spark, data):
-    """Rows with every group in slices, and with only the large ones in slices."""
-    df = slice_by_quantiles(spark.createDataFrame(data, "g string, at long, id long, v long").repartition(7), "at", slices=50)
-    if request.param == "all":
-        return df
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(sliced, "LARGE_GROUP_ROWS", 500)
-        return slice_large_groups(df.withColumnRenamed("_slice", "n"), ["g"], F.col("n")).drop("n")
+    """Rows in many slices, and in a single one."""
+    df = spark.createDataFrame(data, "g string, at long, id long, v long").repartition(7)
+    return slice_rows(df, ["g", "at", "id"], slice_bytes=request.param)
 
 
 def by_group(data):
@@ -46,15 +41,11 @@ def collected(df, out):
     return {r["id"]: r[out] for r in df.collect()}
 
 
-def test_only_large_groups_are_sliced(frame):
-    cut = {r["g"] for r in frame.where("_slice is not null").select("g").distinct().collect()}
-    assert "hot" in cut and (len(cut) == 1 or len(cut) == frame.select("g").distinct().count())
-
-
-def test_slices_follow_the_key(frame):
-    pairs = frame.where("_slice is not null").groupBy("_slice").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("_slice").collect()
-    assert len(pairs) > 20
-    assert all(a["hi"] < b["lo"] for a, b in zip(pairs, pairs[1:]))
+def test_slices_follow_the_order(frame):
+    order = F.struct("g", "at", "id")
+    pairs = frame.groupBy("_slice").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).orderBy("_slice").collect()
+    assert len(pairs) == 1 or len(pairs) > 20
+    assert all(tuple(a["hi"]) < tuple(b["lo"]) for a, b in zip(pairs, pairs[1:]))
 
 
 def test_running_sum_and_rank(frame, data):
@@ -82,12 +73,19 @@ def test_last_before_and_next_after(frame, data):
     assert collected(next_after(frame, ["g"], ["at", "id"], "_slice", F.col("v"), "out"), "out") == following
 
 
-def test_more_slices_than_quantiles(spark):
+def test_many_slices(spark):
     df = spark.range(5000).select((F.col("id") * F.col("id")).alias("k"), F.lit(3).alias("n"))
-    got = chunk_plan(df, "k", "n", 100, slices=3000).orderBy("k").collect()
+    got = chunk_plan(df, "k", "n", 100, slice_bytes=150).orderBy("k").collect()
     assert [r["chunk_id"] for r in got] == [3 * i // 100 for i in range(5000)]
 
 
+def test_any_key_and_null_keys(spark):
+    rows = [("b", 2, 5), ("a", 9, 5), (None, 1, 5), ("b", 1, 5), ("a", None, None)]
+    df = spark.createDataFrame(rows, "t string, i long, n long")
+    got = chunk_plan(df, ["t", "i"], "n", 10, slice_bytes=6).collect()
+    assert {(r["t"], r["i"]): r["chunk_id"] for r in got} == {(None, 1): 0, ("a", None): 0, ("a", 9): 0, ("b", 1): 1, ("b", 2): 1}
+
+
 def test_empty_and_single_row(spark):
     empty = spark.createDataFrame([], "k long, n long")
     assert chunk_plan(empty, "k", "n", 10).count() == 0

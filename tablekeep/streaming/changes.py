@@ -3,7 +3,8 @@
 Each micro-batch is reduced to the last change per key and written as ``batch=<id>``.
 Readers take the last change per key over all batches. The newest ``seq`` wins wherever it
 is, so late and repeated changes do no harm and the query itself needs no state that would
-grow with the number of keys. ``compact`` folds the batches once there are many.
+grow with the number of keys. ``compact`` folds the batches written so far into
+``upto=<id>``, which readers take in their place while the stream goes on.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tablekeep.operators.changes import apply_latest, latest_changes
+from tablekeep.operators.changes import apply_latest, latest_changes, newest_changes
 
 
 def stream_apply(
@@ -30,8 +30,12 @@ def stream_apply(
     """Follow a change log, keeping the last change per key under ``root``.
 
     A batch that is run again overwrites its own folder. Without ``interval`` the query ends
-    once all changes present are written.
+    once all changes present are written. A ``root`` that has batches needs the ``checkpoint``
+    they were written with: a fresh one would count from zero and overwrite them.
     """
+    spark = log_stream.sparkSession
+    if _numbered(spark, root, "batch") and not _names(spark, f"{checkpoint}/commits"):
+        raise ValueError(f"{root} has batches, but {checkpoint} is not the checkpoint they were written with")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         latest = latest_changes(batch, key, seq, values, op)
@@ -49,13 +53,7 @@ def streamed_changes(
     spark: SparkSession, root: str, key: str | Sequence[str], seq: str, values: Sequence[str] = ("value",)
 ) -> DataFrame:
     """The last change of each key over all batches written so far."""
-    batches = spark.read.parquet(root)
-    keys = [key] if isinstance(key, str) else list(key)
-    return batches.groupBy(*keys).agg(
-        F.max(seq).alias(seq),
-        F.max_by("deleted", seq).alias("deleted"),
-        *(F.max_by(v, seq).alias(v) for v in values),
-    )
+    return newest_changes(spark.read.parquet(*_parts(spark, root)), key, seq, values)
 
 
 def streamed_state(
@@ -70,8 +68,40 @@ def streamed_state(
     return apply_latest(base, streamed_changes(spark, root, key, seq, values), key, values)
 
 
-def compact(
-    spark: SparkSession, root: str, target: str, key: str | Sequence[str], seq: str, values: Sequence[str] = ("value",)
-) -> None:
-    """Write the last change per key as one batch of a new folder."""
-    streamed_changes(spark, root, key, seq, values).write.parquet(f"{target}/batch=-1")
+def compact(spark: SparkSession, root: str, key: str | Sequence[str], seq: str, values: Sequence[str] = ("value",)) -> None:
+    """Fold all batches written so far into one table that readers take in their place.
+
+    The table counts once it is complete, and only then the folded batches are deleted, so a
+    compaction that fails changes nothing. Nothing new since the last one is nothing to do.
+    """
+    batches = _numbered(spark, root, "batch")
+    done = max(_folded(spark, root), default=-1)
+    if not batches or max(batches) <= done:
+        return
+    streamed_changes(spark, root, key, seq, values).write.mode("overwrite").parquet(f"{root}/upto={max(batches)}")
+    stale = [f"batch={i}" for i in batches] + [f"upto={i}" for i in _folded(spark, root) if i < max(batches)]
+    for name in stale:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder: one name per micro-batch and compaction."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
+
+def _numbered(spark: SparkSession, root: str, kind: str) -> list[int]:
+    return [int(name.removeprefix(f"{kind}=")) for name in _names(spark, root) if name.startswith(f"{kind}=")]
+
+
+def _folded(spark: SparkSession, root: str) -> list[int]:
+    return [i for i in _numbered(spark, root, "upto") if "_SUCCESS" in _names(spark, f"{root}/upto={i}")]
+
+
+def _parts(spark: SparkSession, root: str) -> list[str]:
+    """The last complete compaction and the batches after it."""
+    done = max(_folded(spark, root), default=-1)
+    after = [f"{root}/batch={i}" for i in sorted(_numbered(spark, root, "batch")) if i > done]
+    return ([f"{root}/upto={done}"] if done >= 0 else []) + after

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -39,15 +40,24 @@ def test_late_and_repeated_changes(spark, folder, rows):
     feed(spark, folder, rows[:250])  # older changes come last, and some a second time
     follow(spark, folder)
     assert same(streamed_state(spark, f"{folder}/out", base, "k", "seq"), expected)
-    compact(spark, f"{folder}/out", f"{folder}/folded", "k", "seq")
-    assert same(streamed_state(spark, f"{folder}/folded", base, "k", "seq"), expected)
+    compact(spark, f"{folder}/out", "k", "seq")
+    compact(spark, f"{folder}/out", "k", "seq")
+    (folded,) = [name for name in os.listdir(f"{folder}/out") if "=" in name]
+    assert folded.startswith("upto=")
+    assert same(streamed_state(spark, f"{folder}/out", base, "k", "seq"), expected)
+    late = [(1000, 3, "U", 5.0), (1001, 77, "I", 6.0)]
+    feed(spark, folder, late)
+    follow(spark, folder)
+    after = apply_changes(base, spark.createDataFrame([*rows, *late], SCHEMA), "k", "seq")
+    assert same(streamed_state(spark, f"{folder}/out", base, "k", "seq"), after)
 
 
-def test_a_batch_run_again_overwrites_itself(spark, folder, rows):
+def test_a_fresh_checkpoint_on_old_batches_is_refused(spark, folder, rows):
     feed(spark, folder, rows)
     follow(spark, folder)
     before = spark.read.parquet(f"{folder}/out").count()
-    stream_apply(stream(spark, folder), "k", "seq", f"{folder}/out", f"{folder}/other").awaitTermination()
+    with pytest.raises(ValueError, match="checkpoint"):
+        stream_apply(stream(spark, folder), "k", "seq", f"{folder}/out", f"{folder}/other")
     assert spark.read.parquet(f"{folder}/out").count() == before
 
 

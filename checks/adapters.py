@@ -33,6 +33,10 @@ SETTINGS = [
     ),
     Setting("run", "historic-size", "boolean", "yes"),
     Setting("run", "estimated-size-factor", "float", "1.0", minimum=1),
+    Setting("run", "log-level", "logging_level", "info"),
+    Setting("run", "umask", "octal", "022", maximum=0o37),
+    Setting("run", "databases", "list", "*", maximum=2),
+    Setting("run", "options", "cmd_args", ""),
 ]
 
 
@@ -169,14 +173,30 @@ def set_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "view") & (k % 3 == 0), "Yes")
         .otherwise(k.cast("string"))
     )
+    typed_key = (
+        F.when(kind == "click", "log-level")
+        .when(kind == "purchase", "umask")
+        .when(kind == "view", "databases")
+        .when(kind == "signup", "options")
+        .otherwise("log_level")
+    )
+    typed_value = (
+        F.when(kind == "click", _pick(k, "Info", "critical", "banana"))
+        .when(kind == "purchase", k.cast("string"))
+        .when(kind == "view", _pick(k, "a", "a, b", "a,b,c"))
+        .when(kind == "signup", _pick(k, '--x "a b"', "--x 'a"))
+        .otherwise("debug")
+    )
+    both = F.array(F.struct(key.alias("key"), value.alias("value")), F.struct(typed_key.alias("key"), typed_value.alias("value")))
     return newest.select(
-        F.concat(F.lit("set"), F.col("user_id").cast("string")).alias("scope"),
-        F.lit("run").alias("section"),
-        key.alias("key"),
-        value.alias("value"),
+        F.concat(F.lit("set"), F.col("user_id").cast("string")).alias("scope"), F.lit("run").alias("section"), F.inline(both)
     )
 
 
+def _pick(k, *texts: str):
+    return F.get(F.array(*(F.lit(t) for t in texts)), (k % len(texts)).cast("int"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("archive"),

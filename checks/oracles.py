@@ -68,13 +68,21 @@ RELATIONS = {
             WHEN 'view' THEN 'historic-size' WHEN 'signup' THEN 'estimated-size-factor' ELSE 'colour' END AS key,
           CASE WHEN event_type = 'click' THEN CAST(k - 10 AS VARCHAR)
             WHEN event_type = 'purchase' THEN ['manual', 'before-backup', 'after-backup', 'sometimes'][k % 4 + 1]
-            WHEN event_type = 'view' AND k % 3 = 0 THEN 'Yes' ELSE CAST(k AS VARCHAR) END AS value
+            WHEN event_type = 'view' AND k % 3 = 0 THEN 'Yes' ELSE CAST(k AS VARCHAR) END AS value, true AS own
+        FROM newest_events
+        UNION ALL
+        SELECT 'set' || user_id, 'run', CASE event_type WHEN 'click' THEN 'log-level' WHEN 'purchase' THEN 'umask'
+            WHEN 'view' THEN 'databases' WHEN 'signup' THEN 'options' ELSE 'log-level' END,
+          CASE event_type WHEN 'click' THEN ['Info', 'critical', 'banana'][k % 3 + 1] WHEN 'purchase' THEN CAST(k AS VARCHAR)
+            WHEN 'view' THEN ['a', 'a, b', 'a,b,c'][k % 3 + 1] WHEN 'signup' THEN ['--x "a b"', '--x ''a'][k % 2 + 1]
+            ELSE 'debug' END, event_type <> 'error'
         FROM newest_events""",
     "default_settings": """
         SELECT scope, 'run' AS section, d.key, d.value
         FROM (SELECT DISTINCT scope FROM set_settings),
           (VALUES ('plugin', NULL), ('backups-to-keep', '1'), ('purge-policy', 'after-backup'),
-             ('historic-size', 'yes'), ('estimated-size-factor', '1.0')) d(key, value)""",
+             ('historic-size', 'yes'), ('estimated-size-factor', '1.0'), ('log-level', 'info'), ('umask', '022'),
+             ('databases', '*'), ('options', '')) d(key, value)""",
     "files": """
         SELECT source AS archive, lang || '/doc ' || doc_id || '.txt' AS member,
           CAST(strlen(text) AS BIGINT) AS length, text
@@ -133,6 +141,12 @@ _INSERTED_ORDER = """'(' || o_orderkey || ',' || o_custkey || ',''' || o_orderst
 
 _ESCAPED_TEXT = """replace(replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n'), chr(13), '\\r')"""
 
+_RECORDED_RUNS = """
+    SELECT event_type AS backupset, strftime(max(ts), '%Y%m%d_%H%M%S') AS name,
+      CASE WHEN max(event_id) % 5 = 0 THEN '' ELSE event_type END AS plugin, sum(event_id) % 3 = 0 AS failed,
+      CAST(sum(event_id) AS BIGINT) AS estimated_size, count(*) AS on_disk_size
+    FROM events GROUP BY event_type, CAST(ts AS DATE)"""
+
 _SHOP_COUNTS = """
     SELECT 'shop' AS database, 'customer' AS name, count(*) AS n_rows FROM customer
     UNION ALL SELECT 'shop', 'orders', count(*) FROM orders
@@ -184,6 +198,10 @@ _BODIES = {
     "tree_size": """
         SELECT CAST(sum(strlen(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag,
           l_linestatus)) + 1) AS BIGINT) AS total_bytes FROM lineitem""",
+    "scan_runs": _RECORDED_RUNS,
+    "retention_scanned": f"""
+        SELECT backupset, name, CASE WHEN row_number() OVER (PARTITION BY backupset ORDER BY name DESC) <= 3 THEN 'keep' ELSE 'purge' END AS action
+        FROM ({_RECORDED_RUNS})""",
     "restore_orders": "SELECT * FROM orders",
     "restore_selected": """
         SELECT 'shop.customer' AS table, max(c_custkey) AS max_seq, max(c_acctbal) AS max_ts, count(*) AS n_rows FROM customer
@@ -195,6 +213,16 @@ _BODIES = {
           CAST(sum(index_size) AS BIGINT) AS index_bytes FROM tbls GROUP BY database""",
     "dump_all_counts": _SHOP_COUNTS,
     "restore_from_all": "SELECT * FROM orders",
+    "restore_without_database": "SELECT * FROM orders",
+    "restore_numeric_names": """
+        SELECT f AS format, database, name, n_rows FROM (VALUES ('parquet'), ('json'), ('csv')) t(f), (
+          SELECT '1' AS database, 't' AS name, count(*) AS n_rows FROM orders
+          UNION ALL SELECT '01', 't', count(*) FROM customer UNION ALL SELECT 'é b', '1.t', count(*) FROM nation)""",
+    "chunk_plan_text_key": """
+        SELECT role, conv_id, turn, bytes, CAST(floor((sum(bytes) OVER (ORDER BY role, conv_id, turn ROWS UNBOUNDED PRECEDING) - bytes) / 16384)
+          AS BIGINT) AS chunk_id
+        FROM (SELECT role, conv_id, turn, CAST(strlen(text) AS INTEGER) AS bytes FROM conversations)""",
+    "split_files_by_bytes": "SELECT count(*) AS n_rows, true AS within_limit FROM orders",
     "chunk_plan": """
         SELECT doc_id, bytes, CAST(floor((sum(bytes) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - bytes) / 65536)
           AS BIGINT) AS chunk_id
@@ -226,10 +254,11 @@ _BODIES = {
     "dump_history": """
         SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events""",
     "snapshot_cut_counts": """
-        SELECT 'events' AS table, count(*) AS n_rows FROM events WHERE ts <= TIMESTAMP '2000-01-01'
-        UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-01-01'
-        UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderdate <= TIMESTAMP '2000-01-01'
-        UNION ALL SELECT 'nation', count(*) FROM nation""",
+        WITH cuts(upto) AS (VALUES (TIMESTAMP '2000-01-01'), (TIMESTAMP '2024-01-15'))
+        SELECT strftime(upto, '%Y') AS cut, 'events' AS table, count(*) FILTER (ts <= upto) AS n_rows FROM events, cuts GROUP BY upto
+        UNION ALL SELECT strftime(upto, '%Y'), 'lineitem', count(*) FILTER (l_shipdate <= upto) FROM lineitem, cuts GROUP BY upto
+        UNION ALL SELECT strftime(upto, '%Y'), 'orders', count(*) FILTER (o_orderdate <= upto) FROM orders, cuts GROUP BY upto
+        UNION ALL SELECT strftime(upto, '%Y'), 'nation', count(*) FROM nation, cuts GROUP BY upto""",
     "tz_utc": "SELECT event_id, ts - INTERVAL 2 HOUR AS ts FROM events",
     "dump_plan": f"""
         SELECT database, name, '/dumps/today/backup_data/' || {_PATH_NAME.format(c="database")} || '/'
@@ -286,12 +315,19 @@ _BODIES = {
     "merge_settings": """
         SELECT coalesce(u.scope, l.scope) AS scope, coalesce(u.section, l.section) AS section,
           coalesce(u.key, l.key) AS key, coalesce(u.value, l.value) AS value
-        FROM default_settings l FULL JOIN set_settings u ON l.scope = u.scope AND l.key = u.key""",
+        FROM default_settings l FULL JOIN (SELECT * FROM set_settings
+          QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY own DESC, value DESC) = 1) u
+          ON l.scope = u.scope AND l.key = u.key""",
     "validate_settings": """
         SELECT scope, section, key, value, CASE
           WHEN key = 'backups-to-keep' THEN CASE WHEN CAST(value AS INTEGER) < 0 THEN 'out_of_range' ELSE 'ok' END
           WHEN key = 'purge-policy' THEN CASE WHEN value = 'sometimes' THEN 'bad_option' ELSE 'ok' END
           WHEN key = 'historic-size' THEN CASE WHEN value IN ('Yes', '0', '1') THEN 'ok' ELSE 'bad_type' END
+          WHEN key = 'log-level' THEN CASE WHEN value = 'banana' THEN 'bad_type' ELSE 'ok' END
+          WHEN key = 'umask' THEN CASE WHEN regexp_matches(value, '[89]') THEN 'bad_type'
+            WHEN CAST(value AS INTEGER) // 10 * 8 + CAST(value AS INTEGER) % 10 > 31 THEN 'out_of_range' ELSE 'ok' END
+          WHEN key = 'databases' THEN CASE WHEN value = 'a,b,c' THEN 'out_of_range' ELSE 'ok' END
+          WHEN key = 'options' THEN CASE WHEN value LIKE '%"' THEN 'ok' ELSE 'bad_type' END
           WHEN key = 'estimated-size-factor' THEN CASE WHEN CAST(value AS INTEGER) < 1 THEN 'out_of_range' ELSE 'ok' END
           ELSE 'unknown' END AS status
         FROM set_settings
@@ -332,9 +368,10 @@ _BODIES = {
     "estimate_accuracy": """
         SELECT backupset, run_id, round(on_disk_size::DOUBLE / estimated_size::DOUBLE * 100, 2) AS percent
         FROM runs WHERE estimated_size > 0 AND NOT failed""",
+    # The engines that need no lock.
     "lock_mode": """
         SELECT d.name AS database, CASE WHEN EXISTS (SELECT 1 FROM ftbls t WHERE t.database = d.name AND NOT t.excluded
-            AND t.engine NOT IN ('innodb', 'federated', 'memory', 'view', 'blackhole', 'myisam_mrg'))
+            AND t.engine NOT IN ('innodb', 'federated', 'myisam_mrg', 'memory', 'view', 'blackhole'))
           THEN '--lock-tables' ELSE '--single-transaction' END AS lock_option
         FROM fdbs d WHERE NOT d.excluded""",
     "non_transactional": """
@@ -439,6 +476,7 @@ _BODIES = {
         FROM capacity""",
     "stream_dump_counts": _EVENT_GROUP,
     "stream_apply": "SELECT * FROM applied",
+    "stream_apply_compacted": "SELECT * FROM applied",
     "stream_resume": "SELECT * FROM events",
     "pack_totals": """
         SELECT archive, count(*) AS members, CAST(sum(length) AS BIGINT) AS bytes,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,14 +15,15 @@ from tablekeep.operators import changes, dump, filters, history, packing, retent
 from tablekeep.plans.chunks import chunk_plan
 from tablekeep.session import scratch_dir
 from tablekeep.sources import catalog, documents, dumps, files, runs
-from tablekeep.streaming.changes import stream_apply, streamed_state
+from tablekeep.streaming.changes import compact, stream_apply, streamed_state
 from tablekeep.streaming.dump import stream_dump
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-CUT = datetime(2000, 1, 1)
+CUTS = (datetime(2000, 1, 1), datetime(2024, 1, 15))
+RUN_ORDER = ("name", "run_id")
 POSITION_CUT = datetime(2024, 1, 15)
 
 
@@ -53,6 +55,31 @@ def table_metadata_fast(spark, sf):
     return catalog.catalog_tables(a.raw_tables(spark, sf), sizes=False)
 
 
+def _recorded_runs(spark, sf) -> DataFrame:
+    """A run for each type and day of all events, written as records and read back."""
+    root = scratch_dir(spark, "runs")
+    daily = a.table(spark, sf, "events").groupBy(F.col("event_type").alias("backupset"), F.to_date("ts").alias("day"))
+    found = daily.agg(
+        times.run_name(F.max("ts")).alias("name"),
+        F.when(F.max("event_id") % 5 == 0, "").otherwise(F.max("event_type")).alias("plugin"),
+        (F.sum("event_id") % 3 == 0).alias("failed"),
+        F.sum("event_id").alias("estimated_size"),
+        F.count(F.lit(1)).alias("on_disk_size"),
+    )
+    runs.write_run_records(found.drop("day"), root)
+    return runs.scan_runs(spark, root, file_name="part-*")
+
+
+@query
+def scan_runs(spark, sf):
+    return _recorded_runs(spark, sf).select("backupset", "name", "plugin", "failed", "estimated_size", "on_disk_size")
+
+
+@query
+def retention_scanned(spark, sf):
+    return retention.retention_plan(_recorded_runs(spark, sf), 3).select("backupset", "name", "action")
+
+
 @query
 def run_name_filter(spark, sf):
     name = times.run_name("ts")
@@ -138,6 +165,25 @@ def restore_from_all(spark, sf):
     return dumps.restore(spark, root, "orders")
 
 
+@query
+def restore_without_database(spark, sf):
+    root = scratch_dir(spark, "dump")
+    dump.dump({"orders": a.table(spark, sf, "orders"), "x.orders": a.table(spark, sf, "customer")}, root, per_database=False, fmt="json")
+    return dumps.restore(spark, root, "orders", database="")
+
+
+@query
+def restore_numeric_names(spark, sf):
+    root, counts = scratch_dir(spark, "dump"), []
+    tables = {("1", "t"): a.table(spark, sf, "orders"), ("01", "t"): a.table(spark, sf, "customer"), ("é b", "1.t"): a.table(spark, sf, "nation")}
+    for fmt in ("parquet", "json", "csv"):
+        dump.dump(tables, f"{root}/{fmt}", per_database=False, fmt=fmt)
+        for database, name in tables:
+            found = dumps.restore(spark, f"{root}/{fmt}", name, database=database)
+            counts.append(found.agg(F.lit(fmt).alias("format"), F.lit(database).alias("database"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 CODECS = [
     ("csv", "bzip2"),
     ("csv", "lz4"),
@@ -177,6 +223,26 @@ def chunk_plan_query(spark, sf):
     return chunk_plan(sized, "doc_id", "bytes", 64 * 1024)
 
 
+@query
+def chunk_plan_text_key(spark, sf):
+    """By a text and a number together; the text is often the same."""
+    sized = a.table(spark, sf, "conversations").select("role", "conv_id", "turn", F.octet_length("text").alias("bytes"))
+    return chunk_plan(sized, ["role", "conv_id", "turn"], "bytes", 16 * 1024, slice_bytes=256 * 1024)
+
+
+@query
+def split_files_by_bytes(spark, sf):
+    root = scratch_dir(spark, "dump")
+    limit = 256 * 1024
+    dump.dump({"orders": a.table(spark, sf, "orders")}, root, fmt="json", codec="none", split_bytes=limit, order_by_size=True)
+    per_file = (
+        dumps.restore(spark, root, "orders")
+        .groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("size") <= limit * 1.1).alias("within_limit"))
+
+
 @query
 def split_files(spark, sf):
     root = scratch_dir(spark, "dump")
@@ -237,8 +303,12 @@ def dump_history(spark, sf):
 @query
 def snapshot_cut_counts(spark, sf):
     tables = {t: a.table(spark, sf, t) for t in ("events", "lineitem", "nation", "orders")}
-    cut = dump.snapshot_cut(tables, {"events": "ts", "lineitem": "l_shipdate", "orders": "o_orderdate"}, CUT)
-    counts = [df.agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("n_rows")) for t, df in cut.items()]
+    columns = {"events": "ts", "lineitem": "l_shipdate", "orders": "o_orderdate"}
+    counts = [
+        df.agg(F.lit(f"{at:%Y}").alias("cut"), F.lit(t).alias("table"), F.count(F.lit(1)).alias("n_rows"))
+        for at in CUTS
+        for t, df in dump.snapshot_cut(tables, columns, at).items()
+    ]
     result = counts[0]
     for one in counts[1:]:
         result = result.unionByName(one)
@@ -456,7 +526,7 @@ def estimate_storage(spark, sf):
 
 @query
 def historic_estimate(spark, sf):
-    return history.historic_estimate(a.backup_runs(spark, sf)).select(
+    return history.historic_estimate(a.backup_runs(spark, sf), order=RUN_ORDER).select(
         "backupset", "name", "run_id", "required_bytes", "basis"
     )
 
@@ -489,7 +559,7 @@ def non_transactional(spark, sf):
 
 @query
 def purge_summary(spark, sf):
-    return retention.purge_summary(retention.retention_plan(a.backup_runs(spark, sf), 3))
+    return retention.purge_summary(retention.retention_plan(a.backup_runs(spark, sf), 3, RUN_ORDER))
 
 
 @query
@@ -521,7 +591,7 @@ def _planned(plan: DataFrame) -> DataFrame:
 
 @query
 def retention_plan(spark, sf):
-    return _planned(retention.retention_plan(a.backup_runs(spark, sf), 3))
+    return _planned(retention.retention_plan(a.backup_runs(spark, sf), 3, RUN_ORDER))
 
 
 @query
@@ -533,14 +603,14 @@ def retention_policies(spark, sf):
         counted = a.backup_runs(spark, sf).withColumn(
             "keep", retention.effective_keep((user % 4).cast("int"), policy, event)
         )
-        plan = _planned(retention.retention_plan(counted, "keep")).withColumn("event", F.lit(event))
+        plan = _planned(retention.retention_plan(counted, "keep", RUN_ORDER)).withColumn("event", F.lit(event))
         result = plan if result is None else result.unionByName(plan)
     return result
 
 
 @query
 def purge_on_demand(spark, sf):
-    return _planned(retention.purge_on_demand(a.backup_runs(spark, sf), a.capacity(spark, sf)))
+    return _planned(retention.purge_on_demand(a.backup_runs(spark, sf), a.capacity(spark, sf), RUN_ORDER))
 
 
 @query
@@ -550,7 +620,7 @@ def newest_oldest(spark, sf):
 
 @query
 def list_runs(spark, sf):
-    return history.list_runs(history.valid_runs(a.backup_runs(spark, sf))).select(
+    return history.list_runs(history.valid_runs(a.backup_runs(spark, sf)), order=RUN_ORDER).select(
         F.concat_ws("/", "backupset", "name").alias("run"),
         "run_id",
         times.format_datetime("start_time").alias("started"),
@@ -567,14 +637,14 @@ def find_run(spark, sf):
 
 @query
 def newest_n(spark, sf):
-    return retention.newest_n(a.backup_runs(spark, sf), 2).select("backupset", "name", "run_id")
+    return retention.newest_n(a.backup_runs(spark, sf), 2, RUN_ORDER).select("backupset", "name", "run_id")
 
 
 @query
 def survivors(spark, sf):
     all_runs = a.backup_runs(spark, sf)
-    plan = retention.retention_plan(all_runs.where(~F.col("failed")), 2)
-    return retention.survivors(all_runs, plan).select("backupset", "name", "run_id")
+    plan = retention.retention_plan(all_runs.where(~F.col("failed")), 2, RUN_ORDER)
+    return retention.survivors(all_runs, plan, order=RUN_ORDER).select("backupset", "name", "run_id")
 
 
 @query
@@ -740,6 +810,19 @@ def stream_apply_query(spark, sf):
     return streamed_state(spark, f"{root}/out", a.base_state(spark, sf), "key", "seq")
 
 
+@query
+def stream_apply_compacted(spark, sf):
+    """Folded after the first half, while the stream goes on afterwards."""
+    root = scratch_dir(spark, "stream")
+    early = F.col("ts") <= F.lit(POSITION_CUT).cast("timestamp_ntz")
+    for part in (early, ~early):
+        _event_files(spark, sf, f"{root}/in", part)
+        log = a.change_columns(_event_stream(spark, sf, f"{root}/in"))
+        stream_apply(log, "key", "seq", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        compact(spark, f"{root}/out", "key", "seq")
+    return streamed_state(spark, f"{root}/out", a.base_state(spark, sf), "key", "seq")
+
+
 @query
 def stream_resume(spark, sf):
     root = scratch_dir(spark, "stream")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablekeep.functions.columns import as_column
 
 RUN_NAME_FORMAT = "yyyyMMdd_HHmmss"
+_RUN_NAME = r"\A(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})\z"
 
 # Run names have second resolution and are unique in a set, so one day of one set never
 # holds more than 86,400 runs.
@@ -19,8 +20,9 @@ def run_name(ts: Column | str) -> Column:
 
 
 def parse_run_name(name: Column | str) -> Column:
-    """The start time a run name stands for, NULL when it is not a run name."""
-    return F.try_to_timestamp(as_column(name), F.lit(RUN_NAME_FORMAT)).cast("timestamp_ntz")
+    """The start time a run name stands for, NULL when it is not a run name. No time zone is involved."""
+    col = as_column(name)
+    return F.when(col.rlike(_RUN_NAME), F.regexp_replace(col, _RUN_NAME, "$1-$2-$3 $4:$5:$6").try_cast("timestamp_ntz"))
 
 
 def run_day(name: Column | str) -> Column:

@@ -47,6 +47,29 @@ def to_list(value: Column | str) -> Column:
     )
 
 
+# A command line: blanks part words, single quotes keep all, double quotes keep all but escapes.
+_QUOTED = r"\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'"
+_PART = rf"[^\s\"'\\]+|{_QUOTED}"
+
+
+def to_args(value: Column | str) -> Column:
+    """A command line as a list of words; NULL where a quote or an escape is left open."""
+    col = as_column(value)
+
+    def plain(part: Column) -> Column:
+        inside = part.substr(F.lit(2), F.length(part) - 2)
+        return (
+            F.when(part.startswith("'"), inside)
+            .when(part.startswith('"'), F.regexp_replace(inside, r"\\([\"\\])", "$1"))
+            .otherwise(F.regexp_replace(part, r"\\([\s\S])", "$1"))
+        )
+
+    words = F.regexp_extract_all(col, F.lit(f"(?:{_PART})+"), F.lit(0))
+    parts = F.transform(words, lambda word: F.regexp_extract_all(word, F.lit(_PART), F.lit(0)))
+    joined = F.transform(parts, lambda some: F.array_join(F.transform(some, plain), ""))
+    return F.when(col.rlike(rf"\A(?:\s|{_PART})*\z"), joined)
+
+
 def to_log_level(value: Column | str) -> Column:
     word = F.lower(F.trim(as_column(value)))
     result = F.lit(None).cast("int")

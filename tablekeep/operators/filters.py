@@ -16,6 +16,7 @@ from tablekeep.functions.globs import (
     qualify,
 )
 from tablekeep.plans.settled import settle
+from tablekeep.session import scratch_dir
 
 # Databases the pattern finder always leaves out.
 ALWAYS_EXCLUDED = ["information_schema", "lost+found"]
@@ -144,10 +145,13 @@ def partition_sources(sources: DataFrame, is_valid: Column) -> tuple[DataFrame,
     return sources.where(ok), sources.where(~ok)
 
 
-def refuse_sources(invalid: DataFrame, name: str = "name", shown: int = 20) -> None:
-    """Fail when there are bad sources, naming the first of them. To be called once the good
-    ones are dumped."""
-    names = [str(row[0]) for row in invalid.select(name).limit(shown + 1).collect()]
-    if names:
-        more = " and more" if len(names) > shown else ""
-        raise ValueError(f"invalid sources: {', '.join(names[:shown])}{more}")
+def refuse_sources(invalid: DataFrame, name: str = "name", path: str | None = None) -> None:
+    """Fail when there are bad sources, with their number and where all of them are listed.
+
+    The list is a JSON table at ``path``, by default in the scratch folder. To be called once the
+    good ones are dumped.
+    """
+    path = path or scratch_dir(invalid.sparkSession, "invalid-sources")
+    invalid.select(F.col(name).alias("name")).write.json(path)
+    if n := invalid.sparkSession.read.schema("name string").json(path).count():
+        raise ValueError(f"{n} invalid sources, listed in {path}")

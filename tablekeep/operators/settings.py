@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.functions.text import canonical_key
-from tablekeep.functions.values import to_boolean, to_float, to_integer, to_list, to_octal
+from tablekeep.functions.values import to_args, to_boolean, to_float, to_integer, to_list, to_log_level, to_octal
 
 SETTING_KEYS = ["scope", "section", "key"]
 
@@ -34,10 +34,17 @@ def canonical(settings: DataFrame) -> DataFrame:
     return settings.withColumn("key", canonical_key("key"))
 
 
+def one_per_key(settings: DataFrame, value: str) -> DataFrame:
+    """One value per canonical key. Where a layer spells a key in several ways, the canonical
+    spelling wins, then the largest value."""
+    spelled = F.struct((F.col("key") == canonical_key("key")).alias("canonical"), F.col("value").alias("value"))
+    keyed = settings.withColumn("_spelled", spelled)
+    return canonical(keyed).groupBy(*SETTING_KEYS).agg(F.max("_spelled")["value"].alias(value))
+
+
 def merge_settings(provider: DataFrame, override: DataFrame) -> DataFrame:
-    """Provider values under overriding ones, key by key."""
-    lower = canonical(provider).select(*SETTING_KEYS, F.col("value").alias("_lower"))
-    upper = canonical(override).select(*SETTING_KEYS, F.col("value").alias("_upper"))
+    """Provider values under overriding ones, one value per canonical key."""
+    lower, upper = one_per_key(provider, "_lower"), one_per_key(override, "_upper")
     return lower.join(upper, SETTING_KEYS, "full_outer").select(
         *SETTING_KEYS, F.coalesce("_upper", "_lower").alias("value")
     )
@@ -57,7 +64,7 @@ def for_scopes(scopes: DataFrame, spec: Sequence[Setting]) -> DataFrame:
 def _fits(value: Column, setting: Setting) -> Column:
     """Status of a given value: ok, bad_type, out_of_range or bad_option."""
 
-    def ranged(number: Column, needs_finite: bool = False) -> Column:
+    def ranged(number: Column) -> Column:
         inside = F.lit(True)
         if setting.minimum is not None:
             inside = inside & (number >= setting.minimum)
@@ -78,7 +85,11 @@ def _fits(value: Column, setting: Setting) -> Column:
             return F.when(value.isin(*setting.options), "ok").otherwise("bad_option")
         case "list" | "force_list" | "coerced_list":
             return ranged(F.size(to_list(value)))
-        case "string" | "logging_level":
+        case "logging_level":
+            return F.when(to_log_level(value).isNull(), "bad_type").otherwise("ok")
+        case "cmd_args":
+            return F.when(to_args(value).isNull(), "bad_type").otherwise("ok")
+        case "string":
             return F.when(value.isNotNull(), "ok").otherwise("bad_type")
     raise ValueError(f"unknown setting type {setting.type!r}")
 

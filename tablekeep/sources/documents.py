@@ -7,16 +7,10 @@ from pyspark.sql.types import StructType
 
 
 def scan_documents(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, sampling_ratio: float | None = None
+    spark: SparkSession, path: str, schema: StructType | str | None = None
 ) -> DataFrame:
     """Read JSON lines, any codec.
 
-    Without ``schema`` Spark reads the data once more to infer it. ``sampling_ratio`` makes
-    that pass cheaper, at the price of missing fields that occur only in rows not looked at.
+    Without ``schema`` Spark reads all of the data once more to infer it.
     """
-    reader = spark.read
-    if schema is not None:
-        return reader.schema(schema).json(path)
-    if sampling_ratio is not None:
-        reader = reader.option("samplingRatio", sampling_ratio)
-    return reader.json(path)
+    return (spark.read if schema is None else spark.read.schema(schema)).json(path)

@@ -27,11 +27,10 @@ def empty_files(files: DataFrame, path: str = "path") -> DataFrame:
     return names.withColumn("_bare", bare(F.col("path"))).join(seen, "_bare", "left_anti").select("path")
 
 
-def file_inventory(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
-    """``DF(path, length)`` of all files below ``path``; file contents are not read.
+def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """``DF(path, length)`` of all files below ``path``, empty ones too; contents are not read.
 
     Unreadable files are skipped. Spark leaves out names that start with ``_`` or ``.``.
-    Empty files, which add nothing to a size, are listed with ``keep_empty=True``.
     """
     found = (
         spark.read.format("binaryFile")
@@ -41,8 +40,6 @@ def file_inventory(spark: SparkSession, path: str, keep_empty: bool = False) ->
         .load(path)
         .select("path", "length")
     )
-    if not keep_empty:
-        return found
     return found.unionByName(empty_files(found).withColumn("length", F.lit(0).cast("bigint")))
 
 

@@ -59,19 +59,16 @@ def _section_entries(conf: Column, section: str) -> Column:
     return F.transform(lines, lambda line: F.split(line, "=", 2))
 
 
-def scan_runs(
-    spark: SparkSession, root: str, section: str = "run", file_name: str = "backup.conf", keep_empty: bool = True
-) -> DataFrame:
+def scan_runs(spark: SparkSession, root: str, section: str = "run", file_name: str = "backup.conf") -> DataFrame:
     """Read every run record under ``root``; folders that are no run names are skipped.
 
-    The known keys are picked out of each record, so records are not shuffled. An empty
-    record is a broken run with default values; ``keep_empty=False`` spares the search for
-    them. Times are seconds since the epoch in the record and become timestamps here.
+    The known keys are picked out of each record, so records are not shuffled. Of a key that is
+    written several times, in either spelling, the last one counts. An empty record is a broken
+    run with default values. Times are seconds since the epoch and become timestamps here.
     """
     read = spark.read.text(f"{root}/*/*/{file_name}", wholetext=True)
     files = read.select("value", decoded_path("_metadata.file_path").alias("path"))
-    if keep_empty:
-        files = files.unionByName(empty_files(files).withColumn("value", F.lit("")))
+    files = files.unionByName(empty_files(files).withColumn("value", F.lit("")))
     files = files.withColumn("path", F.split("path", "/"))
     entries = F.transform(
         _section_entries(F.col("value"), section),
@@ -81,13 +78,17 @@ def scan_runs(
         ),
     )
     parsed = files.select(
-        F.element_at("path", -3).alias("backupset"),
-        F.element_at("path", -2).alias("name"),
-        F.map_from_entries(entries).alias("conf"),
+        F.when(F.element_at("path", -3).startswith("backupset="), F.url_decode(F.substring(F.element_at("path", -3), 11, 1 << 20))).otherwise(F.element_at("path", -3)).alias("backupset"),
+        F.regexp_replace(F.element_at("path", -2), r"\Aname=", "").alias("name"),
+        entries.alias("conf"),
     )
+
+    def given(key: str) -> Column:
+        mine = F.filter("conf", lambda entry: entry["key"] == key)
+        return F.try_element_at(mine, F.lit(-1))["text"]
+
     columns = {
-        key.replace("-", "_"): _typed(F.coalesce(F.try_element_at("conf", F.lit(key)), F.lit(default)), kind)
-        for key, kind, default in RUN_RECORD_SPEC
+        key.replace("-", "_"): _typed(F.coalesce(given(key), F.lit(default)), kind) for key, kind, default in RUN_RECORD_SPEC
     }
     for moment in ("start_time", "stop_time"):
         columns[moment] = F.timestamp_micros((columns[moment] * 1e6).cast("bigint")).cast("timestamp_ntz")
@@ -128,6 +129,23 @@ def write_run_record(
         stream.close()
 
 
+def write_run_records(records: DataFrame, root: str, section: str = "run") -> None:
+    """Write the records of many new runs in tasks: ``backupset, name`` and any keys of a record,
+    spelled with underscores, as columns. NULL values are left out.
+
+    Folders are called ``backupset=<set>/name=<run name>`` and files ``part-*``; ``scan_runs`` reads
+    them with that ``file_name``.
+    """
+    known = {key.replace("-", "_"): key for key, _, _ in RUN_RECORD_SPEC}
+    keys = [c for c in records.columns if c not in ("backupset", "name")]
+    if unknown := set(keys) - set(known):
+        raise ValueError(f"unknown settings in a run record: {', '.join(sorted(unknown))}")
+    lines = [F.concat(F.lit(f"{known[key]} = "), F.col(key).cast("string")) for key in keys]
+    record = F.concat_ws("\n", F.lit(f"[{section}]"), *lines)
+    rows = records.select("backupset", "name", record.alias("value"))
+    rows.write.partitionBy("backupset", "name").text(root)
+
+
 def delete_runs(spark: SparkSession, root: str, plan: DataFrame) -> int:
     """Delete the folders of the runs a plan purges and return how many there were.
 

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tablekeep.functions import values
 from tablekeep.operators.settings import Setting, for_scopes, merge_settings, validate_settings
 
 SCHEMA = "scope string, section string, key string, value string"
@@ -61,3 +63,18 @@ def test_layers(spark):
 def test_defaults_per_scope(spark):
     scopes = spark.createDataFrame([("s",), ("t",)], "scope string")
     assert for_scopes(scopes, SPEC).count() == 2 * len(SPEC)
+
+
+def test_one_value_per_key_and_layer(spark):
+    schema = "scope string, section string, key string, value string"
+    low = spark.createDataFrame([("s", "run", "a_b", "9"), ("s", "run", "a-b", "1"), ("s", "run", "c_d_e", "2"), ("s", "run", "c_d-e", "3")], schema)
+    merged = merge_settings(low, low.limit(0)).collect()
+    assert {(r["key"], r["value"]) for r in merged} == {("a-b", "1"), ("c-d-e", "3")}
+
+
+def test_levels_and_command_lines(one):
+    line = r""" -a 'b c' d\ e "f'g"h """
+    assert one(values.to_args(F.lit(line))) == ["-a", "b c", "d e", "f'gh"]
+    assert one(values.to_args(F.lit(""))) == []
+    for text in ("'open", '"open', "end\\"):
+        assert one(values.to_args(F.lit(text))) is None

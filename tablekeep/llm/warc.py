@@ -22,6 +22,8 @@ SAMPLE_RECORDS = 1000
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Bytes of an archive looked at together for the end of a frame.
+FRAME_BYTES = 4096
 
 # The skippable frame that holds a dictionary, and an empty skippable frame of another
 # kind. The empty one is all ASCII; it is the line separator with which Spark ends each record.
@@ -103,9 +105,12 @@ def read_archive(content: bytes) -> Iterator[bytes]:
                 decompressor = zstandard.ZstdDecompressor(dict_data=found)
             at += 8 + length
             continue
-        one = decompressor.decompressobj()
-        yield one.decompress(memoryview(content)[at:])
-        at = len(content) - len(one.unused_data)
+        one, parts = decompressor.decompressobj(), []
+        while not one.eof:  # in short pieces, as what lies behind the frame is handed back
+            parts.append(one.decompress(content[at : at + FRAME_BYTES]))
+            at += FRAME_BYTES
+        at = min(at, len(content)) - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parsed(one: bytes) -> dict:
@@ -165,17 +170,15 @@ def write_archives(
                 held, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
-    own = [F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("size")]
+    # Which rows are revisits is found from the keys alone. Payloads are then shuffled once, evenly,
+    # into their archives, and meet the keys of revisits there by a hash of id and digest.
+    slot = F.xxhash64("id", "digest")
     refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    # The few columns of the join go ahead; payloads are shuffled once, evenly, into their archives.
-    to = keys.join(first, ["digest", "size"]).select("id", "digest", "size", refers.alias("refers_to")).where("refers_to IS NOT NULL").distinct()
-    marked = rows.select("id", "url", "payload", *own)
-    joined = marked.join(
-        to.select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("size").alias("r_size"), "refers_to"),
-        F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")) & (F.col("size") == F.col("r_size")),
-        "left",
-    )
-    dealt = joined.select("id", "url", "payload", "refers_to", "digest").repartition(archives, "id", "digest").select("id", "url", "payload", "refers_to")
+    to = keys.join(first, ["digest", "size"]).select(slot.alias("slot"), F.col("digest").alias("same"), refers.alias("refers_to"))
+    to = settle(to.where("refers_to IS NOT NULL").distinct(), "revisits").repartition(archives, "slot")
+    marked = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("slot", slot).repartition(archives, "slot")
+    joined = marked.join(to, "slot", "left")
+    dealt = joined.select("id", "url", "payload", F.when(F.col("digest") == F.col("same"), F.col("refers_to")).alias("refers_to"))
     dealt.mapInArrow(frames, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR.decode()).text(path)
 
 

@@ -16,7 +16,7 @@ from tablekeep.llm.common import ascii_words, mix64, settle, text_slices
 #: Words of a repeat and of an anchor. Of each window of ``LENGTH`` words the smallest anchor hash is kept.
 LENGTH = 35
 ANCHOR = 10
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BASE, _WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _rolling(hashes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
@@ -81,8 +81,7 @@ def _anchored(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 def _extended(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     """Seeds extended both ways as far as the windows reach that they anchor, a row for each seed.
 
-    ``start`` is the first of these windows, ``windows`` the hashes of all of them in order, and
-    ``span`` that of the whole stretch.
+    ``start`` is the first of its ``size`` windows, ``span`` a hash of all of them.
     """
     powers = np.cumprod(np.full(length, _BASE), dtype=np.uint64)
 
@@ -98,32 +97,53 @@ def _extended(texts: DataFrame, length: int, anchor: int) -> DataFrame:
                 starts, at = starts[kept], at[kept]
                 if not len(starts):
                     continue
-                windows = _rolling(hashes, length, np.uint64(0x9E3779B97F4A7C15))[starts]
+                windows = _rolling(hashes, length, _WINDOW_BASE)[starts]
                 first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # windows of one anchor are neighbours
                 sizes = np.diff(np.append(first, len(at)))
                 spans = mix64(np.add.reduceat(windows * powers[starts - np.repeat(starts[first], sizes)], first) + sizes.astype(np.uint64))
                 owner = np.searchsorted(bounds, starts[first], side="right") - 1
-                columns = [batch.column(0).take(pa.array(owner)), pa.array((starts[first] - bounds[owner]).astype(np.int32))]
+                columns = [batch.column(0).take(pa.array(owner)), pa.array((starts[first] - bounds[owner]).astype(np.int32)), pa.array(sizes.astype(np.int32))]
                 columns += [pa.array(grams[at[first]].view(np.int64)), pa.array(spans.view(np.int64))]
-                columns.append(pa.ListArray.from_arrays(np.append(first, len(at)).astype(np.int32), pa.array(windows.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, names=["mark", "start", "anchor", "span", "windows"])
+                yield pa.RecordBatch.from_arrays(columns, names=["mark", "start", "size", "anchor", "span"])
 
-    return texts.select("mark", "text", "seeds").mapInArrow(task, "mark long, start int, anchor long, span long, windows array<long>")
+    return texts.select("mark", "text", "seeds").mapInArrow(task, "mark long, start int, size int, anchor long, span long")
 
 
-def _repeated(seeds: DataFrame) -> DataFrame:
+def _windows(texts: DataFrame, length: int) -> DataFrame:
+    """The window hashes of stretches: rows ``(anchor, span, n, offset, window)`` of ``(text, stretches)``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, 0):
+                bounds, hashes = _hashed(batch.column(0))
+                windows, lists = _rolling(hashes, length, _WINDOW_BASE), batch.column(1)
+                owner = np.repeat(bounds[:-1], np.diff(lists.offsets.to_numpy()))
+                start, size, anchor, span, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                at = np.repeat(owner + start, size) + offset
+                columns = [pa.array(np.repeat(x, size)) for x in (anchor, span, n)] + [pa.array(offset.astype(np.int32)), pa.array(windows[at].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "span", "n", "offset", "window"])
+
+    return texts.select("text", "stretches").mapInArrow(task, "anchor long, span long, n long, offset int, window long")
+
+
+def _repeated(seeds: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Rows ``(anchor, span, offsets)``: which windows of each different stretch are repeated.
 
     If all stretches around an anchor are equal, all their windows are repeated. Else the windows
-    of the different stretches are counted, each as often as its stretch occurs.
+    of the different stretches are counted, each as often as its stretch occurs; their hashes are
+    taken from one text that holds the stretch.
     """
-    spans = settle(seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "spans")
+    one = F.min(F.struct("mark", "start", "size")).alias("one")
+    spans = settle(seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), one), "spans")
     several = spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor")
     alone = spans.join(several, "anchor", "left_anti").where("n > 1")
-    whole = alone.select("anchor", "span", F.sequence(F.lit(0), F.size("windows") - 1).alias("offsets"))
-    each = settle(spans.join(several, "anchor"), "different-spans").select("anchor", "span", "n", F.posexplode("windows").alias("offset", "window"))
+    whole = alone.select("anchor", "span", F.sequence(F.lit(0), F.col("one.size") - 1).alias("offsets"))
+    stretch = F.struct("one.start", "one.size", "anchor", "span", "n")
+    wanted = spans.join(several, "anchor").groupBy(F.col("one.mark").alias("mark")).agg(F.collect_list(stretch).alias("stretches"))
+    each = settle(_windows(texts.select("mark", "text").join(wanted, "mark"), length), "windows")
     repeats = each.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window")
-    parts = each.join(repeats, ["anchor", "window"]).groupBy("anchor", "span").agg(F.collect_list("offset").alias("offsets"))
+    parts = each.join(repeats, ["anchor", "window"]).groupBy("anchor", "span").agg(F.collect_set("offset").alias("offsets"))
     return whole.unionAll(parts)
 
 
@@ -157,11 +177,12 @@ def _found(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str
     repeated = anchors.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors")
     seeds = anchors.join(repeated, "anchors").groupBy("mark").agg(F.collect_set("places").alias("seeds"))
     seeded = settle(texts.select("mark", "text").join(seeds, "mark"), "seeded")
+    distinct = seeded.dropDuplicates(["mark"])
     extended = settle(_extended(seeded, length, anchor), "extended")
-    places = extended.select("mark", "start", "anchor", "span").join(_repeated(extended), ["anchor", "span"])
+    places = extended.select("mark", "start", "anchor", "span").join(_repeated(extended, distinct, length), ["anchor", "span"])
     starts = places.select("mark", F.transform("offsets", lambda offset: offset + F.col("start")).alias("s"))
     starts = starts.groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
-    cut = seeded.dropDuplicates(["mark"]).select("mark", "text").join(starts, "mark").select("mark", "text", "starts")
+    cut = distinct.select("mark", "text").join(starts, "mark").select("mark", "text", "starts")
     return base, _without(cut, length)
 
 

@@ -374,6 +374,15 @@ _BODIES = {
             AND t.engine NOT IN ('innodb', 'federated', 'myisam_mrg', 'memory', 'view', 'blackhole'))
           THEN '--lock-tables' ELSE '--single-transaction' END AS lock_option
         FROM fdbs d WHERE NOT d.excluded""",
+    "lock_mode_fixed": """
+        SELECT name AS database, lock_option, method FROM fdbs, (VALUES ('flush-lock', '--lock-all-tables'),
+          ('lock-tables', '--lock-tables'), ('single-transaction', '--single-transaction'), ('none', '--skip-lock-tables')) m(method, lock_option)
+        WHERE NOT excluded""",
+    "lock_mode_all": """
+        SELECT CASE WHEN count(*) FILTER (NOT excluded AND engine NOT IN ('innodb', 'federated', 'myisam_mrg', 'memory', 'view', 'blackhole')) > 0
+          THEN '--lock-tables' ELSE '--single-transaction' END AS lock_option, 'some' AS kind FROM ftbls
+        UNION ALL SELECT CASE WHEN count(*) >= 0 THEN '--lock-all-tables' END, 'all' FROM ftbls
+        UNION ALL SELECT CASE WHEN count(*) >= 0 THEN '--single-transaction' END, 'innodb' FROM ftbls""",
     "non_transactional": """
         SELECT database || '.' || name AS table, engine FROM tbls WHERE engine IN ('myisam', 'mrg_myisam')""",
     "purge_summary": """

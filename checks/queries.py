@@ -552,6 +552,25 @@ def lock_mode(spark, sf):
     return sizing.lock_mode(*a.filtered(spark, sf))
 
 
+@query
+def lock_mode_fixed(spark, sf):
+    dbs, tbls = a.filtered(spark, sf)
+    chosen = [sizing.lock_mode(dbs, tbls, method).withColumn("method", F.lit(method)) for method in sizing.LOCK_OPTIONS]
+    return reduce(DataFrame.unionByName, chosen)
+
+
+@query
+def lock_mode_all(spark, sf):
+    """One option for everything: restricted, unrestricted, and for InnoDB tables only."""
+    _, tbls = a.filtered(spark, sf)
+    safe = tbls.where(F.col("engine") == "innodb")
+    found = [
+        sizing.lock_mode_all(frame, unrestricted).withColumn("kind", F.lit(kind))
+        for kind, frame, unrestricted in (("some", tbls, False), ("all", tbls, True), ("innodb", safe, False))
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def non_transactional(spark, sf):
     return sizing.non_transactional(a.tables(spark, sf))

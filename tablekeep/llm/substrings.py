@@ -142,9 +142,9 @@ def _repeated(seeds: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     stretch = F.struct("one.start", "one.size", "anchor", "span", "n")
     wanted = spans.join(several, "anchor").groupBy(F.col("one.mark").alias("mark")).agg(F.collect_list(stretch).alias("stretches"))
     each = settle(_windows(texts.select("mark", "text").join(wanted, "mark"), length), "windows")
-    repeats = each.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window")
+    repeats = settle(each.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window"), "repeated-windows")
     parts = each.join(repeats, ["anchor", "window"]).groupBy("anchor", "span").agg(F.collect_set("offset").alias("offsets"))
-    return whole.unionAll(parts)
+    return settle(whole.unionAll(parts), "repeated-stretches")
 
 
 def _without(texts: DataFrame, length: int) -> DataFrame:
@@ -174,7 +174,8 @@ def _found(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str
     texts = _marked(docs, id_col, text_col)
     base = settle(_anchored(texts, length, anchor), "anchored")
     anchors = base.select("mark", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("mark", "a.anchors", "a.places")
-    repeated = anchors.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors")
+    # Settled, so that a shuffle lies right below each side of a join and a hot anchor can be split.
+    repeated = settle(anchors.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors"), "repeated-anchors")
     seeds = anchors.join(repeated, "anchors").groupBy("mark").agg(F.collect_set("places").alias("seeds"))
     seeded = settle(texts.select("mark", "text").join(seeds, "mark"), "seeded")
     distinct = seeded.dropDuplicates(["mark"])

@@ -28,7 +28,7 @@ FEMALE_NAMES = frozenset(
 _TITLES = MALE_TITLES | FEMALE_TITLES | OTHER_TITLES
 _FIRST_NAMES = MALE_NAMES | FEMALE_NAMES
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")
 _IP = re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)")
 _CARD = re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![\d])")
@@ -40,6 +40,7 @@ _SECRET = re.compile(r"(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)\b)[\
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _UPPER = "[A-ZÀ-ÖØ-ÞЀ-Я]"
 _CAPITALS = re.compile(rf"(?<!\w)(?P<lead>{_UPPER}{_WORD})\.?[ \u00a0](?=(?P<rest>{_UPPER}{_WORD}(?:[ \u00a0]{_UPPER}{_WORD})?))")
+_RUN = re.compile(r"\w+")
 #: Only texts with one of these are looked through for anything but names.
 _TRACES = re.compile(r"[\d@=:]")
 
@@ -83,11 +84,20 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
         if given:
             parts.setdefault(given, f"first:{_gender(low, given.casefold())}:{_script(given)}")
         parts.setdefault(last, f"last:{_script(last)}")
-    if parts:  # every further mention of a part in this text, also in capitals, means the same person
-        kinds = {part.upper(): kind for part, kind in parts.items()} | parts
-        again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, kinds), key=len, reverse=True)) + r")(?!\w)")
-        for found in again.finditer(text):
-            yield found.start(), found.end(), kinds[found[0]], found[0].casefold()
+    # Every further mention of a part in this text, also in capitals, means the same person.
+    kinds = {part.upper(): kind for part, kind in parts.items()} | parts
+    starting: dict[str, list[str]] = {}
+    for part in sorted(kinds, key=len, reverse=True):
+        starting.setdefault(_RUN.match(part)[0], []).append(part)
+    last = 0
+    for run in _RUN.finditer(text) if parts else ():
+        begin = run.start()
+        for part in starting.get(run[0], ()) if begin >= last else ():
+            end = begin + len(part)
+            if text.startswith(part, begin) and not _RUN.match(text, end):
+                yield begin, end, kinds[part], part.casefold()
+                last = end
+                break
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -205,7 +215,9 @@ def dressed(mention: str, kind: str, replacement: str) -> str:
         return "".join(next(signs) if c.isalnum() else c for c in mention)
     if kind.startswith(("first", "last")):
         return replacement.upper() if mention.isupper() else replacement.capitalize() if mention[0].isupper() else replacement
-    return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, replacement, strict=True)) if kind != "ip" else replacement
+    if kind == "ip" or len(mention) != len(replacement):  # folding case may change the length
+        return replacement
+    return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, replacement, strict=True))
 
 
 def rewritten(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:

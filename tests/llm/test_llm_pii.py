@@ -45,6 +45,13 @@ def test_clean_texts_stay(text):
     assert pii.rewritten(text, KEY, {}) == (text, 0)
 
 
+@pytest.mark.parametrize("text", ["mail Straße@example.de now", "ip 1.2.3.٣ or 1.2.3.4٣", "İx@example.com", "+４９ 170 123 4567", "card ４111 1111 1111 1111", "Mr. ǅon ẞmith"])
+def test_letters_and_digits_of_any_script(text):
+    new, n = pii.rewritten(text, KEY, {})
+    assert (new == text) == (n == 0)
+    assert pii.rewritten(text, KEY, {}) == (new, n)
+
+
 def test_the_key_decides():
     assert pii.surrogate(b"1", "email", "a@b.com") != pii.surrogate(b"2", "email", "a@b.com") == pii.surrogate(b"2", "email", "a@b.com")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.llm.common import settle
-from tablekeep.llm.packing import _encoding
+from tablekeep.llm.packing import token_ids
 
 #: Longest n-gram, and the factor for each step back to a shorter one.
 ORDER = 2
@@ -55,9 +55,8 @@ def log_scores(tokens: np.ndarray, grams: np.ndarray, totals: np.ndarray, n_toke
 
 
 def _tokens(vocabulary: str, texts: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray]:
-    encode = _encoding(vocabulary).encode_ordinary
     for text in texts:
-        yield np.array(encode(text.as_py() or ""), np.int64)
+        yield np.array(token_ids(vocabulary, text.as_py() or "", special=False), np.int64)
 
 
 def scored(

@@ -39,6 +39,28 @@ def _encoding(vocabulary: str):
     return tiktoken.Encoding("bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@cache
+def _tokenizer(vocabulary: str, special: bool):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = not special
+    return tokenizer
+
+
+def token_ids(vocabulary: str, text: str, special: bool = True) -> list[int]:
+    """The ids of a whole text. Without ``special`` the strings of special tokens are plain text.
+
+    ``tiktoken`` gives up on white space of about a million characters in a row; ``tokenizers``
+    itself takes such a text.
+    """
+    encoding = _encoding(vocabulary)
+    try:
+        return encoding.encode(text, allowed_special=encoding.special_tokens_set if special else set(), disallowed_special=())
+    except ValueError:
+        return _tokenizer(vocabulary, special).encode(text, add_special_tokens=False).ids
+
+
 # Fixed value: the pre-tokenizer of byte-level BPE vocabularies of this kind.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -73,11 +95,10 @@ def tokenized(
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, special = _encoding(vocabulary).encode, _encoding(vocabulary).special_tokens_set
         for batch in batches:
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or "", allowed_special=special), end_id], "<u4")
+                ids = np.array([*token_ids(vocabulary, text.as_py() or ""), end_id], "<u4")
                 at = cuts(len(ids), capacity)
                 for k, (a, b) in enumerate(zip(at, [*at[1:], len(ids)], strict=True)):
                     doc.append(name)

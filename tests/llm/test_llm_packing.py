@@ -13,10 +13,11 @@ TEXTS = ["", None, "Hello  world", "a<|endoftext|>b", "漢字 🙂 ½²", "\n\n
 
 def test_ids_are_those_of_the_tokenizer():
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    encoding = packing._encoding(VOCABULARY)
-    for text in TEXTS:
-        mine = encoding.encode(text or "", allowed_special=encoding.special_tokens_set)
-        assert mine == tokenizer.encode(text or "", add_special_tokens=False).ids
+    blank = " " * 1_500_000
+    for text in [*TEXTS, f"a{blank}b <|endoftext|>{blank}", "\n" * 1_500_000]:
+        assert packing.token_ids(VOCABULARY, text or "") == tokenizer.encode(text or "", add_special_tokens=False).ids
+    plain = packing.token_ids(VOCABULARY, "a <|endoftext|> b", special=False)
+    assert packing.token_ids(VOCABULARY, f"a <|endoftext|> b{blank}", special=False)[: len(plain)] == plain
 
 
 def test_only_the_first_piece_may_be_shorter():

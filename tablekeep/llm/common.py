@@ -76,13 +76,13 @@ def mix64(values: np.ndarray) -> np.ndarray:
         return values ^ (values >> np.uint64(31))
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices whose texts have ``most_bytes`` together, or one text that is longer."""
+def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 21, most_rows: int = 1 << 10) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of ``most_rows`` whose texts have ``most_bytes`` together, or one text that is longer."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     before = np.cumsum(sizes) - sizes
     begin = 0
     for row in range(1, batch.num_rows + 1):
-        if row == batch.num_rows or before[row] + sizes[row] - before[begin] > most_bytes:
+        if row == batch.num_rows or row - begin == most_rows or before[row] + sizes[row] - before[begin] > most_bytes:
             yield batch.slice(begin, row - begin)
             begin = row
 

@@ -28,6 +28,7 @@ def test_slices_keep_every_row():
     parts = list(common.text_slices(batch, 0, 10))
     assert [part.num_rows for part in parts] == [3, 1, 1]
     assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert [part.num_rows for part in common.text_slices(batch, 0, 1000, 2)] == [2, 2, 1]
     assert list(common.text_slices(batch.slice(0, 0), 0)) == []
 
 

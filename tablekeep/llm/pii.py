@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.common import settle
+from tablekeep.llm.common import settle, unused
 
 # Titles and common first names by gender; a name is looked for after one of them.
 MALE_TITLES = frozenset("mr mister herr monsieur señor senor sr don sir господин".split())
@@ -294,7 +294,8 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             counts.append(n)
         return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(counts, pa.int32())], ["text", "n"])
 
-    own = docs.withColumn("__mark", F.xxhash64(id_col, text_col)) if "__mark" not in docs.columns else docs
-    joined = own.join(per_text, own["__mark"] == per_text["mark"], "left").withColumn("__new", replace(own[text_col], per_text["moved"]))
-    columns = [F.col("__new.text").alias(c) if c == text_col else own[c] for c in docs.columns]
-    return joined.select(*columns, *([F.col("__new.n").alias(count_col)] if count_col else []))
+    mark, new = unused(docs, "own_mark"), unused(docs, "replaced")
+    own = docs.withColumn(mark, F.xxhash64(id_col, text_col))
+    joined = own.join(per_text, own[mark] == per_text["mark"], "left").withColumn(new, replace(own[text_col], per_text["moved"]))
+    columns = [F.col(f"{new}.text").alias(c) if c == text_col else own[f"`{c}`"] for c in docs.columns]
+    return joined.select(*columns, *([F.col(f"{new}.n").alias(count_col)] if count_col else []))

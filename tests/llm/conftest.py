@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that operators do not read, with names that clash with ones they use inside.
-CLASHING = "id long, mark long, block int, fp long, part int, n int, window long"
+CLASHING = "id long, mark long, block int, fp long, part int, n int, window long, own_mark long, replaced long, kept long, moved long, rep long, component long"
 
 
 @pytest.fixture(scope="session")

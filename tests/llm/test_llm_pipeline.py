@@ -50,7 +50,8 @@ def test_the_whole_run_packs_what_the_stages_kept(spark, stages):
 def test_nulls_and_no_rows(spark):
     rows = [(1, None, "en", "s", 0), (2, "", "en", None, 0), (None, "the cat and the dog", "en", "s", None), (4, "the cat and the dog", None, "s", 19), (4, "the cat and the dog", None, "s", 19)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for table, kept in ((docs, {None, 4}), (docs.limit(0), set())):
+    clashing = docs.selectExpr("*", "7L AS mentions", "7L AS Own_Mark", "'a' AS replaced", "7 AS mark", "7 AS `a.b`")
+    for table, kept in ((docs, {None, 4}), (docs.limit(0), set()), (clashing, {None, 4})):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, SF_DIR)
             table = spark.createDataFrame(table.collect(), table.schema)

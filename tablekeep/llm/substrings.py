@@ -207,8 +207,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id
 def cleaned(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out; a changed text is its kept words joined by one space."""
     _, cut = _found(docs, length, anchor, id_col, text_col)
-    new = settle(cut.select("mark", F.col("kept").cast("string").alias("__kept")), "kept")
-    own = F.xxhash64(id_col, text_col)
-    text = F.coalesce("__kept", F.col(text_col))
-    joined = docs.join(new, own == new["mark"], "left")
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    new = settle(cut.select("mark", F.col("kept").cast("string").alias("kept")), "kept")
+    text = F.coalesce(new["kept"], docs[text_col])
+    joined = docs.join(new, F.xxhash64(docs[id_col], docs[text_col]) == new["mark"], "left")
+    return joined.select(*[text.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])

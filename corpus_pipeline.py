@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeep.llm import decontamination, language, packing, pii, simhash
-from tablekeep.llm.common import settle
+from tablekeep.llm.common import settle, unused
 from tablekeep.llm.settings import SURROGATE_KEY, VOCABULARY
 
 
@@ -32,10 +32,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates and counts the characters anew where texts changed."""
-    new = pii.pseudonymised(docs, SURROGATE_KEY, count_col="__mentions")
+    mentions = unused(docs, "mentions")
+    new = pii.pseudonymised(docs, SURROGATE_KEY, count_col=mentions)
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__mentions") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.drop("__mentions")
+        kind = dict(docs.dtypes)["n_chars"]
+        new = new.withColumn("n_chars", F.when(F.col(mentions) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return new.drop(mentions)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

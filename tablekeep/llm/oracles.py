@@ -58,4 +58,106 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM named
 """
 
-SQL = {"op4_warc": WARC, "op6_substrings": SUBSTRINGS, "op9_nearest": NEAREST}
+#: Links by shared shingles of all pairs, components by following links.
+JACCARD = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n_a, y.n AS n_b, count(*) AS c
+    FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs WHERE 100 * c >= 85 * (n_a + n_b - c)
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), least AS (
+    SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
+#: A crc32 bit by bit; words one edit apart are equal with one letter left out, at one place if both lose it.
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS bytes FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(0, length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))) AS h
+    FROM counted
+), damaged AS (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed
+), vocabulary AS (
+    SELECT word, sum(n)::BIGINT AS n, length(word) AS size FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (
+    SELECT word, n, size, unnest(range(0, size)) AS i FROM vocabulary
+), shortened AS (
+    SELECT word, n, size, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM places
+), pairs AS (
+    SELECT a.word AS word, b.word AS other, b.n AS other_n FROM shortened a JOIN shortened b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM shortened a JOIN vocabulary b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM shortened a JOIN vocabulary b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM pairs GROUP BY word
+), judged AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+    FROM vocabulary LEFT JOIN best USING (word)
+), followed AS (
+    SELECT word, word AS root, 0 AS steps FROM judged
+    UNION ALL SELECT f.word, j.form, f.steps + 1 FROM followed f JOIN judged j ON f.root = j.word WHERE j.form IS NOT NULL
+), roots AS (
+    SELECT word, arg_max(root, steps) AS root FROM followed GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN roots USING (word)
+"""
+
+#: Every prefix of every rebuilt conversation, and for subtrees every pair of a node and one below it.
+PREFIXES = r"""
+WITH original AS (
+    SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+    SELECT c, seq, xor(4294967295::BIGINT, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, step: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % 9 AS h
+    FROM original
+), rebuilt AS (
+    SELECT a.c, list_concat(coalesce(b.seq[1:h], []), a.seq[h + 1:]) AS seq FROM hashed a LEFT JOIN original b ON b.c = a.c - a.c % 5
+), members AS (
+    SELECT c, len(seq) AS size, unnest(range(0, len(seq) + 1)) AS depth, seq FROM rebuilt
+), nodes AS (
+    SELECT depth, seq[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs,
+        string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = depth) AS ends
+    FROM members GROUP BY ALL
+), measured AS (
+    SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[depth].t) END AS saved,
+        (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.path[1:n.depth] = n.path) AS n_children
+    FROM nodes n
+), below AS (
+    SELECT a.depth, a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens
+    FROM measured a JOIN measured b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM measured m JOIN below b ON b.depth = m.depth AND b.path = m.path
+LEFT JOIN nodes p ON p.depth = m.depth - 1 AND p.path = m.path[1:m.depth - 1]
+"""
+
+SQL = {
+    "op4_warc": WARC,
+    "op6_substrings": SUBSTRINGS,
+    "op9_nearest": NEAREST,
+    "op11_jaccard": JACCARD,
+    "op12_spelling": SPELLING,
+    "op13_prefixes": PREFIXES,
+}

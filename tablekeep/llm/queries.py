@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tablekeep.llm import decontamination, language, lm, nearest, packing, pii, quality, simhash, substrings, warc
+from tablekeep.llm import decontamination, jaccard, language, lm, nearest, packing, pii, prefixes, quality, simhash, spelling, substrings, warc
 from tablekeep.llm.oracles import SQL
 from tablekeep.llm.settings import SURROGATE_KEY, VOCABULARY
 
@@ -58,6 +58,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.corpus_variants(_table(spark, sf_dir, "documents"), every=31, least=7, occurrences=2)
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_decontaminate": op2_decontaminate,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,
     "op10_language": op10_language,
+    "op11_jaccard": op11_jaccard,
+    "op12_spelling": op12_spelling,
+    "op13_prefixes": op13_prefixes,
     "pipeline": corpus_pipeline.run,
 }
 

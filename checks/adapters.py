@@ -144,6 +144,18 @@ def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return deps.select("view").distinct(), deps, objects
 
 
+def nested_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``views``, where most views read the one before theirs in a chain and some chains are circles."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"))
+    view = lambda number: F.concat(F.lit("v_"), number.cast("string"))
+    parts = lines.where("n % 3 = 1").select(view(F.col("o")).alias("view"), F.concat(F.lit("p_"), F.col("p").cast("string")).alias("object"))
+    orders = lines.select("o").distinct()
+    before = orders.where("o % 12 <> 0").select(view(F.col("o")).alias("view"), view(F.col("o") - 1).alias("object"))
+    around = orders.where("o % 36 = 0").select(view(F.col("o")).alias("view"), view(F.col("o") + 5).alias("object"))
+    objects = table(spark, sf_dir, "part").where("p_size % 8 <> 3").select(F.concat(F.lit("p_"), F.col("p_partkey").cast("string")).alias("object"))
+    return orders.select(view(F.col("o")).alias("view")), parts.unionByName(before).unionByName(around), objects
+
+
 def set_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event of each user and type, read as a setting."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")

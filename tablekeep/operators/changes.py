@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.plans.settled import settle
-from tablekeep.plans.sliced import next_after, slice_rows
+from tablekeep.plans.sliced import next_after, slice_rows, unused
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
@@ -101,8 +101,9 @@ def dump_view(
         rest = [c for c in versions.columns if c not in keys]
         current = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_current"))
         return current.select(*keys, "_current.*").select(*versions.columns)
-    sliced = slice_rows(versions, [*keys, *order], slice_bytes=slice_bytes)
-    return next_after(sliced, keys, order, "_slice", F.col(ts), "valid_to").drop("_slice")
+    name = unused(versions, "_slice")
+    sliced = slice_rows(versions, [*keys, *order], slice_bytes=slice_bytes, out=name)
+    return next_after(sliced, keys, order, name, F.col(ts), "valid_to").drop(name)
 
 
 def record_positions(
@@ -134,10 +135,40 @@ def position_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, "table", "full_outer").where(moved)
 
 
+def broken_views(views: DataFrame, deps: DataFrame, objects: DataFrame) -> DataFrame:
+    """``DF(view, depth, missing)``: views that cannot be read, and what they lack.
+
+    A view is broken at depth 1 when something it names neither exists nor is a view, and one
+    deeper when it names a broken view; ``depth`` is the least, ``missing`` the first name in
+    order that breaks it at that depth. Views that only name each other are not broken.
+
+    Only the views found in the last round are joined in the next one, each view counts in one
+    round only, and every round is settled, so a circle ends and the rounds are as many as the
+    deepest view. Names of views are compared when both columns are of one type.
+    """
+    named = deps.select("view", "object").where("view IS NOT NULL AND object IS NOT NULL")
+    there = objects.select("object").where("object IS NOT NULL")
+    nested = deps.schema["object"].dataType == views.schema["view"].dataType
+    if nested:
+        there = there.unionByName(views.select(F.col("view").alias("object")).where("object IS NOT NULL"))
+        between = named.join(views.select("view"), "view", "left_semi").join(views.select(F.col("view").alias("object")), "object", "left_semi")
+        between = settle(between, "views-of-views")
+    lacking = named.join(views.select("view"), "view", "left_semi").join(there, "object", "left_anti")
+    fresh = settle(lacking.groupBy("view").agg(F.lit(1).alias("depth"), F.min("object").alias("missing")), "broken-views")
+    rounds = [fresh]
+    while nested and not fresh.isEmpty():
+        above = between.join(fresh.withColumnRenamed("view", "object"), "object").groupBy("view")
+        found = above.agg((F.first("depth") + 1).alias("depth"), F.min("missing").alias("missing"))
+        known = reduce(DataFrame.unionByName, (r.select("view") for r in rounds))
+        fresh = settle(found.join(known, "view", "left_anti"), "broken-views")
+        rounds.append(fresh)
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def invalid_views(views: DataFrame, deps: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split views into those whose objects all exist and those to set aside.
+    """Split views into those that can be read and those to set aside, be it for a view they read.
 
-    ``deps`` has ``view, object``, ``objects`` has ``object``.
+    ``views`` has ``view``, ``deps`` has ``view, object``, ``objects`` has ``object``.
     """
-    broken = settle(deps.join(objects, "object", "left_anti").select("view").distinct(), "broken-views")
+    broken = broken_views(views, deps, objects).select("view")
     return views.join(broken, "view", "left_anti"), views.join(broken, "view", "left_semi")

@@ -122,3 +122,30 @@ def test_ties_repeats_and_changes_without_operation(spark):
     broken = spark.createDataFrame([(1, 5, None, 1.0)], "k long, seq long, op string, value double")
     with pytest.raises(PySparkException, match="no operation"):
         changes.apply_changes(base, broken, "k", "seq").collect()
+
+
+def broken(spark, views, deps, objects):
+    found = changes.broken_views(
+        spark.createDataFrame([(v,) for v in views], "view string"), spark.createDataFrame(deps, "view string, object string"), spark.createDataFrame([(o,) for o in objects], "object string")
+    )
+    return {r["view"]: (r["depth"], r["missing"]) for r in found.collect()}
+
+
+def test_views_over_broken_views(spark):
+    deps = [("v1", "gone"), ("v1", "t"), ("v2", "v1"), ("v3", "v2"), ("v3", "lost"), ("v4", "t"), ("v5", "v4"), ("c1", "c2"), ("c2", "c1"), ("c2", "t"), ("d1", "d2"), ("d2", "d1"), ("d2", "v3"), ("d1", "v2")]
+    views = ["v1", "v2", "v3", "v4", "v5", "c1", "c2", "d1", "d2", "none"]
+    assert broken(spark, views, deps, ["t"]) == {"v1": (1, "gone"), "v2": (2, "gone"), "v3": (1, "lost"), "d2": (2, "lost"), "d1": (3, "gone")}
+    assert broken(spark, [], [], []) == {}
+
+
+def test_many_views_over_one_broken_one(spark):
+    views = ["bad", *[f"v{i}" for i in range(10_000)]]
+    found = broken(spark, views, [("bad", "gone"), *[(v, "bad") for v in views[1:]], ("w", "bad")], [])
+    assert len(found) == 10_001 and set(found.values()) == {(1, "gone"), (2, "gone")}
+
+
+def test_invalid_views_are_set_aside_for_what_they_read(spark):
+    views = spark.createDataFrame([("v1",), ("v2",), ("v3",)], "view string")
+    deps = spark.createDataFrame([("v1", "gone"), ("v2", "v1"), ("v3", "t")], "view string, object string")
+    valid, aside = changes.invalid_views(views, deps, spark.createDataFrame([("t",)], "object string"))
+    assert {r[0] for r in valid.collect()} == {"v3"} and {r[0] for r in aside.collect()} == {"v1", "v2"}

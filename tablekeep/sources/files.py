@@ -9,6 +9,18 @@ from tablekeep.functions.columns import as_column
 from tablekeep.functions.globs import exclude_glob
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in one folder that holds few, such as one per batch; none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def decoded_path(path: Column | str) -> Column:
     """A path as Spark shows it in ``_metadata``, without percent signs."""
     return F.url_decode(F.replace(as_column(path), F.lit("+"), F.lit("%2B")))

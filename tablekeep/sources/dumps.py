@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablekeep.functions.globs import include_glob, qualify
-from tablekeep.operators.dump import COMBINED_SCHEMA, MANIFEST_DIR, MANIFEST_SCHEMA, partition_name
+from tablekeep.operators.dump import COMBINED_SCHEMA, MANIFEST_DIR, MANIFEST_SCHEMA, STREAMED, partition_name
 from tablekeep.plans.formats import FORMAT_OPTIONS, with_format
+from tablekeep.streaming.batches import parts
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -26,6 +27,9 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
 def _read_table(spark: SparkSession, root: str, entry: Row, schema: StructType | None) -> DataFrame:
     if schema is None and entry.schema:
         schema = StructType.fromJson(json.loads(entry.schema))
+    if entry.what == STREAMED:
+        found = parts(spark, f"{root}/{entry.path}")
+        return with_format(spark.read, entry.format).schema(schema).load(found) if found else spark.createDataFrame([], schema)
     if entry.per_database:
         reader = with_format(spark.read, entry.format)
         return (reader.schema(schema) if schema else reader).load(f"{root}/{entry.path}")

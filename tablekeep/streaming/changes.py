@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tablekeep.operators.changes import apply_latest, latest_changes, newest_changes
+from tablekeep.streaming.batches import fold, is_fresh, last_batch, numbered, parts, remember_checkpoint
 
 
 def stream_apply(
@@ -34,10 +35,11 @@ def stream_apply(
     they were written with: a fresh one would count from zero and overwrite them.
     """
     spark = log_stream.sparkSession
-    if _numbered(spark, root, "batch") and not _names(spark, f"{checkpoint}/commits"):
+    if is_fresh(spark, root, checkpoint):
         raise ValueError(f"{root} has batches, but {checkpoint} is not the checkpoint they were written with")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        remember_checkpoint(spark, root, checkpoint)
         latest = latest_changes(batch, key, seq, values, op)
         latest.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
@@ -53,7 +55,7 @@ def streamed_changes(
     spark: SparkSession, root: str, key: str | Sequence[str], seq: str, values: Sequence[str] = ("value",)
 ) -> DataFrame:
     """The last change of each key over all batches written so far."""
-    return newest_changes(spark.read.parquet(*_parts(spark, root)), key, seq, values)
+    return newest_changes(spark.read.parquet(*parts(spark, root)), key, seq, values)
 
 
 def streamed_state(
@@ -74,34 +76,6 @@ def compact(spark: SparkSession, root: str, key: str | Sequence[str], seq: str,
     The table counts once it is complete, and only then the folded batches are deleted, so a
     compaction that fails changes nothing. Nothing new since the last one is nothing to do.
     """
-    batches = _numbered(spark, root, "batch")
-    done = max(_folded(spark, root), default=-1)
-    if not batches or max(batches) <= done:
-        return
-    streamed_changes(spark, root, key, seq, values).write.mode("overwrite").parquet(f"{root}/upto={max(batches)}")
-    stale = [f"batch={i}" for i in batches] + [f"upto={i}" for i in _folded(spark, root) if i < max(batches)]
-    for name in stale:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    """What lies in a folder: one name per micro-batch and compaction."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
-
-
-def _numbered(spark: SparkSession, root: str, kind: str) -> list[int]:
-    return [int(name.removeprefix(f"{kind}=")) for name in _names(spark, root) if name.startswith(f"{kind}=")]
-
-
-def _folded(spark: SparkSession, root: str) -> list[int]:
-    return [i for i in _numbered(spark, root, "upto") if "_SUCCESS" in _names(spark, f"{root}/upto={i}")]
-
-
-def _parts(spark: SparkSession, root: str) -> list[str]:
-    """The last complete compaction and the batches after it."""
-    done = max(_folded(spark, root), default=-1)
-    after = [f"{root}/batch={i}" for i in sorted(_numbered(spark, root, "batch")) if i > done]
-    return ([f"{root}/upto={done}"] if done >= 0 else []) + after
+    done, newest = max(numbered(spark, root, "upto"), default=-1), last_batch(spark, root)
+    if newest > done:
+        fold(spark, root, streamed_changes(spark, root, key, seq, values).write.format("parquet"), newest)

@@ -4,8 +4,9 @@ import random
 import pytest
 
 from tablekeep.operators.changes import apply_changes
+from tablekeep.sources.dumps import restore, restore_tables
 from tablekeep.streaming.changes import compact, stream_apply, streamed_state
-from tablekeep.streaming.dump import stream_dump
+from tablekeep.streaming.dump import Position, fold_dump, stream_dump, stream_dump_table
 
 SCHEMA = "seq long, k long, op string, value double"
 
@@ -67,3 +68,48 @@ def test_resumed_dump_has_every_row_once(spark, folder, rows, fmt, codec):
         feed(spark, folder, part)
         stream_dump(stream(spark, folder), f"{folder}/out", f"{folder}/checkpoint", fmt, codec).awaitTermination()
     assert same(spark.read.format(fmt).schema(SCHEMA).load(f"{folder}/out"), spark.createDataFrame(rows, SCHEMA))
+
+
+def test_a_fresh_checkpoint_after_folding_is_refused(spark, folder, rows):
+    feed(spark, folder, rows[:200])
+    follow(spark, folder)
+    compact(spark, f"{folder}/out", "k", "seq")
+    feed(spark, folder, rows[200:])
+    with pytest.raises(ValueError, match="checkpoint"):
+        stream_apply(stream(spark, folder), "k", "seq", f"{folder}/out", f"{folder}/other")
+    follow(spark, folder)
+    base = spark.createDataFrame([(1, -1.0)], "k long, value double")
+    assert same(streamed_state(spark, f"{folder}/out", base, "k", "seq"), apply_changes(base, spark.createDataFrame(rows, SCHEMA), "k", "seq"))
+
+
+def dump_stream(spark, folder, checkpoint, position=None, fmt="parquet"):
+    stream_dump_table(stream(spark, folder), f"{folder}/out", "shop.log", f"{folder}/{checkpoint}", fmt, position=position).awaitTermination()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_streamed_dump_is_restored_at_any_time(spark, folder, rows, fmt):
+    for upto in (100, 250, 400):
+        feed(spark, folder, rows[upto - 100 if upto == 100 else 100 if upto == 250 else 250 : upto])
+        dump_stream(spark, folder, "checkpoint", fmt=fmt)
+        for _ in range(2):
+            assert same(restore(spark, f"{folder}/out", "log", "shop"), spark.createDataFrame(rows[:upto], SCHEMA))
+            fold_dump(spark, f"{folder}/out", "shop.log")
+    assert [name for name in os.listdir(f"{folder}/out/backup_data/shop/log") if "=" in name and not name.startswith("upto")] == []
+    assert restore_tables(spark, f"{folder}/out", ["shop.*"])["shop.log"].count() == 400
+
+
+def test_a_lost_checkpoint_goes_on_from_its_position(spark, folder, rows):
+    feed(spark, folder, rows[:150])
+    dump_stream(spark, folder, "one")
+    feed(spark, folder, rows[150:])
+    with pytest.raises(ValueError, match="checkpoint"):
+        dump_stream(spark, folder, "two")
+    source = spark.read.schema(SCHEMA).parquet(f"{folder}/in")
+    position = Position(source, "seq", "value")
+    dump_stream(spark, folder, "two", position)
+    feed(spark, folder, [(1000, 1, "U", 2.0)])
+    dump_stream(spark, folder, "two", position)
+    assert same(restore(spark, f"{folder}/out", "log", "shop"), spark.createDataFrame([*rows, (1000, 1, "U", 2.0)], SCHEMA))
+    moved = Position(source.where("seq <> 7"), "seq", "value")
+    with pytest.raises(ValueError, match="moved"):
+        dump_stream(spark, folder, "three", moved)

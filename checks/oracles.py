@@ -222,7 +222,11 @@ _BODIES = {
         SELECT role, conv_id, turn, bytes, CAST(floor((sum(bytes) OVER (ORDER BY role, conv_id, turn ROWS UNBOUNDED PRECEDING) - bytes) / 16384)
           AS BIGINT) AS chunk_id
         FROM (SELECT role, conv_id, turn, CAST(strlen(text) AS INTEGER) AS bytes FROM conversations)""",
-    "split_files_by_bytes": "SELECT count(*) AS n_rows, true AS within_limit FROM orders",
+    "split_files_by_bytes": """
+        SELECT 'orders' AS "table", count(*) AS n_rows, true AS within_limit FROM orders
+        UNION ALL SELECT 'documents', count(*), true FROM documents""",
+    "snapshot_pinned": """
+        SELECT 'events' AS "table", event_id AS key FROM events UNION ALL SELECT 'orders', o_orderkey FROM orders""",
     "chunk_plan": """
         SELECT doc_id, bytes, CAST(floor((sum(bytes) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - bytes) / 65536)
           AS BIGINT) AS chunk_id
@@ -253,6 +257,8 @@ _BODIES = {
         SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "dump_history": """
         SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events""",
+    "history_kept": """
+        SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events""",
     "snapshot_cut_counts": """
         WITH cuts(upto) AS (VALUES (TIMESTAMP '2000-01-01'), (TIMESTAMP '2024-01-15'))
         SELECT strftime(upto, '%Y') AS cut, 'events' AS table, count(*) FILTER (ts <= upto) AS n_rows FROM events, cuts GROUP BY upto
@@ -310,6 +316,18 @@ _BODIES = {
         SELECT 'v_' || l_orderkey AS view, CASE WHEN bool_or(p.p_partkey IS NULL) THEN 'quarantined' ELSE 'valid' END AS status
         FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size % 8 <> 3) p ON l_partkey = p_partkey
         GROUP BY l_orderkey""",
+    "invalid_views_deep": """
+        WITH RECURSIVE orders_of AS (SELECT DISTINCT l_orderkey AS o FROM lineitem),
+        named AS (
+          SELECT 'v_' || l_orderkey AS view, 'p_' || l_partkey AS object FROM lineitem WHERE l_linenumber % 3 = 1
+          UNION SELECT 'v_' || o, 'v_' || (o - 1) FROM orders_of WHERE o % 12 <> 0
+          UNION SELECT 'v_' || o, 'v_' || (o + 5) FROM orders_of WHERE o % 36 = 0),
+        there AS (SELECT 'p_' || p_partkey AS object FROM part WHERE p_size % 8 <> 3 UNION SELECT 'v_' || o FROM orders_of),
+        broken(view, depth, missing) AS (
+          SELECT view, 1, object FROM named WHERE object NOT IN (SELECT object FROM there)
+          UNION SELECT n.view, b.depth + 1, b.missing FROM named n JOIN broken b ON n.object = b.view WHERE b.depth < 40)
+        SELECT view, min(depth)::INTEGER AS depth, min(missing) AS missing FROM broken
+        JOIN (SELECT view, min(depth) AS depth FROM broken GROUP BY view) USING (view, depth) GROUP BY view""",
     "arg_per_database": """
         SELECT name, CASE name WHEN 'Brand#1' THEN '--hex-blob' WHEN 'Brand#22' THEN '--where=1' END AS extra_arg FROM dbs""",
     "merge_settings": """
@@ -344,6 +362,7 @@ _BODIES = {
           OR o.n_rows IS DISTINCT FROM n.n_rows""",
     "apply_changes": "SELECT * FROM applied",
     "apply_changes_incremental": "SELECT * FROM applied",
+    "apply_log_kept": "SELECT * FROM applied",
     "table_size": "SELECT database, name, data_size + index_size AS size FROM tbls",
     "database_sizes": "SELECT database, CAST(size AS BIGINT) AS size FROM sizes",
     "estimate_total": "SELECT CAST(sum(size) AS BIGINT) AS estimated_bytes FROM sizes",
@@ -487,6 +506,8 @@ _BODIES = {
     "stream_apply": "SELECT * FROM applied",
     "stream_apply_compacted": "SELECT * FROM applied",
     "stream_resume": "SELECT * FROM events",
+    "restore_streamed": "SELECT * FROM events",
+    "resume_from_position": "SELECT * FROM events",
     "pack_totals": """
         SELECT archive, count(*) AS members, CAST(sum(length) AS BIGINT) AS bytes,
           CAST(sum(length) AS BIGINT) AS content_bytes FROM files GROUP BY archive""",

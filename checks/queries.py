@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from checks import adapters as a
 from tablekeep.functions import globs, sizes, text, times, values
-from tablekeep.operators import changes, dump, filters, history, packing, retention, settings, sizing
+from tablekeep.operators import changes, dump, filters, history, kept, packing, retention, settings, sizing
 from tablekeep.plans.chunks import chunk_plan
 from tablekeep.session import scratch_dir
-from tablekeep.sources import catalog, documents, dumps, files, runs
+from tablekeep.sources import catalog, documents, dumps, files, runs, snapshots
 from tablekeep.streaming.changes import compact, stream_apply, streamed_state
-from tablekeep.streaming.dump import stream_dump
+from tablekeep.streaming.dump import Position, fold_dump, stream_dump, stream_dump_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -234,13 +234,20 @@ def chunk_plan_text_key(spark, sf):
 def split_files_by_bytes(spark, sf):
     root = scratch_dir(spark, "dump")
     limit = 256 * 1024
-    dump.dump({"orders": a.table(spark, sf, "orders")}, root, fmt="json", codec="none", split_bytes=limit, order_by_size=True)
-    per_file = (
-        dumps.restore(spark, root, "orders")
-        .groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("size") <= limit * 1.1).alias("within_limit"))
+    tables = {t: a.table(spark, sf, t) for t in ("orders", "documents")}
+    dump.dump(tables, root, fmt="json", codec="none", split_bytes=limit, order_by_size=True)
+    results = []
+    for name, df in tables.items():
+        size = F.octet_length(F.to_json(F.struct("*")))
+        per_file = (
+            dumps.restore(spark, root, name)
+            .select(size.alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+            .groupBy("file", "size")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("largest"))
+        )
+        within = F.max(F.col("size") - F.col("largest")) <= limit
+        results.append(per_file.agg(F.lit(name).alias("table"), F.sum("n").alias("n_rows"), within.alias("within_limit")))
+    return results[0].unionByName(results[1])
 
 
 @query
@@ -315,6 +322,21 @@ def snapshot_cut_counts(spark, sf):
     return result
 
 
+@query
+def snapshot_pinned(spark, sf):
+    """Tables that grow after their files were pinned."""
+    root, names = scratch_dir(spark, "snapshot"), ("events", "orders")
+    tables = {t: a.table(spark, sf, t) for t in names}
+    for t, df in tables.items():
+        df.repartition(3).write.parquet(f"{root}/{t}")
+    snapshots.pin(spark, {t: f"{root}/{t}" for t in names}, f"{root}/pins")
+    for t, df in tables.items():
+        df.write.mode("append").parquet(f"{root}/{t}")
+    events, orders = (snapshots.read_pinned(spark, f"{root}/pins", t, tables[t].schema) for t in names)
+    keys = events.select(F.lit("events").alias("table"), F.col("event_id").alias("key"))
+    return keys.unionByName(orders.select(F.lit("orders").alias("table"), F.col("o_orderkey").alias("key")))
+
+
 @query
 def tz_utc(spark, sf):
     return dump.to_utc(a.table(spark, sf, "events"), "+02:00").select("event_id", "ts")
@@ -458,6 +480,11 @@ def invalid_views(spark, sf):
     )
 
 
+@query
+def invalid_views_deep(spark, sf):
+    return changes.broken_views(*a.nested_views(spark, sf))
+
+
 @query
 def arg_per_database(spark, sf):
     return dump.with_args(a.databases(spark, sf), '{"Brand#1": "--hex-blob", "Brand#22": "--where=1", "gone": "x"}')
@@ -496,6 +523,30 @@ def apply_changes_incremental(spark, sf):
     )
 
 
+@query
+def apply_log_kept(spark, sf):
+    """The log in three parts, applied in place; the second part is late."""
+    root = scratch_dir(spark, "kept")
+    kept.keep(a.base_state(spark, sf), root, "key", buckets=8)
+    log = a.change_log(spark, sf)
+    for part in (F.col("seq") % 3 == 0, F.col("seq") % 3 == 2, F.col("seq") % 3 == 1):
+        latest = log.where(part)
+        newer = log.join(latest.select("key").distinct(), "key", "left_semi")
+        kept.apply_log(spark, root, newer, "seq", ("value",))
+    return kept.kept(spark, root)
+
+
+@query
+def history_kept(spark, sf):
+    """Versions delivered in three parts, the oldest last, and some twice."""
+    root = scratch_dir(spark, "kept")
+    events, day = a.table(spark, sf, "events"), F.dayofmonth("ts")
+    kept.keep_history(events.where(day > 20), root, "user_id", "ts", "event_id", buckets=8)
+    kept.add_versions(spark, root, events.where(day.between(8, 22)), "ts", "event_id")
+    kept.add_versions(spark, root, events.where(day < 8), "ts", "event_id")
+    return kept.kept(spark, root)
+
+
 # Aggregations
 
 
@@ -852,6 +903,34 @@ def stream_resume(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+@query
+def restore_streamed(spark, sf):
+    """Restored between two batches, after folding and at the end."""
+    root = scratch_dir(spark, "stream")
+    early = F.col("ts") <= F.lit(POSITION_CUT).cast("timestamp_ntz")
+    for part in (early, ~early):
+        _event_files(spark, sf, f"{root}/in", part)
+        stream_dump_table(_event_stream(spark, sf, f"{root}/in"), f"{root}/out", "shop.events", f"{root}/checkpoint").awaitTermination()
+        fold_dump(spark, f"{root}/out", "shop.events")
+    return dumps.restore(spark, f"{root}/out", "events", "shop")
+
+
+@query
+def resume_from_position(spark, sf):
+    """The checkpoint is lost between two halves; the dump goes on from what it holds."""
+    root = scratch_dir(spark, "stream")
+    half = a.table(spark, sf, "events").agg(F.expr("max(event_id) div 2").alias("half")).first()["half"]
+    early = F.col("event_id") <= half
+    for number, part in enumerate((early, ~early)):
+        _event_files(spark, sf, f"{root}/in", part)
+        source = spark.read.schema(a.table(spark, sf, "events").schema).parquet(f"{root}/in")
+        stream = _event_stream(spark, sf, f"{root}/in")
+        stream_dump_table(
+            stream, f"{root}/out", "shop.events", f"{root}/checkpoint{number}", position=Position(source, "event_id", "ts")
+        ).awaitTermination()
+    return dumps.restore(spark, f"{root}/out", "events", "shop")
+
+
 # Packs
 
 

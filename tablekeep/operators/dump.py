@@ -16,6 +16,8 @@ from tablekeep.functions.text import path_name, path_name_column, safe_name
 from tablekeep.operators.sizing import table_size
 from tablekeep.plans.chunks import chunk_plan
 from tablekeep.plans.formats import FORMAT_OPTIONS, codec_for, writer_for
+from tablekeep.plans.settled import settle
+from tablekeep.plans.sliced import unused
 
 DATA_DIR = "backup_data"
 MANIFEST_DIR = "manifest"
@@ -23,6 +25,8 @@ ALL_DATABASES = "all_databases"
 DUMP_THREADS = 4
 # No encoded name looks like this: letters in parentheses are hexadecimal digits.
 EMPTY_NAME = "(empty)"
+# What a manifest says of a table that a stream writes batch by batch.
+STREAMED = "stream"
 COMBINED_SCHEMA = "database string, name string, row string"
 
 MANIFEST_SCHEMA = (
@@ -121,12 +125,30 @@ def text_bytes(df: DataFrame) -> int:
 
 
 def records_per_file(df: DataFrame, split_bytes: int) -> int:
-    """Rows that make about ``split_bytes`` of text. Reads the table once to get the mean."""
+    """Rows that make about ``split_bytes`` of text when rows are alike. Reads the table once to get the mean."""
     size = F.octet_length(F.to_json(F.struct("*")))
     mean = df.agg(F.avg(size)).first()[0]
     return max(1, int(split_bytes / mean)) if mean else 1
 
 
+def cut_by_bytes(df: DataFrame, split_bytes: int, order_by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with one partition, and so one file, for every ``split_bytes`` of its rows as text.
+
+    A row counts as its JSON text and a line break. A partition has less than ``split_bytes`` plus
+    one row, however unlike the rows are. Rows are taken in the order of ``order_by``, which must
+    be unique, or in the order they are read.
+    """
+    at, size, file = unused(df, "_at"), unused(df, "_bytes"), unused(df, "chunk_id")
+    if file != "chunk_id":
+        raise ValueError("a table cut by bytes has no column of its own called chunk_id")
+    place = F.struct(*order_by) if order_by else F.monotonically_increasing_id()
+    sized = df.withColumns({at: place, size: F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), FORMAT_OPTIONS["json"])) + 1})
+    numbered = settle(chunk_plan(sized, at, size, split_bytes), "cut-rows")
+    files = (numbered.agg(F.max(file)).first()[0] or 0) + 1
+    dealt = numbered.repartitionById(int(files), F.col(file).cast("int"))
+    return (dealt.sortWithinPartitions(at) if order_by else dealt).drop(at, size, file)
+
+
 def table_name(name: str | TableName) -> TableName:
     """``'db.table'`` as a pair; a name without a dot has an empty database."""
     if isinstance(name, tuple):
@@ -166,8 +188,9 @@ def dump(
     tasks. The manifest comes last: a dump without one failed. ``what`` is ddl, data or both;
     the schemas are in the manifest. ``local_zone`` turns local times into UTC. ``order_by``
     names the columns a table is sorted by, across its files too; make them a unique key, as rows
-    with equal keys stay in one task. ``split_bytes`` cuts files at about so many bytes of text,
-    measured per table. ``dry_run`` writes nothing.
+    with equal keys stay in one task. ``split_bytes`` cuts files after so many bytes of text, as
+    ``cut_by_bytes`` counts them, by running totals: none has more than that plus one row.
+    ``dry_run`` writes nothing.
     """
     if what not in ("ddl", "data", "both"):
         raise ValueError("what must be ddl, data or both")
@@ -193,16 +216,14 @@ def dump(
     if dry_run:
         return plan
 
-    def most_rows(df: DataFrame) -> int:
-        limits = [n for n in (max_records_per_file, records_per_file(df, split_bytes) if split_bytes else 0) if n]
-        return min(limits, default=0)
-
     def write(table: TableName) -> None:
         df = named[table]
-        if table in sort_keys:
+        if split_bytes:
+            df = cut_by_bytes(df, split_bytes, sort_keys.get(table, ()))
+        elif table in sort_keys:
             df = df.repartitionByRange(*sort_keys[table]).sortWithinPartitions(*sort_keys[table])
         writer = writer_for(df, fmt, codec, level)
-        writer.option("maxRecordsPerFile", most_rows(named[table])).save(f"{root}/{relative(table)}")
+        writer.option("maxRecordsPerFile", max_records_per_file).save(f"{root}/{relative(table)}")
 
     if what != "ddl" and per_database:
         with ThreadPoolExecutor(max_workers=threads) as pool:
@@ -211,8 +232,10 @@ def dump(
     elif what != "ddl":
         # one folder per table keeps a selective restore from reading the rest
         together = combine_tables({tuple(map(partition_name, table)): df for table, df in named.items()})
+        if split_bytes:
+            together = cut_by_bytes(together, split_bytes)
         writer = writer_for(together, fmt, codec, level).partitionBy("database", "name")
-        writer.option("maxRecordsPerFile", most_rows(together)).save(f"{root}/{DATA_DIR}/{ALL_DATABASES}")
+        writer.option("maxRecordsPerFile", max_records_per_file).save(f"{root}/{DATA_DIR}/{ALL_DATABASES}")
     plan.coalesce(1).write.json(f"{root}/{MANIFEST_DIR}")
     return plan
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.operators.retention import RUN_ORDER
-from tablekeep.plans.sliced import last_before, slice_rows
+from tablekeep.plans.sliced import last_before, slice_rows, unused
 
 LOW_SPACE_SHARE = 0.10
 
@@ -61,9 +61,10 @@ def historic_estimate(
     if historic_size is False:
         return runs.withColumn("required_bytes", plain).withColumn("basis", F.lit("estimate"))
     success = F.when(~F.col("failed"), F.struct("estimated_size", "on_disk_size", "estimated_size_factor"))
-    sliced = slice_rows(runs, ["backupset", *order], slice_bytes=slice_bytes)
-    with_prior = last_before(sliced, ["backupset"], order, "_slice", success, "_prior")
-    prior = F.col("_prior")
+    part, guide = unused(runs, "_slice"), unused(runs, "_prior")
+    sliced = slice_rows(runs, ["backupset", *order], slice_bytes=slice_bytes, out=part)
+    with_prior = last_before(sliced, ["backupset"], order, part, success, guide)
+    prior = F.col(guide)
     enabled = historic_size if isinstance(historic_size, Column) else F.lit(True)
     usable = F.coalesce(
         enabled
@@ -78,7 +79,7 @@ def historic_estimate(
             F.when(usable, prior.on_disk_size.cast("double") * historic_factor).otherwise(plain),
         )
         .withColumn("basis", F.when(usable, "history").otherwise("estimate"))
-        .drop("_prior", "_slice")
+        .drop(guide, part)
     )
 
 

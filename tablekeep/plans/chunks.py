@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.plans.sliced import running_sum, slice_rows
+from tablekeep.plans.sliced import running_sum, slice_rows, unused
 
 CHUNK_BYTES = 64 * 1024**2
 
@@ -23,7 +23,7 @@ def chunk_plan(
     """
     keys = [key] if isinstance(key, str) else list(key)
     size = F.coalesce(F.col(size_col), F.lit(0))
-    sliced = slice_rows(df, keys, size, slice_bytes)
-    summed = running_sum(sliced, [], keys, "_slice", size, "_end")
-    start = F.col("_end") - size
-    return summed.withColumn("chunk_id", F.call_function("div", start, F.lit(chunk_bytes))).drop("_end", "_slice")
+    part, end = unused(df, "_slice"), unused(df, "_end")
+    summed = running_sum(slice_rows(df, keys, size, slice_bytes, part), [], keys, part, size, end)
+    start = F.col(end) - size
+    return summed.withColumn("chunk_id", F.call_function("div", start, F.lit(chunk_bytes))).drop(end, part)

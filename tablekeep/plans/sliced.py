@@ -37,14 +37,25 @@ def slice_rows(
     return settle(ranged, "slices-of-rows")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, whatever the case of letters."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _slice_totals(df: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(total.alias("_total"))
+    return df.groupBy(*keys).agg(total.alias(unused(df, "_total")))
 
 
 def _join_carried(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    other = settle(carried, "slices").select(*(F.col(k).alias(f"_other_{k}") for k in keys), "_carried")
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys))
-    return df.join(other, same, "left").drop(*(f"_other_{k}" for k in keys))
+    """``df`` with the column ``carried`` has besides ``keys``."""
+    value = next(c for c in carried.columns if c not in keys)
+    others = {k: unused(df, f"_other_{k}") for k in keys}
+    other = settle(carried, "slices").select(*(F.col(k).alias(name) for k, name in others.items()), value)
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(name)) for k, name in others.items()))
+    return df.join(other, same, "left").drop(*others.values())
 
 
 def _ordering(columns: Sequence[str], descending: bool) -> list[Column]:
@@ -62,6 +73,7 @@ def running_sum(
 ) -> DataFrame:
     """Add the running sum of ``value``, the row itself included."""
     groups, keys = list(groups), [*groups, slice_col]
+    total, before = unused(df, "_total"), unused(df, "_carried")
     earlier = (
         Window.partitionBy(*groups)
         .orderBy(*_ordering([slice_col], descending))
@@ -73,13 +85,13 @@ def running_sum(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     carried = _slice_totals(df, keys, F.sum(value)).select(
-        *keys, F.sum("_total").over(earlier).alias("_carried")
+        *keys, F.sum(total).over(earlier).alias(before)
     )
     own = F.coalesce(F.sum(value).over(inside), F.lit(0))
     return (
         _join_carried(df, carried, keys)
-        .withColumn(out, F.coalesce("_carried", F.lit(0)) + own)
-        .drop("_carried")
+        .withColumn(out, F.coalesce(before, F.lit(0)) + own)
+        .drop(before)
     )
 
 
@@ -88,16 +100,17 @@ def last_before(
 ) -> DataFrame:
     """Add the last value that is not NULL among the earlier rows."""
     groups, keys = list(groups), [*groups, slice_col]
+    total, before = unused(df, "_total"), unused(df, "_carried")
     earlier = Window.partitionBy(*groups).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
     carried = _slice_totals(df, keys, newest).select(
-        *keys, F.last("_total", ignorenulls=True).over(earlier).alias("_carried")
+        *keys, F.last(total, ignorenulls=True).over(earlier).alias(before)
     )
     return (
         _join_carried(df, carried, keys)
-        .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")))
-        .drop("_carried")
+        .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col(before)))
+        .drop(before)
     )
 
 
@@ -106,14 +119,15 @@ def next_after(
 ) -> DataFrame:
     """Add the value of the next row; NULL on the last row of a group."""
     groups, keys = list(groups), [*groups, slice_col]
+    total, before = unused(df, "_total"), unused(df, "_carried")
     by_slice = Window.partitionBy(*groups).orderBy(slice_col)
     carried = _slice_totals(df, keys, F.min_by(value, F.struct(*order))).select(
-        *keys, F.lead("_total").over(by_slice).alias("_carried")
+        *keys, F.lead(total).over(by_slice).alias(before)
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     is_last = F.lead(F.lit(1)).over(inside).isNull()
     return (
         _join_carried(df, carried, keys)
-        .withColumn(out, F.when(is_last, F.col("_carried")).otherwise(F.lead(value).over(inside)))
-        .drop("_carried")
+        .withColumn(out, F.when(is_last, F.col(before)).otherwise(F.lead(value).over(inside)))
+        .drop(before)
     )

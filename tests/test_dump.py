@@ -225,6 +225,16 @@ def test_files_are_split_by_bytes(spark, folder):
     assert [r["name"] for r in with_both.collect()] == ["small", "big"]
 
 
+@pytest.mark.parametrize("per_database", [True, False])
+def test_no_file_exceeds_the_limit_by_more_than_a_row(spark, folder, per_database):
+    rows = spark.range(4000).select("id", F.repeat(F.lit("x"), F.when(F.col("id") < 2000, 1).otherwise(F.col("id") % 900).cast("int")).alias("text"), F.lit(5).alias("_slice"))
+    dump.dump({"a.t": rows, "a.u": spark.range(10)}, f"{folder}/s", fmt="json", codec="none", split_bytes=100_000, per_database=per_database, order_by={"a.t": ["id"]} if per_database else None)
+    back = dumps.restore(spark, f"{folder}/s", "t")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/s/backup_data").agg(F.max("length")).first()[0]
+    assert files < 100_000 + 1100 and back.columns == ["id", "text", "_slice"]
+    assert back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+
+
 def test_numbers_that_sql_cannot_write(spark):
     rows = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 1.5)], "k long, v double")
     texts = [r["statement"] for r in dump.to_insert_sql(rows.coalesce(1), "t", extended=False).collect()]

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ FEMALE_NAMES = frozenset(
     "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen emily alice helga ursula ingrid greta marie camille juliette amélie "
     "chloé maría carmen lucía pilar isabel анна мария елена ольга наталья татьяна екатерина ирина".split()
 )
+# Titles that in capitals are hardly anything else.
+_LOUD_TITLES = frozenset("mr mrs herr frau prof dr".split())
 _TITLES = MALE_TITLES | FEMALE_TITLES | OTHER_TITLES
 _FIRST_NAMES = MALE_NAMES | FEMALE_NAMES
 
@@ -35,14 +38,20 @@ _CARD = re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![\d])")
 _PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]?\d{4}(?![\w]|[.-]\d)|(?<![\w.+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\w)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?!\w)")
-_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)\b)[\"']?\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9+/_.-]{8,200})")
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
+_SECRET = re.compile(r"(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)\b)[\"']?\s*[=:]\s*[\"']?(?P<v>(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,})")
+_ACCESS_KEY = re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA)(?P<v>[A-Z0-9]{16})(?![0-9A-Za-z])")
+_KEY_BLOCK = re.compile(r"-----BEGIN (?P<of>[A-Z ]*PRIVATE KEY)-----(?P<v>[A-Za-z0-9+/=\s]*[A-Za-z0-9][A-Za-z0-9+/=\s]*)-----END (?P=of)-----")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-_UPPER = "[A-ZÀ-ÖØ-ÞЀ-Я]"
-_CAPITALS = re.compile(rf"(?<!\w)(?P<lead>{_UPPER}{_WORD})\.?[ \u00a0](?=(?P<rest>{_UPPER}{_WORD}(?:[ \u00a0]{_UPPER}{_WORD})?))")
+# A name begins with a capital of any script; one letter alone, as in O'Neill, has more behind an apostrophe.
+_NAME = r"\p{Lu}(?:[^\W\d_]+(?:['’-][^\W\d_]+)*|(?:['’-][^\W\d_]+)+)"
+_CAPITALS = regex.compile(rf"(?<!\w)(?P<lead>\p{{Lu}}{_WORD})\.?[ \u00a0](?=(?P<rest>{_NAME}(?:[ \u00a0]{_NAME})?))")
 _RUN = re.compile(r"\w+")
+#: Rounds of drawing surrogates again.
+MOST_ROUNDS = 100
 #: Only texts with one of these are looked through for anything but names.
-_TRACES = re.compile(r"[\d@=:]")
+_TRACES = re.compile(r"[\d@=:]|AKIA|ASIA|-----BEGIN")
 
 
 def _luhn(digits: str) -> bool:
@@ -54,6 +63,15 @@ def _iban_rest(plain: str) -> int:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
 
 
+def _ip6(text: str) -> str | None:
+    """The written-out form of an IPv6 address that names a host, null for anything else."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return None if int(address) < 1 << 16 else address.exploded
+
+
 def _gender(lead: str, first: str | None) -> str:
     if lead in MALE_TITLES or first in MALE_NAMES:
         return "m"
@@ -61,13 +79,19 @@ def _gender(lead: str, first: str | None) -> str:
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if any("\u0400" <= c <= "\u04ff" for c in word) else "latin"
+    if any("\u0400" <= c <= "\u04ff" for c in word):
+        return "cyrillic"
+    return "greek" if any("\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff" for c in word) else "latin"
 
 
 def _title_case(word: str) -> bool:
     return word[0].isupper() and not word.isupper()
 
 
+def _all_capitals(word: str) -> bool:
+    return word.isupper() and len(word) > 1
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
     parts: dict[str, str] = {}
     for found in _CAPITALS.finditer(text):
@@ -76,11 +100,14 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
         titled = low in _TITLES
         if not titled and not (low in _FIRST_NAMES and _title_case(lead)):
             continue
-        words = [w for k, w in enumerate(rest) if all(map(_title_case, rest[: k + 1]))]
+        # Behind a title in capitals, names in capitals are names as well.
+        loud = lead.isupper() and low in _LOUD_TITLES
+        words = [w for k, w in enumerate(rest) if all(_title_case(r) or loud and _all_capitals(r) for r in rest[: k + 1])]
         if not words:
             continue
         given = words[0] if titled and len(words) > 1 else None if titled else lead
         last = words[-1] if titled else words[0]
+        given, last = (part and (part.title() if _all_capitals(part) else part) for part in (given, last))
         if given:
             parts.setdefault(given, f"first:{_gender(low, given.casefold())}:{_script(given)}")
         parts.setdefault(last, f"last:{_script(last)}")
@@ -103,9 +130,11 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """Personal data in a text as ``(begin, end, type, normal form)``, in order and apart.
 
-    E-mail addresses, IPv4 addresses, card numbers with a valid check digit, IBANs likewise, phone
-    and social security numbers, secrets (labelled, or long hexadecimal strings), and names after a
-    title or a common first name. Spellings of one entity share a normal form.
+    E-mail addresses, IPv4 and IPv6 addresses, card numbers with a valid check digit, IBANs likewise,
+    phone and social security numbers, secrets (labelled, long hexadecimal strings, cloud access
+    keys and private key blocks, each taken whole however long) and names after a title or a common
+    first name. Names without either are not found. What has neither letter nor digit is no
+    secret. Spellings of one entity share a normal form.
     """
     found: list[tuple[int, int, str, str]] = []
     if _TRACES.search(text):
@@ -113,7 +142,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             found += [(m.start(), m.end(), "email", m[0].casefold()) for m in _EMAIL.finditer(text)]
         found += [(m.start(), m.end(), "iban", plain) for m in _IBAN.finditer(text) if len(plain := m[0].replace(" ", "")) >= 15 and _iban_rest(plain) == 1]
         found += [(m.start(), m.end(), "secret", m[0].casefold()) for m in _HEX.finditer(text)]
-        found += [(m.start("v"), m.end("v"), "secret", m["v"]) for m in _SECRET.finditer(text)]
+        found += [(m.start("v"), m.end("v"), "secret", m["v"]) for pattern in (_SECRET, _ACCESS_KEY, _KEY_BLOCK) for m in pattern.finditer(text)]
+        found += [(m.start(), m.end(), "ip6", plain) for m in _IP6.finditer(text) if (plain := _ip6(m[0]))]
         found += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text)]
         found += [(m.start(), m.end(), "card", plain) for m in _CARD.finditer(text) if _luhn(plain := re.sub(r"\D", "", m[0]))]
         found += [(m.start(), m.end(), "ssn", re.sub(r"\D", "", m[0])) for m in _SSN.finditer(text)]
@@ -164,10 +194,12 @@ class _Keyed:
 _SYLLABLES = {
     "latin": [c + v for c in "b c d f g h l m n p r s t v".split() for v in "aeiou"],
     "cyrillic": [c + v for c in "б в г д к л м н п р с т".split() for v in "аеиоу"],
+    "greek": [c + v for c in "β γ δ κ λ μ ν π ρ σ τ φ".split() for v in "αεηιο"],
 }
 _ENDINGS = {
     "latin": {"m": ["n", "r", "s", "k"], "f": ["a", "ia", "elle", "ina"], "x": ["i", "en"], "last": ["son", "er", "ley", "man", "ton"]},
     "cyrillic": {"m": ["н", "р", "м"], "f": ["а", "ия", "на"], "x": ["и"], "last": ["ов", "ин", "енко", "ский"]},
+    "greek": {"m": ["νος", "ρης"], "f": ["α", "ία"], "x": ["ι"], "last": ["ίδης", "άκης", "όπουλος"]},
 }
 
 
@@ -180,14 +212,20 @@ def _shaped(text: str, draw: _Keyed) -> str:
 
 
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
-    """The normal form that replaces ``normal``: same type and format, valid check digits, same gender and script."""
+    """The normal form that replaces ``normal``: same type and format, valid check digits, same gender and script.
+
+    What may be of any length grows with the attempts, so that a short format is never used up.
+    """
     draw = _Keyed(key, kind, normal, attempt)
+    more = "".join(draw.one("abcdefghijklmnopqrstuvwxyz") for _ in range(attempt // 3))
     if kind == "email":
         local, domain = normal.split("@", 1)
-        return f"{_shaped(local, draw)}@{_shaped(domain.rpartition('.')[0], draw)}.{domain.rpartition('.')[2]}"
+        return f"{_shaped(local, draw)}{more}@{_shaped(domain.rpartition('.')[0], draw)}.{domain.rpartition('.')[2]}"
     if kind == "ip":
-        private = ipaddress.ip_address(normal).is_private
+        private = ipaddress.ip_address(normal).is_private and attempt < 16
         return f"10.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}" if private else f"{11 + draw.below(89)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}"
+    if kind == "ip6":
+        return ":".join(["2001", "0db8", *("".join(draw.one("0123456789abcdef") for _ in range(4)) for _ in range(6))])
     if kind == "card":
         body = normal[0] + "".join(draw.one("0123456789") for _ in normal[1:-1])
         return next(body + d for d in "0123456789" if _luhn(body + d))
@@ -198,13 +236,13 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         keep = max(0, len(normal) - 10)  # the country code
         return normal[:keep] + draw.one("23456789") + "".join(draw.one("0123456789") for _ in normal[keep + 1 :])
     if kind == "ssn":
-        return "9" + "".join(draw.one("0123456789") for _ in normal[1:])
+        return ("9" if attempt < 16 else draw.one("0123456789")) + "".join(draw.one("0123456789") for _ in normal[1:])
     if kind == "secret":
         hexadecimal = _HEX.fullmatch(normal) is not None
-        return "".join(draw.one("0123456789abcdef") for _ in normal) if hexadecimal else _shaped(normal, draw)
+        return "".join(draw.one("0123456789abcdef") for _ in normal) if hexadecimal else _shaped(normal, draw) + more
     script = kind.rpartition(":")[2]
     ending = "last" if kind.startswith("last") else kind.split(":")[1]
-    stem = "".join(draw.one(_SYLLABLES[script]) for _ in range(2 + min(attempt, 4) // 2))
+    stem = "".join(draw.one(_SYLLABLES[script]) for _ in range(2 + attempt // 2))
     return stem + draw.one(_ENDINGS[script][ending])
 
 
@@ -247,8 +285,10 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
     """Rows ``(kind, normal, attempt, surrogate)`` for the distinct entities of ``found``, all surrogates apart.
 
     A surrogate that two entities share, or that is itself an entity of the corpus, is drawn
-    again for all but the first of them until none is left; the space of names and addresses
-    grows with the attempts. Every round is a grouping over the entities, and settled.
+    again for all but the first of them until none is left; names of one script are told apart
+    whatever their kind. The space of names, addresses and secrets grows with the attempts.
+    Numbers of a fixed format can be used up: after ``MOST_ROUNDS`` rounds that is an error that
+    names an entity. Every round is a grouping over the entities, and settled.
     """
 
     @F.arrow_udf("string")
@@ -258,17 +298,22 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
 
     table = found.select("kind", "normal").distinct().withColumn("attempt", F.lit(0))
     table = settle(table.withColumn("surrogate", draw("kind", "normal", "attempt")), "surrogates")
-    while True:
-        shared = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "normal")).alias("owner")).where("n > 1")
-        late = table.join(shared, ["kind", "surrogate"]).where("normal <> owner.normal").select("kind", "normal")
-        real = table.select("kind", F.col("normal").alias("surrogate")).distinct()
-        real = table.join(real, ["kind", "surrogate"], "left_semi").select("kind", "normal")
+    script = F.substring_index("kind", ":", -1)
+    space = F.when(F.col("kind").startswith("first") | F.col("kind").startswith("last"), F.concat(F.lit("name:"), script)).otherwise(F.col("kind"))
+    for _ in range(MOST_ROUNDS):
+        named = table.withColumn("space", space)
+        shared = named.groupBy("space", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "kind", "normal")).alias("owner")).where("n > 1")
+        late = named.join(shared, ["space", "surrogate"]).where("normal <> owner.normal OR kind <> owner.kind").select("kind", "normal")
+        real = named.select("space", F.col("normal").alias("surrogate")).distinct()
+        real = named.join(real, ["space", "surrogate"], "left_semi").select("kind", "normal")
         again = settle(late.unionAll(real).distinct(), "surrogates-again")
         if again.isEmpty():
             return table
         moved = table.join(again.withColumn("again", F.lit(1)), ["kind", "normal"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
         new = F.when(F.col("again") == 1, draw("kind", "normal", "attempt")).otherwise(F.col("surrogate"))
         table = settle(moved.select("kind", "normal", "attempt", new.alias("surrogate")), "surrogates")
+    kind, normal = again.first()
+    raise ValueError(f"no surrogate is left for the {kind} {normal!r}")
 
 
 def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:

@@ -95,18 +95,24 @@ def archive_frames(records: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def read_archive(content: bytes) -> Iterator[bytes]:
-    """The records of an archive, as they were before compression."""
+    """The records of an archive, as they were before compression; one that is cut off is an error."""
     at, decompressor = 0, None
     while at < len(content):
+        if at + 8 > len(content):
+            raise ValueError("the archive is cut off within a frame")
         magic, length = struct.unpack_from("<II", content, at)
         if magic & 0xFFFFFFF0 == 0x184D2A50:  # a skippable frame
             if magic == DICTIONARY_MAGIC:
                 found = zstandard.ZstdCompressionDict(content[at + 8 : at + 8 + length])
                 decompressor = zstandard.ZstdDecompressor(dict_data=found)
             at += 8 + length
+            if at > len(content):
+                raise ValueError("the archive is cut off within its dictionary")
             continue
         one, parts = decompressor.decompressobj(), []
         while not one.eof:  # in short pieces, as what lies behind the frame is handed back
+            if at >= len(content):
+                raise ValueError("the archive is cut off within a record")
             parts.append(one.decompress(content[at : at + FRAME_BYTES]))
             at += FRAME_BYTES
         at = min(at, len(content)) - len(one.unused_data)

@@ -69,3 +69,12 @@ def test_a_broken_payload_is_noticed():
 
 def test_query_equals_sql(spark):
     assert difference(queries.op4_warc(spark, SF_DIR), duck(SF_DIR), queries.ORACLES["op4_warc"]) is None
+
+
+def test_an_archive_that_is_cut_off_is_an_error():
+    frames = list(warc.archive_frames(iter([f"record {k} ".encode() * 50 for k in range(20)])))
+    whole = b"".join(frames)
+    assert len(list(warc.read_archive(whole))) == 20
+    for lost in (1, 20, len(frames[-1]) - 1):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.read_archive(whole[:-lost]))

@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of at most ``labelled`` labelled documents, the first by a hash of their ids.
 
     Term frequencies come from all of ``docs``. Rows without id, label or text are not learned
-    from, and of repeated labels the mean counts. Without labelled documents every score is 0.5.
+    from, of repeated labels the mean counts, and of several texts of one id the first in order. Without labelled documents every score is 0.5.
     """
     frequencies, n = document_frequencies(docs, text_col)
     means = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg(F.avg("y").alias("y"))
@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 columns = [batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array([c[r] for c, r in zip(counts, rows, strict=True)], pa.list_(pa.float32())), batch.column(2)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "counts", "y"])
 
-    found = texts.join(chosen, "id").select("id", "text", "y").mapInArrow(task, "id long, terms array<int>, counts array<float>, y double")
+    single = texts.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    found = single.select("id", "text", "y").mapInArrow(task, "id long, terms array<int>, counts array<float>, y double")
     sample = found.toPandas().sort_values("id", kind="stable")
     counts = np.zeros((len(sample), BUCKETS), np.float32)
     for row, (terms, values) in enumerate(zip(sample["terms"], sample["counts"], strict=True)):

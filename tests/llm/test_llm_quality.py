@@ -55,3 +55,11 @@ def test_at_most_so_many_labelled_documents(docs_of):
     docs = docs_of([(k, f"{GOOD} {k}") for k in range(30)])
     model = quality.fit(docs, docs_of([(k, 1) for k in range(30)], "doc_id long, quality int"), labelled=10)
     assert len(model.labels) == 10
+
+
+def test_the_model_is_bounded_when_ids_repeat(docs_of, spark):
+    rows = [(7, f"text number {k}") for k in range(300)] + [(k, f"other words {k}") for k in range(20, 30)]
+    labels = spark.createDataFrame([(7, 1), *((k, 0) for k in range(20, 30))], "doc_id long, quality int")
+    model = quality.fit(docs_of(rows).repartition(4), labels, labelled=5)
+    assert len(model.labels) == 5
+    assert len(quality.fit(docs_of(rows), labels).labels) == 11

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.common import group_bounds, settle, whole_groups
+from tablekeep.llm.common import group_bounds, settle, unused, whole_groups
 from tablekeep.llm.graph import components
 
 BITS = 64
@@ -54,15 +54,15 @@ def fingerprint(text: bytes | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(id, fp)``, one for each row of ``docs``."""
+    """Rows ``(id, fp, mark)``, one for each row of ``docs``; ``mark`` is a hash of id and text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(text.as_py(), width) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), batch.column(2)], names=["id", "fp", "mark"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(task, "id long, fp long")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(id_col, text_col).alias("mark"))
+    return texts.mapInArrow(task, "id long, fp long, mark long")
 
 
 def block_masks(max_distance: int, blocks: int) -> list[int]:
@@ -151,23 +151,36 @@ def near_duplicates(
     no part in components: its ``component_id`` is null. Repeated rows stay. Other columns are
     not read. An empty table gives an empty result.
     """
-    prints = settle(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    reps = settle(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    joined = components(links(reps, max_distance, blocks or max_distance + 3))
-    classes = reps.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("class"))
-    return prints.join(classes, "fp", "left").select(
+    return _classes(docs, width, max_distance, blocks, id_col, text_col).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"),
-        F.when(F.col("id").isNotNull(), F.col("class")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.col("smallest")).alias("component_id"),
     )
 
 
+def _classes(docs: DataFrame, width: int, max_distance: int, blocks: int | None, id_col: str, text_col: str) -> DataFrame:
+    """Rows ``(id, fp, mark, class, smallest)``, one for each row of ``docs``; a class is a component of fingerprints."""
+    prints = settle(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    known = settle(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "known-fingerprints")
+    joined = components(links(known.select("fp", F.col("fp").alias("rep")), max_distance, blocks or max_distance + 3))
+    classes = known.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    classes = settle(classes, "classes")
+    least = settle(classes.groupBy("class").agg(F.min("least").alias("smallest")), "smallest-ids")
+    named = settle(classes.join(least, "class").select("fp", "class", "smallest"), "named-classes")
+    return prints.join(named, "fp", "left").select("id", "fp", "mark", "class", "smallest")
+
+
 def deduplicated(docs: DataFrame, width: int = 3, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; all its columns.
 
-    Of repeated rows with one id one stays. Rows without id belong to no component and stay.
+    Rows of one id are told apart by their texts: only linked ones go. Of several with the
+    smallest id that of the smallest fingerprint stays, and one row of those equal in id and text.
+    Rows without id belong to no component and stay.
     """
-    found = near_duplicates(docs, width, max_distance, None, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(settle(keep, "kept"), id_col, "left_semi").dropDuplicates([id_col])
+    found = _classes(docs, width, max_distance, None, id_col, text_col).where("id IS NOT NULL")
+    keep = found.groupBy("class").agg(F.min(F.struct("id", "fp", "mark"))["mark"].alias("kept"))
+    mark = unused(docs, "own_mark")
+    marked = docs.withColumn(mark, F.xxhash64(id_col, text_col))
+    keep = settle(keep.select(F.col("kept").alias(mark)).distinct(), "kept")
+    named = marked.join(keep, mark, "left_semi").where(F.col(id_col).isNotNull()).dropDuplicates([mark]).drop(mark)
     return reduce(DataFrame.unionByName, [named, docs.where(F.col(id_col).isNull())])

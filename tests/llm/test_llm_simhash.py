@@ -102,3 +102,9 @@ def test_same_components_as_brute_force_on_the_tables(spark):
     for g, r in zip(group, rows, strict=True):
         first[g] = min(first.get(g, 1 << 60), r["doc_id"])
     assert [r["component_id"] for r in rows] == [first[g] for g in group]
+
+
+def test_only_linked_rows_of_one_id_go(docs_of):
+    first, other = ROWS[0][1], ROWS[2][1]
+    kept = simhash.deduplicated(docs_of([(1, first), (1, other), (2, first.upper()), (2, None), (1, first)])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, first), (1, other), (2, None)], key=repr)

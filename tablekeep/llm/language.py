@@ -151,8 +151,30 @@ def _by_text(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _labels(model: Model, texts: pa.Array) -> list[str]:
-    pairs = _by_text(model, texts)
-    return [model.languages[mixture(s, w)[0][0]] if len(w) and model.languages else UNDETERMINED for s, w in pairs]
+    """The first language of each text, undetermined if no set of languages explains the text.
+
+    A text is undetermined where its words, those with digits aside if there are others, are
+    likelier under n-grams drawn evenly than under the best set of languages in its shares.
+    """
+    bounds, codes, words = _words(texts)
+    parts = [word_scores(model, words[a : a + WORDS_AT_ONCE]) for a in range(0, len(words), WORDS_AT_ONCE)]
+    scores = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
+    grams = pc.binary_length(words.cast(pa.large_binary())).to_numpy(zero_copy_only=False) + 1
+    spelled = ~pc.match_substring_regex(words, r"\pN").to_numpy(zero_copy_only=False).astype(bool)
+    labels = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        found, times = np.unique(codes[a:b], return_counts=True)
+        if not len(found) or not model.languages:
+            labels.append(UNDETERMINED)
+            continue
+        chosen, share = mixture(scores[found], times.astype(np.float64))
+        judged = spelled[found] if spelled[found].any() else np.ones(len(found), bool)
+        likely = scores[found[judged]][:, chosen]
+        top = likely.max(axis=1)
+        fit = times[judged] @ (np.log(np.exp(likely - top[:, None]) @ share) + top)
+        even = -np.log(model.logs.shape[1]) * (times[judged] @ grams[found[judged]])
+        labels.append(model.languages[chosen[0]] if fit > even else UNDETERMINED)
+    return labels
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,11 +220,16 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined: null texts and texts without a letter.
+    """``docs`` without the rows whose language is undetermined.
 
-    All columns stay as they are. Rows are tested in place, nothing is shuffled.
+    These are null texts, texts without a letter, and texts whose words are likelier under n-grams
+    drawn evenly than under the languages that expectation-maximisation gives them shares of.
+    Where no language can be learned nothing can be rejected, and all rows stay. All columns stay
+    as they are. Rows are tested in place, nothing is shuffled.
     """
     model = train(docs.where(~held_out(id_col, 4, 2)), lang_col, text_col)
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")

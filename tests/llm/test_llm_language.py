@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -65,3 +67,21 @@ def test_the_stage_drops_what_has_no_language(docs_of):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(40), 43]
     assert language.with_language(docs.limit(0)).collect() == []
+
+
+def test_texts_that_no_language_explains_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    draw = random.Random(8)
+    letters = "qxzjkwvßðþøæ"
+    noise = [(10_000_000 + k, " ".join("".join(draw.choices(letters, k=9)) for _ in range(40)), None) for k in range(8)]
+    mixed = [(20_000_000, "the attion and of wherethe, token = " + "0a1b2c3d" * 5, None)]
+    added = docs.unionByName(spark.createDataFrame([*noise, *mixed], docs.schema))
+    kept = {r["doc_id"] for r in language.with_language(added).select("doc_id").collect()}
+    assert not kept & {row[0] for row in noise} and 20_000_000 in kept
+    with_letters = {r["doc_id"] for r in docs.where("text RLIKE '\\\\p{L}'").select("doc_id").collect()}
+    assert with_letters == kept - {20_000_000}
+
+
+def test_nothing_is_rejected_where_nothing_was_learned(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert language.with_language(docs).count() == 2

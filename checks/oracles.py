@@ -225,6 +225,10 @@ _BODIES = {
     "split_files_by_bytes": """
         SELECT 'orders' AS "table", count(*) AS n_rows, true AS within_limit FROM orders
         UNION ALL SELECT 'documents', count(*), true FROM documents""",
+    "restore_insert_sql": """
+        SELECT 'conversations' AS "table", conv_id AS key, turn::VARCHAR AS detail, text FROM conversations
+        UNION ALL SELECT 'documents', doc_id, lang, text FROM documents
+        UNION ALL SELECT 'orders', o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority FROM orders""",
     "snapshot_pinned": """
         SELECT 'events' AS "table", event_id AS key FROM events UNION ALL SELECT 'orders', o_orderkey FROM orders""",
     "chunk_plan": """

@@ -15,6 +15,7 @@ from tablekeep.operators import changes, dump, filters, history, kept, packing,
 from tablekeep.plans.chunks import chunk_plan
 from tablekeep.session import scratch_dir
 from tablekeep.sources import catalog, documents, dumps, files, runs, snapshots
+from tablekeep.sources.inserts import from_insert_sql
 from tablekeep.streaming.changes import compact, stream_apply, streamed_state
 from tablekeep.streaming.dump import Position, fold_dump, stream_dump, stream_dump_table
 
@@ -262,6 +263,24 @@ def split_files(spark, sf):
     return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 1000).alias("within_limit"))
 
 
+@query
+def restore_insert_sql(spark, sf):
+    """Tables written as statements, of one row and of many, and read back."""
+    root, keys = scratch_dir(spark, "inserts"), {"conversations": ["conv_id", "turn"], "documents": ["doc_id"], "orders": ["o_orderkey"]}
+    back = {}
+    for name, key in keys.items():
+        df = a.table(spark, sf, name)
+        statements = dump.to_insert_sql(df, name, extended=name != "conversations", key=key, chunk_bytes=64 * 1024)
+        statements.select("statement").write.parquet(f"{root}/{name}")
+        back[name] = from_insert_sql(spark.read.parquet(f"{root}/{name}"), df.schema)
+    talks = back["conversations"].select(F.lit("conversations").alias("table"), F.col("conv_id").alias("key"), F.col("turn").cast("string").alias("detail"), "text")
+    docs = back["documents"].select(F.lit("documents").alias("table"), F.col("doc_id").alias("key"), F.col("lang").alias("detail"), "text")
+    orders = back["orders"].select(
+        F.lit("orders").alias("table"), F.col("o_orderkey").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("detail"), F.col("o_orderpriority").alias("text")
+    )
+    return talks.unionByName(docs).unionByName(orders)
+
+
 @query
 def manifest(spark, sf):
     dbs, _ = a.filtered(spark, sf)

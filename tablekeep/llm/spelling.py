@@ -73,9 +73,9 @@ def code_points(words: list[str]) -> np.ndarray:
 
 
 def letter_counts(codes: np.ndarray) -> np.ndarray:
-    """How often each letter occurs in each row; counts beyond 255 stay there, which only brings words closer."""
+    """How often each letter occurs in each row."""
     folded = np.where((codes >= 97) & (codes <= 122), codes - 97, 26 + codes % 32).astype(np.uint8)
-    return np.stack([np.minimum((folded == letter).sum(axis=1), 255) for letter in range(LETTERS)], axis=1).astype(np.int16)
+    return np.stack([(folded == letter).sum(axis=1, dtype=np.int32) for letter in range(LETTERS)], axis=1)
 
 
 def odd_letters(counts: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ class CountTree:
 
     def reached(self, asked: np.ndarray, less: int, more: int) -> Iterator[tuple[int, np.ndarray]]:
         """Leaves, and the rows of ``asked`` that reach their box by taking ``less`` letters off and adding ``more``."""
-        nothing = np.zeros(len(asked), np.int16)
+        nothing = np.zeros(len(asked), np.int32)
         waiting = [(self.root, np.arange(len(asked)), nothing, nothing, {}, {})]
         while waiting:
             node, rows, off, added, low, high = waiting.pop()
@@ -115,7 +115,7 @@ class CountTree:
                 continue
             letter, border, left, right = node
             x = asked[rows, letter]
-            down = off + np.maximum(x - border, 0) - np.maximum(x - high.get(letter, 1 << 14), 0)
+            down = off + np.maximum(x - border, 0) - np.maximum(x - high.get(letter, 1 << 30), 0)
             up = added + np.maximum(border + 1 - x, 0) - np.maximum(low.get(letter, 0) - x, 0)
             to_left, to_right = down <= less, up <= more
             waiting.append((left, rows[to_left], down[to_left], added[to_left], low, high | {letter: border}))
@@ -144,6 +144,7 @@ class NearWords:
         codes = code_points(words)
         counts = letter_counts(codes)
         odd = odd_letters(counts)
+        yield np.zeros(0, np.int64), np.zeros(0, np.int64)
         for leaf, rows in self.tree.reached(counts, *REACH[kind]):
             here = self.tree.leaves[leaf]
             differ = np.bitwise_count(odd[rows, None] ^ self.odd[here])
@@ -178,13 +179,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     def routed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for size, group in frame.groupby(frame["word"].str.len()):
-                counts = letter_counts(code_points(list(group["word"])))
+            places, asked = [], []
+            for size, at in frame.groupby(frame["word"].str.len()).indices.items():
+                counts = letter_counts(code_points(frame["word"].iloc[at].tolist()))
                 for kind, to_size, reach in ((0, size, (0, 0)), (SAME_LENGTH, size, REACH[SAME_LENGTH]), (ONE_SHORTER, size - 1, REACH[ONE_SHORTER])):
                     tree = trees.value.get(to_size)
-                    reached = tree.reached(counts, *reach) if tree else [(0, np.arange(len(group)))]
-                    for leaf, rows in reached:
-                        yield group.iloc[rows].assign(size=to_size, leaf=leaf, kind=kind)[["size", "leaf", "kind", "word", "n"]]
+                    for leaf, rows in tree.reached(counts, *reach) if tree else [(0, np.arange(len(at)))]:
+                        places.append(at[rows])
+                        asked.append(np.broadcast_to(np.array([to_size, leaf, kind], np.int32), (len(rows), 3)))
+            if places:
+                sent = frame.iloc[np.concatenate(places)]
+                yield pd.DataFrame(np.concatenate(asked), columns=["size", "leaf", "kind"]).assign(word=sent["word"].to_numpy(), n=sent["n"].to_numpy())
 
     rows = settle(words.select("word", "n").mapInPandas(routed, "size int, leaf int, kind int, word string, n long"), "routed-words")
     sizes = rows.where("kind = 0").groupBy("size", "leaf").agg(F.count("*").alias("held"))
@@ -204,14 +209,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
                     key, held, index = tuple(run[keys].iloc[0]), [], None
                 if (run["kind"] == 0).any():
                     held.append(run[run["kind"] == 0])
-                for kind, asked in run[run["kind"] > 0].groupby("kind"):
+                for kind, asked in run[run["kind"] > 0].groupby("kind") if held else ():
                     if index is None:
                         here = pd.concat(held, ignore_index=True)
-                        index = NearWords(list(here["word"]))
-                    for at, to in index.of(int(kind), list(asked["word"])):
-                        if len(at):
-                            left, right = asked.iloc[at], here.iloc[to]
-                            yield pd.DataFrame({"word": left["word"].to_numpy(), "n": left["n"].to_numpy(), "other": right["word"].to_numpy(), "other_n": right["n"].to_numpy()})
+                        index = NearWords(here["word"].tolist())
+                    found = list(index.of(int(kind), asked["word"].tolist()))
+                    left, right = asked.iloc[np.concatenate([at for at, _ in found])], here.iloc[np.concatenate([to for _, to in found])]
+                    yield pd.DataFrame({"word": left["word"].to_numpy(), "n": left["n"].to_numpy(), "other": right["word"].to_numpy(), "other_n": right["n"].to_numpy()})
 
     found = dealt.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInPandas(task, "word string, n long, other string, other_n long")
     once = settle(found.where("char_length(word) > char_length(other) OR word < other"), "near-words")

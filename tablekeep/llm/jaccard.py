@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.common import group_bounds, mix64, segment_sums, settle, text_slices, whole_groups
+from tablekeep.llm.common import group_bounds, mix64, settle, text_slices, whole_groups
 from tablekeep.llm.graph import components
 from tablekeep.session import shuffle_partitions
 
@@ -83,23 +83,22 @@ class FrequentValues:
 
 
 def _named_sets(texts: DataFrame, width: int) -> DataFrame:
-    """Rows ``(id, digest, n, name)`` per document, and ``(name, n)`` without digest per frequent shingle of a task."""
+    """Rows ``(id, n, name)`` per document, and ``(n, name)`` for each shingle that a task found ``frequent``."""
 
-    def rows(*columns: pa.Array | list | np.ndarray) -> pa.RecordBatch:
-        arrays = [column if isinstance(column, pa.Array) else pa.array(column, pa.int64()) for column in columns]
-        return pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "n", "name"])
+    def rows(frequent: bool, ids: pa.Array | list, ns: list | np.ndarray, names: list | np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([frequent] * len(ns), pa.bool_()), ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ns, pa.int64()), pa.array(names, pa.int64())], names=["frequent", "id", "n", "name"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = FrequentValues(HEAVY)
         for batch in batches:
-            for part in text_slices(batch, 2):
-                sets = shingle_sets(part.column(2), width)
+            for part in text_slices(batch, 1):
+                sets = shingle_sets(part.column(1), width)
                 frequent.add(np.concatenate(sets))
-                yield rows(part.column(0), part.column(1), [len(s) for s in sets], [set_name(s) if len(s) else None for s in sets])
-        nothing = [None] * len(frequent.values)
-        yield rows(nothing, nothing, frequent.counts, frequent.values.view(np.int64))
+                yield rows(False, part.column(0), [len(s) for s in sets], [set_name(s) if len(s) else None for s in sets])
+        yield rows(True, [None] * len(frequent.values), frequent.counts, frequent.values.view(np.int64))
 
-    return texts.mapInArrow(task, "id long, digest long, n long, name long")
+    return texts.mapInArrow(task, "frequent boolean, id long, n long, name long")
 
 
 def _dealt_shingles(texts: DataFrame, width: int, frequent: np.ndarray, parts: int) -> DataFrame:
@@ -361,7 +360,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     rows stay. Other columns are not read. An empty table gives an empty result.
 
     Documents of equal sets are one class, named by a hash of 64 bits, as shingles are. A class's
-    shingles are counted over all classes and put in order, rare first. Linked sets share a
+    shingles are counted over all documents and put in order, rare first. Linked sets share a
     shingle of their prefixes, so a class whose prefix nobody shares is done. The others meet
     first in ``ROUNDS`` groups drawn by a prefix shingle, which joins what is much alike, and then
     in all groups of a prefix shingle, where only pairs of different components are left; these
@@ -371,21 +370,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
         raise ValueError("the percentage must be above 0 and at most 100")
     if not 0 < width <= len(FACTORS):
         raise ValueError(f"shingles have 1 to {len(FACTORS)} words")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     found = settle(_named_sets(texts, width), "shingle-sets")
-    sets = found.where("digest IS NOT NULL")
-    reps = settle(
-        sets.where("id IS NOT NULL AND name IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "digest")).alias("rep"), F.min("id").alias("least"), F.first("n").alias("n")),
-        "shingle-classes",
-    )
+    sets = found.where("NOT frequent").drop("frequent")
+    reps = settle(sets.where("id IS NOT NULL AND name IS NOT NULL").groupBy("name").agg(F.min("id").alias("least")), "shingle-classes")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    often = found.where("digest IS NULL").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total / HEAVY))
+    often = found.where("frequent").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total / HEAVY))
     # At most HEAVY rows: their counts add up to the total at most.
     frequent = np.array([r[0] for r in often.orderBy("n", "name").select("name").collect()], np.int64).view(np.uint64)
 
     parts = max(2 * shuffle_partitions(docs.sparkSession), -(-total // PART_SHINGLES))
-    chosen = texts.join(reps.select("rep.*"), ["id", "digest"], "left_semi").select("text")
-    counted = _counted(_dealt_shingles(chosen, width, frequent, int(parts)))
+    counted = _counted(_dealt_shingles(texts.where("id IS NOT NULL").select("text"), width, frequent, int(parts)))
     candidates = settle(_candidates(counted, frequent, percent), "prefix-candidates")
     edges, cells = _home_links(candidates, percent)
     edges = settle(edges, "home-links")

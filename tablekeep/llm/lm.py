@@ -8,6 +8,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from tablekeep.session import shuffle_partitions
 ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text whose different n-grams are asked for together, and of text per part of the count table.
-SLICE_BYTES = 4 << 20
-PART_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 #: Bits of a token in an n-gram of at most three; zero stands for no token.
 TOKEN_BITS = 21
 
@@ -72,6 +73,14 @@ def _runs(part: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
+
+
 _SENT = "part int, slice long, ids binary, known binary, lengths array<int>, tokens binary, grams binary, times binary"
 _ANSWERED = "slice long, part int, ids binary, known binary, lengths array<int>, tokens binary, totals binary"
 
@@ -86,9 +95,9 @@ def _dealt(texts: DataFrame, vocabulary: str, order: int, slice_bytes: int, part
             number, joined = next(slices), np.concatenate(tokens)
             kind = "<u2" if joined.max(initial=0) < 1 << 16 else "<u4"
             ids, known = (a.to_numpy(zero_copy_only=False).tobytes() for a in (piece.column(0).fill_null(0), piece.column(0).is_valid()))
-            rows = [(number % parts, number, ids, known, [len(t) for t in tokens], joined.astype(kind).tobytes(), None, None)]
+            rows = [(number % parts, number, ids, known, [len(t) for t in tokens], _packed(joined.astype(kind)), None, None)]
             grams, times, part = _slice_grams(tokens, order, parts)
-            rows += [(int(part[a]), number, None, None, None, None, grams[a:b].tobytes(), times[a:b].astype("<u4").tobytes()) for a, b in _runs(part)]
+            rows += [(int(part[a]), number, None, None, None, None, _packed(np.diff(grams[a:b], prepend=0)), _packed(times[a:b].astype("<u4"))) for a, b in _runs(part)]
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "slice", "ids", "known", "lengths", "tokens", "grams", "times"])
@@ -108,13 +117,13 @@ def _answered(dealt: DataFrame) -> DataFrame:
                     yield frame.loc[whole, ["slice", "part", "ids", "known", "lengths", "tokens"]].assign(totals=None)
                 if asked.empty:
                     continue
-                grams = [np.frombuffer(g, np.int64) for g in asked["grams"]]
-                times = np.concatenate([np.frombuffer(t, "<u4") for t in asked["times"]])
+                grams = [np.cumsum(_unpacked(g, "<i8")) for g in asked["grams"]]
+                times = np.concatenate([_unpacked(t, "<u4") for t in asked["times"]])
                 _, places = np.unique(np.concatenate(grams), return_inverse=True)
                 # The sums are of whole numbers far below 2 ** 53.
                 totals = np.bincount(places, times)[places].astype(np.int64)
                 ends = np.cumsum([len(g) for g in grams])
-                found = [totals[e - len(g) : e].tobytes() for g, e in zip(grams, ends, strict=True)]
+                found = [_packed(totals[e - len(g) : e]) for g, e in zip(grams, ends, strict=True)]
                 yield asked[["slice", "part"]].assign(ids=None, known=None, lengths=None, tokens=None, totals=found)
 
     return dealt.repartition("part").sortWithinPartitions("part").mapInPandas(task, _ANSWERED)
@@ -127,7 +136,7 @@ def scored(
 
     Counts are of the tokens of all whole texts, up to ``order`` in {1, 2, 3}. Texts are tokenized
     once. The n-grams of a slice of documents, each different one once with its number, are dealt
-    by hash to the parts of the count table; a part adds them up over all slices and answers each
+    by hash to the parts of the count table, compressed; a part adds them up over all slices and answers each
     slice in the order it asked, and the answers meet the slice's tokens, where the logarithms
     are summed per document. A frequent n-gram is one entry per slice in its part.
 
@@ -145,11 +154,12 @@ def scored(
     def sums(group: pd.DataFrame) -> pd.DataFrame:
         first = group[group["tokens"].notna()].iloc[0]
         ends = np.cumsum(first["lengths"])
-        joined = np.frombuffer(first["tokens"], "<u2" if len(first["tokens"]) == 2 * ends[-1] else "<u4").astype(np.int64)
+        plain = zstandard.decompress(first["tokens"])
+        joined = np.frombuffer(plain, "<u2" if len(plain) == 2 * ends[-1] else "<u4").astype(np.int64)
         tokens = np.split(joined, ends[:-1])
         grams, _, part = _slice_grams(tokens, order, parts)
         answers = group[group["tokens"].isna()].sort_values("part", kind="stable")["totals"]
-        totals = np.concatenate([np.frombuffer(t, np.int64) for t in answers]) if len(answers) else np.zeros(0, np.int64)
+        totals = np.concatenate([_unpacked(t, "<i8") for t in answers]) if len(answers) else np.zeros(0, np.int64)
         by = np.argsort(grams, kind="stable")
         grams, totals = grams[by], totals[by]
         found = [log_scores(t, grams, totals, order, backoff, others_only) for t in tokens]

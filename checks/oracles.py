@@ -183,6 +183,24 @@ _EVENT_GROUP = """
 
 _MARKS = "event_type AS table, max(event_id) AS max_seq, max(ts) AS max_ts, count(*) AS n_rows"
 
+#: The fields of the documents that ``documents_fields`` reads, a row for each; those that are not there have no type.
+_FIELDS = """
+    WITH fields AS (
+      SELECT unnest([
+        {'path': '$', 'type': 'OBJECT'},
+        {'path': '$.conv_id', 'type': CASE WHEN conv_id % 2 = 0 THEN 'BIGINT' ELSE 'STRING' END},
+        {'path': '$.turn', 'type': CASE WHEN conv_id % 2 = 1 THEN 'OBJECT' WHEN turn IS NOT NULL THEN 'BIGINT' END},
+        {'path': '$.turn.n', 'type': CASE WHEN conv_id % 2 = 1 AND turn IS NOT NULL THEN 'BIGINT' END},
+        {'path': '$.role', 'type': CASE WHEN role IS NOT NULL THEN 'STRING' END},
+        {'path': '$.text', 'type': CASE WHEN conv_id % 2 = 0 AND text IS NOT NULL THEN 'STRING' END},
+        {'path': '$.parts', 'type': CASE WHEN conv_id % 2 = 1 THEN 'ARRAY' END},
+        {'path': '$.parts[]', 'type': CASE WHEN conv_id % 2 = 1 THEN CASE WHEN text IS NULL THEN 'VOID' ELSE 'BIGINT' END END},
+        {'path': '$.parts[]', 'type': CASE WHEN conv_id % 2 = 1 THEN 'VOID' END},
+        {'path': '$.meta', 'type': CASE WHEN conv_id % 2 = 1 THEN 'OBJECT' END},
+        {'path': '$.meta.body', 'type': CASE WHEN conv_id % 2 = 1 THEN 'OBJECT' END},
+        {'path': '$.meta.body.text', 'type': CASE WHEN conv_id % 2 = 1 AND text IS NOT NULL THEN 'STRING' END}
+      ], recursive := true) FROM conversations)"""
+
 _BODIES = {
     "list_databases": "SELECT name FROM dbs",
     "list_databases_flags": "SELECT name FROM raw_databases WHERE NOT is_template AND allow_conn",
@@ -208,6 +226,16 @@ _BODIES = {
         UNION ALL SELECT 'shop.orders', max(o_orderkey), max(o_totalprice), count(*) FROM orders
         UNION ALL SELECT 'stock.part', max(p_partkey), max(p_retailprice), count(*) FROM part""",
     "documents_json_roundtrip": "SELECT * FROM conversations",
+    "documents_fields": f"""
+        {_FIELDS} SELECT path, type, count(*) AS n FROM fields WHERE type IS NOT NULL GROUP BY path, type""",
+    "documents_field_types": f"""
+        {_FIELDS} SELECT path, CASE count(DISTINCT type) FILTER (type <> 'VOID') WHEN 0 THEN 'VOID' WHEN 1 THEN min(type) FILTER (type <> 'VOID')
+          ELSE 'VARIANT' END AS type, count(DISTINCT type) FILTER (type <> 'VOID') > 1 AS conflict
+        FROM fields WHERE type IS NOT NULL GROUP BY path""",
+    "documents_columns": """
+        SELECT CASE WHEN conv_id % 2 = 0 THEN conv_id END AS number,
+          CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id AS VARCHAR) ELSE 'c' || conv_id END AS name, turn, role, text
+        FROM conversations""",
     "dump_per_database": """
         SELECT database, count(*) AS tables, CAST(sum(data_size) AS BIGINT) AS data_bytes,
           CAST(sum(index_size) AS BIGINT) AS index_bytes FROM tbls GROUP BY database""",
@@ -519,6 +547,12 @@ _BODIES = {
     "pack_extract": """
         SELECT archive, member, text FROM files WHERE archive IN ('src0', 'src1', 'src2', 'src5')
           AND (member LIKE 'en/doc 1%' OR regexp_matches(member, '[05]\\.txt$'))""",
+    "pack_extract_indexed": """
+        SELECT archive, member, CAST(greatest(ceil(length / 4096.0), 1) AS BIGINT) AS parts, text FROM files
+        WHERE archive IN ('src0', 'src1', 'src2', 'src5') AND (member LIKE 'en/doc 1%' OR regexp_matches(member, '[05]\\.txt$'))""",
+    "pack_index": """
+        SELECT archive, member, CAST(unnest(range(parts)) AS INTEGER) AS part, parts, length
+        FROM (SELECT archive, member, length, CAST(greatest(ceil(length / 4096.0), 1) AS INTEGER) AS parts FROM files)""",
     "pack_add_string": """
         SELECT archive, member, length FROM files UNION ALL
         SELECT archive, 'NOTE.txt', CAST(strlen(count(*) || ' files é') AS BIGINT) FROM files GROUP BY archive""",

@@ -138,6 +138,46 @@ def documents_json_roundtrip(spark, sf):
     return documents.scan_documents(spark, root)
 
 
+def _drifting(spark, sf) -> DataFrame:
+    """Turns as documents of two shapes whose fields have other types."""
+    root = scratch_dir(spark, "drifting")
+    turns = a.table(spark, sf, "conversations").select(
+        "conv_id", F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct("conv_id", "turn", "role", "text"))).otherwise(
+            F.to_json(F.struct(
+                F.concat(F.lit("c"), "conv_id").alias("conv_id"), F.struct(F.col("turn").alias("n")).alias("turn"),
+                "role", F.array(F.octet_length("text").cast("bigint"), F.lit(None)).alias("parts"), F.struct(F.struct("text").alias("body")).alias("meta"),
+            ))
+        ).alias("line"),
+    )
+    turns.select("line").write.text(root, compression="gzip")
+    return documents.scan_variants(spark, root)
+
+
+@query
+def documents_fields(spark, sf):
+    return documents.field_catalog(_drifting(spark, sf))
+
+
+@query
+def documents_field_types(spark, sf):
+    return documents.field_types(documents.field_catalog(_drifting(spark, sf)))
+
+
+@query
+def documents_columns(spark, sf):
+    cut = documents.cut_columns(
+        _drifting(spark, sf),
+        {
+            "number": ("bigint", "$.conv_id"),
+            "name": ("string", "$.conv_id"),
+            "turn": ("bigint", "$.turn", "$.turn.n"),
+            "role": ("string", "$.role"),
+            "text": ("string", "$.text", "$.meta.body.text"),
+        },
+    )
+    return cut.drop("doc")
+
+
 # Sinks
 
 
@@ -979,6 +1019,23 @@ def pack_extract(spark, sf):
     return found.select("archive", "member", F.decode("content", "UTF-8").alias("text"))
 
 
+@query
+def pack_extract_indexed(spark, sf):
+    root = scratch_dir(spark, "pack")
+    packing.pack_indexed(a.files(spark, sf), "archive", root, shard_bytes=1 << 18, part_bytes=4096)
+    parts = packing.pack_parts(spark, root, ["en/doc 1*", "*[05].txt"], archives=["src[0-2]", "src5"])
+    count = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("parts"))
+    found = packing.whole_members(parts).join(count, "entry")
+    return found.select("archive", "member", "parts", F.decode("content", "UTF-8").alias("text"))
+
+
+@query
+def pack_index(spark, sf):
+    root = scratch_dir(spark, "pack")
+    packing.pack_indexed(a.files(spark, sf), "archive", root, shard_bytes=1 << 18, part_bytes=4096)
+    return packing.pack_index(spark, root).select("archive", "member", "part", "parts", "length")
+
+
 @query
 def pack_add_string(spark, sf):
     root = scratch_dir(spark, "pack")

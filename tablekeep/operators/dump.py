@@ -131,10 +131,10 @@ def records_per_file(df: DataFrame, split_bytes: int) -> int:
     return max(1, int(split_bytes / mean)) if mean else 1
 
 
-def cut_by_bytes(df: DataFrame, split_bytes: int, order_by: Sequence[str] = ()) -> DataFrame:
+def cut_by_bytes(df: DataFrame, split_bytes: int, order_by: Sequence[str] = (), row_bytes: Column | None = None) -> DataFrame:
     """``df`` with one partition, and so one file, for every ``split_bytes`` of its rows as text.
 
-    A row counts as its JSON text and a line break. A partition has less than ``split_bytes`` plus
+    A row counts as ``row_bytes``, or as its JSON text and a line break. A partition has less than ``split_bytes`` plus
     one row, however unlike the rows are. Rows are taken in the order of ``order_by``, which must
     be unique, or in the order they are read.
     """
@@ -142,7 +142,9 @@ def cut_by_bytes(df: DataFrame, split_bytes: int, order_by: Sequence[str] = ())
     if file != "chunk_id":
         raise ValueError("a table cut by bytes has no column of its own called chunk_id")
     place = F.struct(*order_by) if order_by else F.monotonically_increasing_id()
-    sized = df.withColumns({at: place, size: F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), FORMAT_OPTIONS["json"])) + 1})
+    if row_bytes is None:
+        row_bytes = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), FORMAT_OPTIONS["json"])) + 1
+    sized = df.withColumns({at: place, size: row_bytes})
     numbered = settle(chunk_plan(sized, at, size, split_bytes), "cut-rows")
     files = (numbered.agg(F.max(file)).first()[0] or 0) + 1
     dealt = numbered.repartitionById(int(files), F.col(file).cast("int"))

@@ -2,19 +2,31 @@
 
 A packed dataset is Parquet with a folder per archive and the columns
 ``member STRING, length BIGINT, content BINARY``.
+
+An indexed pack has shards of bounded bytes in the order of members, long members in numbered
+parts, and an index that says which shard has which part. A few members are then read from a
+few shards, however large the pack.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeep.functions.globs import include_glob
-from tablekeep.sources.files import empty_files
+from tablekeep.operators.dump import cut_by_bytes
+from tablekeep.sources.files import empty_files, names_in
 
 PACK_COLUMNS = ["archive", "member", "length", "content"]
 _SCHEMA = "member string, length bigint, content binary, archive string"
 
+SHARD_BYTES = 256 * 1024**2
+PART_BYTES = 64 * 1024**2
+_PARTS = "archive string, member string, entry bigint, part int, parts int, length bigint, content binary"
+_INDEX = "archive string, member string, entry bigint, part int, parts int, length bigint, shard string"
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The files below ``path`` with their contents, empty ones too, ready to be packed."""
@@ -45,11 +57,13 @@ def pack(inventory: DataFrame, archive: Column | str, root: str, extra: DataFram
 
     Each archive is gathered into few files; a large one is split over several tasks.
     """
+    _members(inventory, archive, extra).hint("rebalance", "archive").write.partitionBy("archive").parquet(root)
+
+
+def _members(inventory: DataFrame, archive: Column | str, extra: DataFrame | None) -> DataFrame:
     column = F.col(archive) if isinstance(archive, str) else archive
     members = inventory.select(column.alias("archive"), "member", "length", "content")
-    if extra is not None:
-        members = members.unionByName(text_members(extra))
-    members.hint("rebalance", "archive").write.partitionBy("archive").parquet(root)
+    return members if extra is None else members.unionByName(text_members(extra))
 
 
 def packed(spark: SparkSession, root: str) -> DataFrame:
@@ -69,3 +83,73 @@ def pack_extract(
     if archives is not None:
         wanted = wanted & include_glob("archive", *archives)
     return packed(spark, root).where(wanted)
+
+
+def pack_indexed(
+    inventory: DataFrame,
+    archive: Column | str,
+    root: str,
+    extra: DataFrame | None = None,
+    shard_bytes: int = SHARD_BYTES,
+    part_bytes: int = PART_BYTES,
+) -> None:
+    """Write files, and texts from ``extra(archive, member, text)``, as an indexed pack.
+
+    Shards follow the order of archive and member; each has ``shard_bytes`` of contents and less
+    than one part more. Members longer than ``part_bytes`` are cut into parts, which may lie in
+    several shards. ``entry`` tells members of one name apart. A member without content counts as
+    empty. The index is written last: a pack without one is not finished.
+    """
+    if shard_bytes < 1 or part_bytes < 1:
+        raise ValueError("shards and parts need at least one byte")
+    members = _members(inventory, archive, extra).withColumn("entry", F.monotonically_increasing_id())
+    parts = F.greatest(F.ceil(F.octet_length("content") / part_bytes), F.lit(1)).cast("int")
+    cut = members.withColumn("parts", F.coalesce(parts, F.lit(1)))
+    cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    piece = F.substring("content", F.col("part") * part_bytes + 1, F.lit(part_bytes))
+    rows = cut.select("archive", "member", "entry", "part", "parts", "length", F.coalesce(piece, F.lit(b"")).alias("content"))
+    shards = cut_by_bytes(rows, shard_bytes, ["archive", "member", "entry", "part"], F.octet_length("content"))
+    shards.write.option("parquet.bloom.filter.enabled#member", "true").parquet(f"{root}/shards")
+    written = inventory.sparkSession.read.schema(_PARTS).parquet(f"{root}/shards")
+    index = written.drop("content").withColumn("shard", F.col("_metadata.file_name"))
+    index.repartitionByRange("member", "archive").sortWithinPartitions("member", "archive", "entry", "part").write.option(
+        "parquet.bloom.filter.enabled#member", "true"
+    ).parquet(f"{root}/index")
+
+
+def pack_index(spark: SparkSession, root: str) -> DataFrame:
+    """``DF(archive, member, entry, part, parts, length, shard)`` of an indexed pack; shards are not opened."""
+    if "_SUCCESS" not in names_in(spark, f"{root}/index"):
+        raise FileNotFoundError(f"{root} holds no finished pack with an index")
+    return spark.read.schema(_INDEX).parquet(f"{root}/index")
+
+
+def pack_parts(
+    spark: SparkSession,
+    root: str,
+    members: Sequence[str] = (),
+    archives: Sequence[str] | None = None,
+    names: Sequence[str] = (),
+) -> DataFrame:
+    """The parts of members that match a glob of ``members`` or are called one of ``names`` exactly.
+
+    Only shards that hold such a part are opened. Exact names are looked up by the index's sorted
+    names and Bloom filters, globs by reading its names.
+    """
+    wanted = include_glob("member", *members) if members else F.lit(False)
+    if names:
+        wanted = F.col("member").isin(*names) | wanted if members else F.col("member").isin(*names)
+    if archives is not None:
+        wanted = wanted & include_glob("archive", *archives)
+    found = pack_index(spark, root).where(wanted).select("shard").distinct()
+    shards = [f"{root}/shards/{row['shard']}" for row in found.toLocalIterator()]
+    if not shards:
+        return spark.createDataFrame([], _PARTS)
+    return spark.read.schema(_PARTS).parquet(*shards).where(wanted)
+
+
+def whole_members(parts: DataFrame) -> DataFrame:
+    """``DF(archive, member, entry, length, content)`` put together from all parts of members that fit into a row."""
+    pieces = F.sort_array(F.collect_list(F.struct("part", "content")))
+    content = F.aggregate(pieces, F.lit(b""), lambda whole, piece: F.concat(whole, piece["content"]))
+    return parts.groupBy("archive", "member", "entry").agg(F.first("length").alias("length"), content.alias("content"))

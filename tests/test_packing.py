@@ -1,5 +1,6 @@
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablekeep.operators import packing
@@ -33,3 +34,40 @@ def test_scans_are_pruned(spark, folder):
     plan = packing.pack_extract(spark, f"{folder}/out", ["*"], ["a"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(archive" in plan or "RLIKE(archive" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert {r["archive"] for r in packing.pack_list(spark, f"{folder}/out").collect()} == {"a", "1"}
+
+
+def test_indexed_packs_open_only_the_shards_of_their_members(spark, folder):
+    contents = [("a", f"m{i:03d}", bytes([i % 256]) * 100) for i in range(300)]
+    contents += [("b", "long", bytes(range(256)) * 40), ("b", "empty", b""), ("b", "gone", None), ("b", "twice", b"1"), ("b", "twice", b"2")]
+    rows = [(archive, member, len(data or b""), data and bytearray(data)) for archive, member, data in contents]
+    files = spark.createDataFrame(rows, "archive string, member string, length long, content binary")
+    notes = spark.createDataFrame([("b", "note", "é")], "archive string, member string, text string")
+    root = f"{folder}/pack"
+    packing.pack_indexed(files, "archive", root, extra=notes, shard_bytes=2000, part_bytes=1000)
+
+    sizes = packing.pack_index(spark, root).groupBy("shard").agg(F.count("*").alias("n")).collect()
+    assert len(sizes) >= 40000 // 3000
+    for path in Path(root, "shards").glob("*.parquet"):
+        assert spark.read.parquet(str(path)).agg(F.sum(F.octet_length("content"))).first()[0] < 3000
+    one = packing.pack_parts(spark, root, names=["m123"])
+    assert len(one.inputFiles()) == 1
+    assert [(r["member"], bytes(r["content"])) for r in one.collect()] == [("m123", bytes([123]) * 100)]
+    long = packing.pack_parts(spark, root, ["LONG"], ["b*"])
+    assert 1 < len(long.inputFiles()) < len(sizes)
+    assert sorted((r["part"], r["parts"]) for r in long.collect()) == [(k, 11) for k in range(11)]
+    assert packing.pack_parts(spark, root, ["nothing*"]).count() == packing.pack_parts(spark, root).count() == 0
+    assert packing.pack_parts(spark, root, ["m00?"], names=["note"]).count() == 11
+
+    whole = packing.whole_members(packing.pack_parts(spark, root, ["*"])).collect()
+    expected = [(a, m, data or b"") for a, m, data in contents] + [("b", "note", "é".encode())]
+    assert sorted((r["archive"], r["member"], bytes(r["content"])) for r in whole) == sorted(expected)
+
+
+def test_indexed_packs_without_rows_or_index(spark, folder):
+    empty = spark.createDataFrame([], "archive string, member string, length long, content binary")
+    packing.pack_indexed(empty, "archive", f"{folder}/none")
+    assert packing.pack_index(spark, f"{folder}/none").count() == packing.pack_parts(spark, f"{folder}/none", ["*"]).count() == 0
+    with pytest.raises(FileNotFoundError, match="no finished pack"):
+        packing.pack_index(spark, f"{folder}/absent")
+    with pytest.raises(ValueError, match="at least one byte"):
+        packing.pack_indexed(empty, "archive", f"{folder}/bad", part_bytes=0)

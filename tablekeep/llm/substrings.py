@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.common import ascii_words, mix64, settle, text_slices
+from tablekeep.llm.common import mix64, settle, text_slices
 
 #: Words of a repeat and of an anchor. Of each window of ``LENGTH`` words the smallest anchor hash is kept.
 LENGTH = 35
 ANCHOR = 10
+#: Windows looked at together when their anchors are chosen.
+STEP = 1 << 18
 _BASE, _WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,9 +32,29 @@ def _rolling(hashes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     return mix64(out)
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    bounds, codes, words = ascii_words(texts)
-    return bounds, np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The words between ASCII white space; null where there are none."""
+    trimmed = pc.ascii_trim_whitespace(texts.view(pa.string()))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(trimmed), 0), None, trimmed))
+
+
+def _hashed(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of each text begin and end, and a hash of each word."""
+    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.view(pa.binary()).to_pylist()], np.uint64)
+    return bounds, hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(hashes) else np.zeros(0, np.uint64)
+
+
+def _smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the smallest of each ``width`` neighbours is, the first of equal ones, by stretches that double."""
+    best, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        left, right = best[:-step], best[step:]
+        best, span = np.where(values[left] <= values[right], left, right), span + step
+    return best
 
 
 def winnowed(hashes: np.ndarray, bounds: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,8 +72,9 @@ def winnowed(hashes: np.ndarray, bounds: np.ndarray, length: int, anchor: int) -
     np.add.at(inside, bounds[:-1][whole], 1)
     np.add.at(inside, bounds[1:][whole] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside)[:n])
-    views = np.lib.stride_tricks.sliding_window_view(grams, length - anchor + 1)
-    return starts, starts + views[starts].argmin(axis=1), grams
+    width = length - anchor + 1
+    at = np.concatenate([a + _smallest(grams[a : min(a + STEP, n) + width - 1], width) for a in range(0, n, STEP)])
+    return starts, at[starts], grams
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,12 +88,13 @@ def _anchored(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, 2):
-                bounds, hashes = _hashed(batch.column(2))
+                words = _words(batch.column(2))
+                bounds, hashes = _hashed(words)
                 _, at, grams = winnowed(hashes, bounds, length, anchor)
                 at = np.unique(at)
                 cuts = np.searchsorted(at, bounds).astype(np.int32)
                 owner = np.repeat(bounds[:-1], np.diff(cuts))
-                digests = [hashlib.sha256(b" ".join((t.as_py() or b"").split())).hexdigest() for t in batch.column(2)]
+                digests = [hashlib.sha256((t.as_buffer() if t.is_valid else b"")).hexdigest() for t in pc.binary_join(words, " ")]
                 columns = [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(digests)]
                 columns.append(pa.ListArray.from_arrays(cuts, pa.array(grams[at].view(np.int64))))
                 columns.append(pa.ListArray.from_arrays(cuts, pa.array((at - owner).astype(np.int32))))
@@ -88,7 +113,7 @@ def _extended(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, 1):
-                bounds, hashes = _hashed(batch.column(1))
+                bounds, hashes = _hashed(_words(batch.column(1)))
                 starts, at, grams = winnowed(hashes, bounds, length, anchor)
                 seeds = batch.column(2)
                 counts = np.diff(seeds.offsets.to_numpy())
@@ -115,7 +140,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, 0):
-                bounds, hashes = _hashed(batch.column(0))
+                bounds, hashes = _hashed(_words(batch.column(0)))
                 windows, lists = _rolling(hashes, length, _WINDOW_BASE), batch.column(1)
                 owner = np.repeat(bounds[:-1], np.diff(lists.offsets.to_numpy()))
                 start, size, anchor, span, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
@@ -153,15 +178,16 @@ def _without(texts: DataFrame, length: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
-                words = text.as_py().split()
-                edge = np.zeros(len(words) + 1, np.int64)
+            for row, starts in enumerate(batch.column(2)):
+                words = _words(batch.column(1).slice(row, 1)).flatten()
+                edge = np.zeros(len(words) + 1, np.int32)
                 at = starts.values.to_numpy(zero_copy_only=False)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + length, -1)
                 stays = np.cumsum(edge[:-1]) == 0
                 removed.append(int((~stays).sum()))
-                kept.append(b" ".join(words[k] for k in np.flatnonzero(stays).tolist()))
+                left = words.filter(pa.array(stays))
+                kept.append(pc.binary_join(pa.ListArray.from_arrays([0, len(left)], left), " ").view(pa.binary())[0].as_py())
             columns = [batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["mark", "n_removed", "kept"])
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from checks.compare import difference, duck
@@ -64,3 +65,31 @@ def test_anchors_fit_into_a_repeat(docs_of):
 
 def test_query_equals_sql(spark):
     assert difference(queries.op6_substrings(spark, SF_DIR), duck(SF_DIR), queries.ORACLES["op6_substrings"]) is None
+
+
+def test_words_are_those_between_ascii_white_space():
+    draw = random.Random(5)
+    texts = [None, "", " ", "\x0b", *("".join(draw.choice("ab é\x0b\x0c\t\n\r\x1c\x1f\x85  \0") for _ in range(draw.randrange(30))) for _ in range(500))]
+    found = substrings._words(pa.array([t and t.encode() if t else t and b"" for t in texts], pa.binary()).slice(2))
+    assert [[w.encode() for w in words or []] for words in found.to_pylist()] == [(t or "").encode().split() for t in texts[2:]]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 26])
+def test_smallest_of_neighbours_is_the_first(width, monkeypatch):
+    monkeypatch.setattr(substrings, "STEP", 10)
+    draw = np.random.default_rng(width)
+    for n in (width, width + 1, 9, 10, 11, 57, 300):
+        hashes = draw.integers(0, 9, n + width).astype(np.uint64)
+        views = np.lib.stride_tricks.sliding_window_view(hashes, width)
+        assert (substrings._smallest(hashes, width) == np.arange(len(views)) + views.argmin(axis=1)).all()
+        grams = substrings._rolling(hashes, 1, substrings._BASE)
+        starts, at, _ = substrings.winnowed(hashes, np.array([0, len(hashes)]), width, 1)
+        views = np.lib.stride_tricks.sliding_window_view(grams, width)
+        assert (at == starts + views.argmin(axis=1)).all() and len(starts) == len(views)
+
+
+def test_a_very_long_text(docs_of):
+    passage = " ".join(f"p{k}" for k in range(50))
+    long = " ".join(f"w{k % 700001}x{k // 700001}" for k in range(1_200_000))
+    rows = substrings.deduplicated(docs_of([(1, f"{long} {passage}"), (2, f"a {passage} b")])).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in rows} == {(1, 1_200_050, 50), (2, 52, 50)}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablekeep.functions.times import run_name
 from tablekeep.operators.filters import FilterSpec, apply_filters
 from tablekeep.operators.settings import Setting
+from tablekeep.sources import stores
 from tablekeep.sources.catalog import catalog_databases, catalog_tables
 
 MIB = 1024**2
@@ -218,6 +219,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_tree(spark: SparkSession, sf_dir: str, root: str) -> int:
+    """Writes each document as a file of its own, some hidden, some in hidden folders, some empty."""
+    folder = F.get(F.array(*(F.lit(f) for f in ("", ".state/", "_parts/", "deep/er/", "a b+%41/"))), (F.col("doc_id") % 5).cast("int"))
+    begin = F.get(F.array(*(F.lit(b) for b in ("", ".", "_"))), (F.col("doc_id") % 3).cast("int"))
+    member = F.concat("source", F.lit("/"), folder, begin, F.col("doc_id").cast("string"))
+    content = F.encode(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")), "UTF-8")
+    return stores.write_files(table(spark, sf_dir, "documents").select(member.alias("member"), content.alias("content")), root)
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("text").alias("s"))
     return texts.unionByName(table(spark, sf_dir, "pages").select(F.col("url").alias("s")))

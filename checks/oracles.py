@@ -141,6 +141,11 @@ _INSERTED_ORDER = """'(' || o_orderkey || ',' || o_custkey || ',''' || o_orderst
 
 _ESCAPED_TEXT = """replace(replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n'), chr(13), '\\r')"""
 
+_TREE = """
+    SELECT source || '/' || ['', '.state/', '_parts/', 'deep/er/', 'a b+%41/'][doc_id % 5 + 1] || ['', '.', '_'][doc_id % 3 + 1] || doc_id AS member,
+      CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text, CAST(strlen(CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END) AS BIGINT) AS length
+    FROM documents"""
+
 _RECORDED_RUNS = """
     SELECT event_type AS backupset, strftime(max(ts), '%Y%m%d_%H%M%S') AS name,
       CASE WHEN max(event_id) % 5 = 0 THEN '' ELSE event_type END AS plugin, sum(event_id) % 3 = 0 AS failed,
@@ -216,6 +221,15 @@ _BODIES = {
     "tree_size": """
         SELECT CAST(sum(strlen(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag,
           l_linestatus)) + 1) AS BIGINT) AS total_bytes FROM lineitem""",
+    "tree_size_hidden": f"SELECT CAST(sum(length) AS BIGINT) AS total_bytes FROM ({_TREE})",
+    "tree_listing": f"""
+        SELECT CAST(len(steps) AS INTEGER) AS level, FALSE AS is_folder, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes
+        FROM (SELECT length, string_split(member, '/') AS steps FROM ({_TREE})) GROUP BY 1
+        UNION ALL SELECT CAST(len(steps) AS INTEGER), TRUE, count(*), CAST(0 AS BIGINT) FROM (
+          SELECT DISTINCT steps[:i] AS steps FROM (
+            SELECT steps, unnest(range(1, len(steps))) AS i FROM (SELECT string_split(member, '/') AS steps FROM ({_TREE})))) GROUP BY 1""",
+    "runs_left": f"""
+        SELECT backupset, name FROM ({_RECORDED_RUNS}) QUALIFY row_number() OVER (PARTITION BY backupset ORDER BY name DESC) <= 3""",
     "scan_runs": _RECORDED_RUNS,
     "retention_scanned": f"""
         SELECT backupset, name, CASE WHEN row_number() OVER (PARTITION BY backupset ORDER BY name DESC) <= 3 THEN 'keep' ELSE 'purge' END AS action
@@ -553,6 +567,8 @@ _BODIES = {
     "pack_index": """
         SELECT archive, member, CAST(unnest(range(parts)) AS INTEGER) AS part, parts, length
         FROM (SELECT archive, member, length, CAST(greatest(ceil(length / 4096.0), 1) AS INTEGER) AS parts FROM files)""",
+    "pack_files": f"SELECT split_part(member, '/', 1) AS archive, member, length, text FROM ({_TREE})",
+    "unpack_files": "SELECT member, length, text FROM files",
     "pack_add_string": """
         SELECT archive, member, length FROM files UNION ALL
         SELECT archive, 'NOTE.txt', CAST(strlen(count(*) || ' files é') AS BIGINT) FROM files GROUP BY archive""",

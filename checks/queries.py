@@ -14,7 +14,7 @@ from tablekeep.functions import globs, sizes, text, times, values
 from tablekeep.operators import changes, dump, filters, history, kept, packing, retention, settings, sizing
 from tablekeep.plans.chunks import chunk_plan
 from tablekeep.session import scratch_dir
-from tablekeep.sources import catalog, documents, dumps, files, runs, snapshots
+from tablekeep.sources import catalog, documents, dumps, files, runs, snapshots, stores
 from tablekeep.sources.inserts import from_insert_sql
 from tablekeep.streaming.changes import compact, stream_apply, streamed_state
 from tablekeep.streaming.dump import Position, fold_dump, stream_dump, stream_dump_table
@@ -56,9 +56,9 @@ def table_metadata_fast(spark, sf):
     return catalog.catalog_tables(a.raw_tables(spark, sf), sizes=False)
 
 
-def _recorded_runs(spark, sf) -> DataFrame:
+def _recorded_runs(spark, sf, root=None):
     """A run for each type and day of all events, written as records and read back."""
-    root = scratch_dir(spark, "runs")
+    root = root or scratch_dir(spark, "runs")
     daily = a.table(spark, sf, "events").groupBy(F.col("event_type").alias("backupset"), F.to_date("ts").alias("day"))
     found = daily.agg(
         times.run_name(F.max("ts")).alias("name"),
@@ -81,6 +81,15 @@ def retention_scanned(spark, sf):
     return retention.retention_plan(_recorded_runs(spark, sf), 3).select("backupset", "name", "action")
 
 
+@query
+def runs_left(spark, sf):
+    """What is left after the runs a plan purges are deleted."""
+    root = scratch_dir(spark, "runs")
+    plan = retention.retention_plan(_recorded_runs(spark, sf, root), 3)
+    runs.delete_runs(spark, root, plan)
+    return runs.scan_runs(spark, root, file_name="part-*").select("backupset", "name")
+
+
 @query
 def run_name_filter(spark, sf):
     name = times.run_name("ts")
@@ -103,6 +112,23 @@ def tree_size(spark, sf):
     return files.tree_size(files.file_inventory(spark, root))
 
 
+@query
+def tree_size_hidden(spark, sf):
+    root = scratch_dir(spark, "tree")
+    a.file_tree(spark, sf, root)
+    return files.tree_size(files.file_inventory(spark, root, hidden=True))
+
+
+@query
+def tree_listing(spark, sf):
+    """Files and folders per level of a tree with hidden names."""
+    root = scratch_dir(spark, "tree")
+    a.file_tree(spark, sf, root)
+    return stores.listing(spark, root).groupBy("level", "is_folder").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("is_folder"), 0).otherwise(F.col("length"))).alias("bytes")
+    )
+
+
 @query
 def restore_orders(spark, sf):
     root = scratch_dir(spark, "dump")
@@ -1036,6 +1062,27 @@ def pack_index(spark, sf):
     return packing.pack_index(spark, root).select("archive", "member", "part", "parts", "length")
 
 
+@query
+def pack_files(spark, sf):
+    """Files of a tree, hidden and empty ones too, read in parts, packed and put together again."""
+    root = scratch_dir(spark, "pack")
+    a.file_tree(spark, sf, f"{root}/in")
+    inventory = packing.read_files(spark, f"{root}/in", part_bytes=4096)
+    packing.pack_indexed(inventory, F.substring_index("member", "/", 1), f"{root}/out", shard_bytes=1 << 18)
+    found = packing.whole_members(packing.pack_parts(spark, f"{root}/out", ["*"]))
+    return found.select("archive", "member", "length", F.decode("content", "UTF-8").alias("text"))
+
+
+@query
+def unpack_files(spark, sf):
+    """A pack's parts written as files, and what lies there then."""
+    root = scratch_dir(spark, "pack")
+    packing.pack_indexed(a.files(spark, sf), "archive", f"{root}/pack", shard_bytes=1 << 18, part_bytes=4096)
+    packing.unpack(packing.pack_parts(spark, f"{root}/pack", ["*"]), f"{root}/out")
+    found = packing.read_files(spark, f"{root}/out")
+    return found.select("member", "length", F.decode("content", "UTF-8").alias("text"))
+
+
 @query
 def pack_add_string(spark, sf):
     root = scratch_dir(spark, "pack")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tablekeep.functions.globs import include_glob
 from tablekeep.operators.dump import cut_by_bytes
-from tablekeep.sources.files import empty_files, names_in
+from tablekeep.sources.files import names_in
+from tablekeep.sources.stores import list_files, read_contents, write_files
 
 PACK_COLUMNS = ["archive", "member", "length", "content"]
 _SCHEMA = "member string, length bigint, content binary, archive string"
@@ -28,18 +29,21 @@ _PARTS = "archive string, member string, entry bigint, part int, parts int, leng
 _INDEX = "archive string, member string, entry bigint, part int, parts int, length bigint, shard string"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files below ``path`` with their contents, empty ones too, ready to be packed."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    empty = empty_files(found).select(
-        "path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")
-    )
-    base = path.rstrip("/") + "/"
-    return (
-        found.select("path", "length", "content")
-        .unionByName(empty)
-        .select(F.substring_index("path", base, -1).alias("member"), "length", "content")
-    )
+def read_files(spark: SparkSession, path: str, hidden: bool = True, part_bytes: int | None = None) -> DataFrame:
+    """The files below ``path`` with their contents, empty and hidden ones too, ready to be packed.
+
+    Tasks list and read them. With ``part_bytes`` a row holds a part of a file, for
+    ``pack_indexed``, and files may be of any length.
+    """
+    return read_contents(list_files(spark, path, hidden).drop("modified"), part_bytes).drop("path")
+
+
+def unpack(members: DataFrame, path: str) -> int:
+    """Write whole members, or the parts ``pack_parts`` returns, as files below ``path``.
+
+    Returns the number of rows written. Members of one name are refused.
+    """
+    return write_files(members, path)
 
 
 def text_members(texts: DataFrame) -> DataFrame:
@@ -85,6 +89,15 @@ def pack_extract(
     return packed(spark, root).where(wanted)
 
 
+def _cut(members: DataFrame, part_bytes: int) -> DataFrame:
+    """Members as numbered parts."""
+    parts = F.greatest(F.ceil(F.octet_length("content") / part_bytes), F.lit(1)).cast("int")
+    cut = members.withColumn("entry", F.monotonically_increasing_id()).withColumn("parts", F.coalesce(parts, F.lit(1)))
+    cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    piece = F.substring("content", F.col("part") * part_bytes + 1, F.lit(part_bytes))
+    return cut.select("archive", "member", "entry", "part", "parts", "length", F.coalesce(piece, F.lit(b"")).alias("content"))
+
+
 def pack_indexed(
     inventory: DataFrame,
     archive: Column | str,
@@ -98,16 +111,18 @@ def pack_indexed(
     Shards follow the order of archive and member; each has ``shard_bytes`` of contents and less
     than one part more. Members longer than ``part_bytes`` are cut into parts, which may lie in
     several shards. ``entry`` tells members of one name apart. A member without content counts as
-    empty. The index is written last: a pack without one is not finished.
+    empty. The index is written last: a pack without one is not finished. An inventory that holds
+    parts already, from ``read_files(part_bytes=...)``, is taken as it is, so that no file has to
+    fit into a row.
     """
     if shard_bytes < 1 or part_bytes < 1:
         raise ValueError("shards and parts need at least one byte")
-    members = _members(inventory, archive, extra).withColumn("entry", F.monotonically_increasing_id())
-    parts = F.greatest(F.ceil(F.octet_length("content") / part_bytes), F.lit(1)).cast("int")
-    cut = members.withColumn("parts", F.coalesce(parts, F.lit(1)))
-    cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    piece = F.substring("content", F.col("part") * part_bytes + 1, F.lit(part_bytes))
-    rows = cut.select("archive", "member", "entry", "part", "parts", "length", F.coalesce(piece, F.lit(b"")).alias("content"))
+    if "part" in inventory.columns:
+        column = F.col(archive) if isinstance(archive, str) else archive
+        rows = inventory.select(column.alias("archive"), "member", "entry", "part", "parts", "length", "content")
+        rows = rows if extra is None else rows.unionByName(_cut(text_members(extra), part_bytes))
+    else:
+        rows = _cut(_members(inventory, archive, extra), part_bytes)
     shards = cut_by_bytes(rows, shard_bytes, ["archive", "member", "entry", "part"], F.octet_length("content"))
     shards.write.option("parquet.bloom.filter.enabled#member", "true").parquet(f"{root}/shards")
     written = inventory.sparkSession.read.schema(_PARTS).parquet(f"{root}/shards")

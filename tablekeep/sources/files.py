@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekeep.functions.columns import as_column
 from tablekeep.functions.globs import exclude_glob
+from tablekeep.sources.stores import list_files
 
 
 def names_in(spark: SparkSession, folder: str) -> list[str]:
@@ -21,38 +22,19 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def decoded_path(path: Column | str) -> Column:
-    """A path as Spark shows it in ``_metadata``, without percent signs."""
-    return F.url_decode(F.replace(as_column(path), F.lit("+"), F.lit("%2B")))
+def decoded_name(name: Column | str) -> Column:
+    """A name without percent signs, as Spark writes them for values in folder names."""
+    return F.url_decode(F.replace(as_column(name), F.lit("+"), F.lit("%2B")))
 
 
-def empty_files(files: DataFrame, path: str = "path") -> DataFrame:
-    """``DF(path)`` of the files a scan skips for being empty.
-
-    Spark's file sources list empty files but make no rows of them. The list of all file
-    names, which the driver holds for planning anyway, is compared with the rows.
-    """
-    listed = files.sparkSession.createDataFrame([(p,) for p in files.inputFiles()], "path string")
-    names = listed.select(decoded_path("path").alias("path"))
-    bare = lambda column: F.regexp_replace(column, r"\A\w+:/+", "/")
-    seen = files.select(bare(F.col(path)).alias("_bare")).distinct()
-    return names.withColumn("_bare", bare(F.col("path"))).join(seen, "_bare", "left_anti").select("path")
-
-
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+def file_inventory(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
     """``DF(path, length)`` of all files below ``path``, empty ones too; contents are not read.
 
-    Unreadable files are skipped. Spark leaves out names that start with ``_`` or ``.``.
+    Tasks list the folders, level by level. Files and folders that may not be read are skipped.
+    Names that start with ``_`` or ``.`` are left out, as by Spark's own file sources, unless
+    ``hidden``: then all bytes that lie there count.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
-        .load(path)
-        .select("path", "length")
-    )
-    return found.unionByName(empty_files(found).withColumn("length", F.lit(0).cast("bigint")))
+    return list_files(spark, path, hidden, skip_unreadable=True).select("path", "length")
 
 
 def tree_size(inventory: DataFrame) -> DataFrame:

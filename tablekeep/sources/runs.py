@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from collections.abc import Mapping
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tablekeep.functions.times import parse_run_name
 from tablekeep.functions.values import to_boolean, to_float, to_integer
-from tablekeep.sources.files import decoded_path, empty_files
+from tablekeep.plans.settled import settle
+from tablekeep.sources.files import decoded_name
+from tablekeep.sources.stores import delete_folders, list_files, listing, read_contents
 
 # The keys of a run record with their type and default.
 RUN_RECORD_SPEC = [
@@ -59,17 +62,31 @@ def _section_entries(conf: Column, section: str) -> Column:
     return F.transform(lines, lambda line: F.split(line, "=", 2))
 
 
+def _glob(name: Column, pattern: str) -> Column:
+    """Whether a file is called so; case counts."""
+    return name.rlike("\\A" + fnmatch.translate(pattern).removesuffix("\\Z").removesuffix("\\z") + "\\z")
+
+
+def _run_of(member: str) -> tuple[Column, Column]:
+    """Set and name of a run from ``set/name/...``, or from folders as ``write_run_records`` makes them."""
+    steps = F.split(member, "/")
+    given = steps[0].startswith("backupset=")
+    backupset = F.when(given, decoded_name(F.regexp_replace(steps[0], r"\Abackupset=", ""))).otherwise(steps[0])
+    return backupset.alias("backupset"), F.regexp_replace(steps[1], r"\Aname=", "").alias("name")
+
+
 def scan_runs(spark: SparkSession, root: str, section: str = "run", file_name: str = "backup.conf") -> DataFrame:
     """Read every run record under ``root``; folders that are no run names are skipped.
 
-    The known keys are picked out of each record, so records are not shuffled. Of a key that is
-    written several times, in either spelling, the last one counts. An empty record is a broken
-    run with default values. Times are seconds since the epoch and become timestamps here.
+    Tasks list the folders and read the records. ``file_name`` is a name or a glob. The known keys
+    are picked out of each record, so records are not shuffled. Of a key that is written several
+    times, in either spelling, the last one counts. An empty record is a broken run with default
+    values. Times are seconds since the epoch and become timestamps here.
     """
-    read = spark.read.text(f"{root}/*/*/{file_name}", wholetext=True)
-    files = read.select("value", decoded_path("_metadata.file_path").alias("path"))
-    files = files.unionByName(empty_files(files).withColumn("value", F.lit("")))
-    files = files.withColumn("path", F.split("path", "/"))
+    there = list_files(spark, root, levels=3)
+    records = there.where((F.size(F.split("member", "/")) == 3) & _glob(F.substring_index("member", "/", -1), file_name))
+    files = read_contents(records.select("path", "member", "length"))
+    files = files.select(F.decode("content", "UTF-8").alias("value"), *_run_of("member"))
     entries = F.transform(
         _section_entries(F.col("value"), section),
         lambda pair: F.struct(
@@ -77,11 +94,7 @@ def scan_runs(spark: SparkSession, root: str, section: str = "run", file_name: s
             F.regexp_replace(F.trim(pair[1]), r"""\A(["'])(.*)\1\z""", "$2").alias("text"),
         ),
     )
-    parsed = files.select(
-        F.when(F.element_at("path", -3).startswith("backupset="), F.url_decode(F.substring(F.element_at("path", -3), 11, 1 << 20))).otherwise(F.element_at("path", -3)).alias("backupset"),
-        F.regexp_replace(F.element_at("path", -2), r"\Aname=", "").alias("name"),
-        entries.alias("conf"),
-    )
+    parsed = files.select("backupset", "name", entries.alias("conf"))
 
     def given(key: str) -> Column:
         mine = F.filter("conf", lambda entry: entry["key"] == key)
@@ -149,11 +162,13 @@ def write_run_records(records: DataFrame, root: str, section: str = "run") -> No
 def delete_runs(spark: SparkSession, root: str, plan: DataFrame) -> int:
     """Delete the folders of the runs a plan purges and return how many there were.
 
-    The only function that deletes; the plan itself is the dry run.
+    The only function that deletes; the plan itself is the dry run. Tasks list the folders of the
+    sets and delete those of the plan, which is settled first: it may be drawn from the records
+    that go.
     """
-    deleted = 0
-    purged = plan.where(F.col("action") == "purge").select("backupset", "name")
-    for backupset, name in purged.toLocalIterator():
-        folder = _run_path(spark, root, backupset, name)
-        deleted += folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return deleted
+    purged = settle(plan.where(F.col("action") == "purge").select("backupset", "name").distinct(), "purged")
+    named = F.col("name").rlike(r"\A\d{8}_\d{6}\z") & ~F.col("backupset").isin("", ".", "..") & ~F.contains("backupset", F.lit("/"))
+    if bad := purged.where(~F.coalesce(named, F.lit(False))).first():
+        raise ValueError(f"{bad['backupset']!r}/{bad['name']!r} is not the name of a run")
+    there = listing(spark, root, levels=2).where("is_folder AND level = 2").select("member", *_run_of("member"))
+    return delete_folders(settle(there.join(purged, ["backupset", "name"], "left_semi").select("member"), "folders"), root)

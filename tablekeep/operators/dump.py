@@ -138,17 +138,31 @@ def cut_by_bytes(df: DataFrame, split_bytes: int, order_by: Sequence[str] = (),
     one row, however unlike the rows are. Rows are taken in the order of ``order_by``, which must
     be unique, or in the order they are read.
     """
-    at, size, file = unused(df, "_at"), unused(df, "_bytes"), unused(df, "chunk_id")
+    numbered, files, order, file = number_by_bytes(df, split_bytes, order_by, row_bytes)
+    dealt = numbered.repartitionById(files, F.col(file).cast("int"))
+    return (dealt.sortWithinPartitions(*order) if order_by else dealt).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def number_by_bytes(
+    df: DataFrame, split_bytes: int, order_by: Sequence[str] = (), row_bytes: Column | None = None
+) -> tuple[DataFrame, int, list[str], str]:
+    """The rows, how many files they make for ``cut_by_bytes``, the columns to sort by and that of the file's number.
+
+    The rows are settled once, however dear they are to make. Only their keys and sizes are put in
+    order and added up; the numbers are joined back to the settled rows.
+    """
+    at, size, file, row, same = (unused(df, name) for name in ("_at", "_bytes", "chunk_id", "_row", "_same"))
     if file != "chunk_id":
         raise ValueError("a table cut by bytes has no column of its own called chunk_id")
-    place = F.struct(*order_by) if order_by else F.monotonically_increasing_id()
     if row_bytes is None:
         row_bytes = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), FORMAT_OPTIONS["json"])) + 1
-    sized = df.withColumns({at: place, size: row_bytes})
-    numbered = settle(chunk_plan(sized, at, size, split_bytes), "cut-rows")
-    files = (numbered.agg(F.max(file)).first()[0] or 0) + 1
-    dealt = numbered.repartitionById(int(files), F.col(file).cast("int"))
-    return (dealt.sortWithinPartitions(at) if order_by else dealt).drop(at, size, file)
+    sized = settle(df.withColumns({row: F.monotonically_increasing_id(), size: row_bytes}), "sized-rows")
+    place = F.struct(*order_by) if order_by else F.col(row)
+    plan = chunk_plan(sized.select(place.alias(at), F.col(row).alias(same), size), at, size, split_bytes)
+    plan = settle(plan.select(same, file), "cut-rows")
+    files = int(plan.agg(F.max(file)).first()[0] or 0) + 1
+    numbered = sized.drop(size).join(plan.hint("shuffle_hash"), F.col(row) == F.col(same)).drop(same)
+    return numbered, files, [*order_by, row], file
 
 
 def table_name(name: str | TableName) -> TableName:

@@ -10,13 +10,15 @@ few shards, however large the pack.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeep.functions.globs import include_glob
-from tablekeep.operators.dump import cut_by_bytes
+from tablekeep.operators.dump import number_by_bytes
+from tablekeep.plans.settled import settle
 from tablekeep.sources.files import names_in
 from tablekeep.sources.stores import list_files, read_contents, write_files
 
@@ -109,7 +111,7 @@ def pack_indexed(
     """Write files, and texts from ``extra(archive, member, text)``, as an indexed pack.
 
     Shards follow the order of archive and member; each has ``shard_bytes`` of contents and less
-    than one part more. Members longer than ``part_bytes`` are cut into parts, which may lie in
+    than one part more, and they lie on shelves, folders of one shard from each task. Members longer than ``part_bytes`` are cut into parts, which may lie in
     several shards. ``entry`` tells members of one name apart. A member without content counts as
     empty. The index is written last: a pack without one is not finished. An inventory that holds
     parts already, from ``read_files(part_bytes=...)``, is taken as it is, so that no file has to
@@ -123,15 +125,26 @@ def pack_indexed(
         rows = rows if extra is None else rows.unionByName(_cut(text_members(extra), part_bytes))
     else:
         rows = _cut(_members(inventory, archive, extra), part_bytes)
-    shards = cut_by_bytes(rows, shard_bytes, ["archive", "member", "entry", "part"], F.octet_length("content"))
-    shards.write.option("parquet.bloom.filter.enabled#member", "true").parquet(f"{root}/shards")
-    written = inventory.sparkSession.read.schema(_PARTS).parquet(f"{root}/shards")
-    index = written.drop("content").withColumn("shard", F.col("_metadata.file_name"))
+    shards, count, order, number = number_by_bytes(
+        rows, shard_bytes, ["archive", "member", "entry", "part"], F.octet_length("content")
+    )
+    # a task writes a run of shards, one into each shelf, so that neither tasks nor folders are as many as shards
+    run = max(1, min(math.isqrt(count - 1), SHARD_BYTES // shard_bytes))
+    shards = shards.repartitionById(-(-count // run), F.call_function("div", number, F.lit(run)).cast("int"))
+    shards = shards.withColumn("shelf", (F.col(number) % run).cast("int")).sortWithinPartitions("shelf", *order)
+    shards.select(*rows.columns, "shelf").write.option("parquet.bloom.filter.enabled#member", "true").partitionBy("shelf").parquet(f"{root}/shards")
+    written = _shards(inventory.sparkSession, root, f"{root}/shards")
+    index = settle(written.drop("content").withColumn("shard", F.substring_index("_metadata.file_path", "/", -2)), "pack-index")
     index.repartitionByRange("member", "archive").sortWithinPartitions("member", "archive", "entry", "part").write.option(
         "parquet.bloom.filter.enabled#member", "true"
     ).parquet(f"{root}/index")
 
 
+def _shards(spark: SparkSession, root: str, *paths: str) -> DataFrame:
+    """The parts in all shards, or in those of ``paths``."""
+    return spark.read.schema(_PARTS).option("basePath", f"{root}/shards").parquet(*paths).drop("shelf")
+
+
 def pack_index(spark: SparkSession, root: str) -> DataFrame:
     """``DF(archive, member, entry, part, parts, length, shard)`` of an indexed pack; shards are not opened."""
     if "_SUCCESS" not in names_in(spark, f"{root}/index"):
@@ -156,11 +169,13 @@ def pack_parts(
         wanted = F.col("member").isin(*names) | wanted if members else F.col("member").isin(*names)
     if archives is not None:
         wanted = wanted & include_glob("archive", *archives)
-    found = pack_index(spark, root).where(wanted).select("shard").distinct()
-    shards = [f"{root}/shards/{row['shard']}" for row in found.toLocalIterator()]
-    if not shards:
+    found = pack_index(spark, root).groupBy("shard").agg(F.max(F.coalesce(wanted, F.lit(False))).alias("wanted"))
+    if not (holding := found.agg(F.max("wanted").alias("some"), F.min("wanted").alias("each")).first())["some"]:
         return spark.createDataFrame([], _PARTS)
-    return spark.read.schema(_PARTS).parquet(*shards).where(wanted)
+    if holding["each"]:  # no list of shards, each of which Spark would look up by itself
+        return _shards(spark, root, f"{root}/shards").where(wanted)
+    names_of = found.where("wanted").select("shard")
+    return _shards(spark, root, *(f"{root}/shards/{row['shard']}" for row in names_of.toLocalIterator())).where(wanted)
 
 
 def whole_members(parts: DataFrame) -> DataFrame:

@@ -71,3 +71,38 @@ def test_indexed_packs_without_rows_or_index(spark, folder):
         packing.pack_index(spark, f"{folder}/absent")
     with pytest.raises(ValueError, match="at least one byte"):
         packing.pack_indexed(empty, "archive", f"{folder}/bad", part_bytes=0)
+
+
+def test_indexed_packs_write_many_shards_in_a_task_and_read_the_inventory_once(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "archive string, member string, length long, content binary"
+    rows = [(None if i % 50 == 0 else f"a{i % 3}", f"m{i:03d}", 100, bytearray([i % 256]) * 100) for i in range(400)]
+    files = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    root = f"{folder}/pack"
+    packing.pack_indexed(files, "archive", root, shard_bytes=1000, part_bytes=500)
+    assert seen.value == 400
+
+    shards = sorted(Path(root, "shards").rglob("part-*.parquet"))
+    assert len(shards) == 40
+    assert len({path.parent for path in shards}) <= 7 and len({path.name for path in shards}) <= 7
+    found = []
+    for path in shards:
+        held = [(r["archive"] or "", r["member"], r["part"]) for r in spark.read.parquet(str(path)).collect()]
+        assert len(held) == 10 and held == sorted(held)
+        found.append(held)
+    ordered = sorted(found)
+    assert all(a[-1] < b[0] for a, b in zip(ordered, ordered[1:])) and sum(map(len, ordered)) == 400
+
+    every = packing.pack_parts(spark, root, ["*"])
+    assert every.columns == ["archive", "member", "entry", "part", "parts", "length", "content"]
+    assert sorted((r["archive"] or "", r["member"], bytes(r["content"])) for r in every.collect()) == sorted(
+        (archive or "", member, bytes(content)) for archive, member, _, content in rows
+    )
+    some = packing.pack_parts(spark, root, ["m00?"])
+    assert some.columns == every.columns and some.count() == 10 and len(some.inputFiles()) < 20

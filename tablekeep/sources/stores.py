@@ -198,25 +198,28 @@ def write_files(members: DataFrame, path: str) -> int:
     """
     spark = members.sparkSession
     keys = ["member", "part"] if "part" in members.columns else ["member"]
-    names = members.select(*keys)
     outside = F.exists(F.split("member", "/"), lambda step: step.isin("", ".", ".."))
-    if bad := names.where(F.coalesce(outside, F.lit(True))).first():
-        raise ValueError(f"{bad['member']!r} is no name of a file below a folder")
-    if twice := names.groupBy(*keys).count().where("count > 1").first():
-        raise ValueError(f"{twice['member']!r} is the name of {twice['count']} members")
+    counted = members.groupBy(*keys).count().withColumn("outside", F.coalesce(outside, F.lit(True)))
+    if bad := counted.where("outside OR count > 1").orderBy(F.desc("outside")).first():
+        if bad["outside"]:
+            raise ValueError(f"{bad['member']!r} is no name of a file below a folder")
+        raise ValueError(f"{bad['member']!r} is the name of {bad['count']} members")
     located = locate(spark, path)
     aside = f"{located}._writing-{uuid.uuid4().hex}"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (store, root), (_, temporary) = _open(located), _open(aside)
+        # a folder of the task's own, as tasks that add to one folder wait for each other
+        (store, root), (_, temporary) = _open(located), _open(f"{aside}/{uuid.uuid4().hex}")
         store.create_dir(temporary, recursive=True)
-        open_file, written, member, following = None, "", None, 0
+        open_file, written, member, following, made = None, "", None, 0, set()
 
         def finish() -> None:
             if open_file is not None:
                 open_file.close()
                 target = f"{root}/{member}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
+                if (folder := target.rpartition("/")[0]) not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 store.move(written, target)
 
         for batch in batches:

@@ -108,3 +108,23 @@ def test_purged_runs_are_deleted_by_tasks_in_either_layout(spark, folder):
     assert runs.delete_runs(spark, f"{folder}/many", gone) == 0
     with pytest.raises(ValueError, match="no name of a run|not the name of a run"):
         runs.delete_runs(spark, f"{folder}/many", spark.createDataFrame([(None, "20240101_000000", "purge")], "backupset string, name string, action string"))
+
+
+def test_members_are_read_once_for_their_names_and_once_for_their_contents(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "member string, content binary"
+    members = spark.createDataFrame([(f"a/{i}", bytearray(b"x")) for i in range(30)], schema).mapInArrow(counted, schema)
+    assert stores.write_files(members, f"{folder}/out") == 30
+    assert seen.value == 60
+    twice = spark.createDataFrame([("b", b"1"), ("b", b"2"), ("../c", b"3")], schema)
+    with pytest.raises(ValueError, match="no name of a file"):
+        stores.write_files(twice, f"{folder}/bad")
+    with pytest.raises(ValueError, match="'b' is the name of 2"):
+        stores.write_files(twice.where("member = 'b'"), f"{folder}/bad")
+    assert not os.path.exists(f"{folder}/bad")

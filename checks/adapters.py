@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablekeep.functions.times import run_name
 from tablekeep.operators.filters import FilterSpec, apply_filters
 from tablekeep.operators.settings import Setting
+from tablekeep.plans.settled import settle
 from tablekeep.sources import stores
 from tablekeep.sources.catalog import catalog_databases, catalog_tables
 
@@ -150,7 +151,7 @@ def nested_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"))
     view = lambda number: F.concat(F.lit("v_"), number.cast("string"))
     parts = lines.where("n % 3 = 1").select(view(F.col("o")).alias("view"), F.concat(F.lit("p_"), F.col("p").cast("string")).alias("object"))
-    orders = lines.select("o").distinct()
+    orders = settle(lines.select("o").distinct(), "orders")
     before = orders.where("o % 12 <> 0").select(view(F.col("o")).alias("view"), view(F.col("o") - 1).alias("object"))
     around = orders.where("o % 36 = 0").select(view(F.col("o")).alias("view"), view(F.col("o") + 5).alias("object"))
     objects = table(spark, sf_dir, "part").where("p_size % 8 <> 3").select(F.concat(F.lit("p_"), F.col("p_partkey").cast("string")).alias("object"))

@@ -142,29 +142,41 @@ def broken_views(views: DataFrame, deps: DataFrame, objects: DataFrame) -> DataF
     deeper when it names a broken view; ``depth`` is the least, ``missing`` the first name in
     order that breaks it at that depth. Views that only name each other are not broken.
 
-    Only the views found in the last round are joined in the next one, each view counts in one
-    round only, and every round is settled, so a circle ends and the rounds are as many as the
-    deepest view. Names of views are compared when both columns are of one type.
+    All names are looked up in one join, and what exists and is no view is dropped there. Only the
+    views found in the last round are joined in the next one, each view counts in one round only,
+    and every round is settled, so a circle ends and the rounds are as many as the deepest view.
+    Once the views found are a quarter of the names left, what they name is dropped, so that later
+    rounds neither read it nor compare with these views. Names of views are compared when both
+    columns are of one type.
     """
+    known = objects.select("object", F.lit(False).alias("nested"))
+    if nested := deps.schema["object"].dataType == views.schema["view"].dataType:
+        known = known.unionByName(views.select(F.col("view").alias("object"), F.lit(True).alias("nested")))
+    known = settle(known.where("object IS NOT NULL").groupBy("object").agg(F.max("nested").alias("nested")), "known-names")
     named = deps.select("view", "object").where("view IS NOT NULL AND object IS NOT NULL")
-    there = objects.select("object").where("object IS NOT NULL")
-    nested = deps.schema["object"].dataType == views.schema["view"].dataType
-    if nested:
-        there = there.unionByName(views.select(F.col("view").alias("object")).where("object IS NOT NULL"))
-        between = named.join(views.select("view"), "view", "left_semi").join(views.select(F.col("view").alias("object")), "object", "left_semi")
-        between = settle(between, "views-of-views")
-    lacking = named.join(views.select("view"), "view", "left_semi").join(there, "object", "left_anti")
-    fresh = settle(lacking.groupBy("view").agg(F.lit(1).alias("depth"), F.min("object").alias("missing")), "broken-views")
-    rounds = [fresh]
-    while nested and not fresh.isEmpty():
+    open_names = named.join(known, "object", "left").where("nested IS NULL OR nested")
+    open_names = settle(open_names.join(views.select("view"), "view", "left_semi").select("view", "object", "nested"), "names-of-views")
+    lacking = open_names.where("nested IS NULL").groupBy("view")
+    fresh = settle(lacking.agg(F.lit(1).alias("depth"), F.min("object").alias("missing")), "broken-views")
+    between = open_names.where("nested").select("view", "object")
+    left, rounds, since, found = between.count(), [fresh], [fresh], 0
+    while left and (count := fresh.count()):
+        found += count
+        if 4 * found >= left:
+            between = settle(between.join(_view_names(since), "view", "left_anti"), "views-of-views")
+            left, since, found = between.count(), [], 0
         above = between.join(fresh.withColumnRenamed("view", "object"), "object").groupBy("view")
-        found = above.agg((F.first("depth") + 1).alias("depth"), F.min("missing").alias("missing"))
-        known = reduce(DataFrame.unionByName, (r.select("view") for r in rounds))
-        fresh = settle(found.join(known, "view", "left_anti"), "broken-views")
+        reached = above.agg((F.first("depth") + 1).alias("depth"), F.min("missing").alias("missing"))
+        fresh = settle(reached.join(_view_names(since), "view", "left_anti") if since else reached, "broken-views")
         rounds.append(fresh)
+        since.append(fresh)
     return reduce(DataFrame.unionByName, rounds)
 
 
+def _view_names(rounds: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (r.select("view") for r in rounds))
+
+
 def invalid_views(views: DataFrame, deps: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split views into those that can be read and those to set aside, be it for a view they read.
 

@@ -149,3 +149,29 @@ def test_invalid_views_are_set_aside_for_what_they_read(spark):
     deps = spark.createDataFrame([("v1", "gone"), ("v2", "v1"), ("v3", "t")], "view string, object string")
     valid, aside = changes.invalid_views(views, deps, spark.createDataFrame([("t",)], "object string"))
     assert {r[0] for r in valid.collect()} == {"v3"} and {r[0] for r in aside.collect()} == {"v1", "v2"}
+
+
+def test_names_of_views_are_looked_up_once_and_dropped_when_found(spark, monkeypatch):
+    seen, settled = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def noted(df, label, settle=changes.settle):
+        settled.append((label, result := settle(df, label)))
+        return result
+
+    monkeypatch.setattr(changes, "settle", noted)
+    views = [f"v{i:02d}" for i in range(40)]
+    deps = [(v, "t") for v in views] + [(v, "t") for v in views] + [(b, a) for a, b in zip(views, views[1:])]
+    deps += [("v00", "gone"), ("v00", "c1"), ("c1", "c2"), ("c2", "c1"), ("c2", None), (None, "gone"), ("w", "gone")]
+    schema = "view string, object string"
+    names = spark.createDataFrame(deps, schema).repartition(2).mapInArrow(counted, schema)
+    known = spark.createDataFrame([(v,) for v in [*views, "c1", "c2", "c1", None]], "view string")
+    found = changes.broken_views(known, names, spark.createDataFrame([("t",), ("t",), (None,)], "object string"))
+    assert sorted(map(tuple, found.collect())) == [(v, i + 1, "gone") for i, v in enumerate(views)]
+    assert seen.value == len(deps)
+    left = [df.count() for label, df in settled if label == "views-of-views"]
+    assert len(left) > 3 and left == sorted(left, reverse=True) and left[-1] <= 6

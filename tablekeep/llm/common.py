@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from tablekeep.session import scratch_dir
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, **options: int | str) -> DataFrame:
     """Compute ``df`` once into a table of the shared folder and read it from there.
 
-    Always writes, whatever the size. The table outlives lost executors and cuts the lineage.
+    Always writes, whatever the size, by the writer's ``options``. The table outlives lost executors and cuts the lineage.
     """
     path = scratch_dir(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
